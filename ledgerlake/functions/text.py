@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,9 +24,8 @@ DATE_PATTERNS = (
     r"(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\s+\d{1,2},?\s+\d{4}",
 )
 PERCENT_PATTERN = r"\d+\.?\d*\s*%"
-COMPANY_PATTERN = (
-    r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+){1,3})\s+(?:Inc|Corp|Ltd|LLC|Limited|Corporation|Company)"
-)
+COMPANY_SUFFIXES = ("Inc", "Corp", "Ltd", "LLC", "Limited", "Corporation", "Company")
+COMPANY_PATTERN = rf"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+){{1,3}})\s+(?:{'|'.join(COMPANY_SUFFIXES)})"
 ENTITY_KINDS = ("amounts", "dates", "percentages", "companies")
 
 _SPACE = r"(?U)[\s\x1c-\x1f]"
@@ -66,7 +67,7 @@ def paragraph_chunks(text: Column, size: int = 1000, overlap_words: int = 200) -
         return F.when(
             full,
             F.struct(
-                F.array_append(done, strip(cur)).alias("done"),
+                F.array_append(done, cur).alias("done"),
                 F.concat(tail(cur), F.lit("\n\n"), p).alias("cur"),
             ),
         ).otherwise(
@@ -76,9 +77,10 @@ def paragraph_chunks(text: Column, size: int = 1000, overlap_words: int = 200) -
             )
         )
 
+    # Stripped, non-blank paragraphs leave nothing to strip at the ends of a chunk.
     return F.aggregate(
         paragraphs, start, add,
-        lambda s: F.when(strip(s["cur"]) == "", s["done"]).otherwise(F.array_append(s["done"], strip(s["cur"]))),
+        lambda s: F.when(s["cur"] == "", s["done"]).otherwise(F.array_append(s["done"], s["cur"])),
     )
 
 
@@ -92,20 +94,30 @@ def _found(text: Column, patterns, flags: str, group: int = 0) -> Column:
     return F.concat(*hits) if len(hits) > 1 else hits[0]
 
 
+def _if(possible: Column, found: Column) -> Column:
+    """``found`` where the text can hold a hit at all; the test is far cheaper than the patterns."""
+    return F.when(possible, found).otherwise(F.array().cast("array<string>"))
+
+
+def _has_digit(text: Column) -> Column:
+    return text.rlike(r"(?U)\d")
+
+
 def amounts(text: Column) -> Column:
-    return _found(text, AMOUNT_PATTERNS, "(?iU)")
+    return _if(_has_digit(text), _found(text, AMOUNT_PATTERNS, "(?iU)"))
 
 
 def dates(text: Column) -> Column:
-    return _found(text, DATE_PATTERNS, "(?iU)")
+    return _if(_has_digit(text), _found(text, DATE_PATTERNS, "(?iU)"))
 
 
 def percentages(text: Column) -> Column:
-    return _found(text, (PERCENT_PATTERN,), "(?U)")
+    return _if(F.contains(text, F.lit("%")), _found(text, (PERCENT_PATTERN,), "(?U)"))
 
 
 def companies(text: Column) -> Column:
-    return _found(text, (COMPANY_PATTERN,), "(?U)", 1)
+    suffix = reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in COMPANY_SUFFIXES])
+    return _if(suffix, _found(text, (COMPANY_PATTERN,), "(?U)", 1))
 
 
 def entities(text: Column) -> Column:

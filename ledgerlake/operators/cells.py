@@ -5,6 +5,8 @@ A sheet is a sparse table of its non-blank cells ``(<sheet keys>, row, col, valu
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -22,74 +24,114 @@ def nonblank(cells: DataFrame, value: str = "value") -> DataFrame:
     return cells.where(~is_blank(F.col(value)))
 
 
-def _tile_components(rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
-    """For each cell of one tile, the index of the row-major first cell it is 8-connected to."""
-    n = len(rows)
-    order = np.lexsort((cols, rows))
-    r, c = rows[order].astype(np.int64), cols[order].astype(np.int64)
-    c0, width = c.min(), int(c.max() - c.min()) + 3
-    key = (r - r.min()) * width + (c - c0 + 1)
-    pairs = []
+def _components_of(key: np.ndarray, width: int) -> np.ndarray:
+    """For each cell the index of the first cell of its component.
+
+    ``key`` is sorted and numbers the cells row by row in rows of ``width``, wide
+    enough that the last cell of a row never neighbours the first of the next.
+    """
+    n = len(key)
+    same = np.flatnonzero(key[1:] == key[:-1])
+    left, right = [same], [same + 1]
     for step in (1, width - 1, width, width + 1):
         at = np.searchsorted(key, key + step)
-        hit = (at < n) & (key[np.minimum(at, n - 1)] == key + step)
-        pairs.append((np.flatnonzero(hit), at[hit]))
-    a, b = (np.concatenate(x) for x in zip(*pairs))
+        hit = np.flatnonzero(key[np.minimum(at, n - 1)] == key + step)
+        left.append(hit)
+        right.append(at[hit])
+    a, b = np.concatenate(left), np.concatenate(right)
     label = np.arange(n)
-    while True:
+    while len(a):
         la, lb = label[a], label[b]
+        open_pairs = la != lb
+        a, b, la, lb = a[open_pairs], b[open_pairs], la[open_pairs], lb[open_pairs]
         low = np.minimum(la, lb)
-        if (la == lb).all():
-            break
-        np.minimum.at(label, la, low)
-        np.minimum.at(label, lb, low)
-        while True:
-            up = label[label]
-            if (up == label).all():
-                break
-            label = up
-    out = np.empty(n, dtype=np.int64)
-    out[order] = order[label]
-    return out
-
-
-def _label_tiles(cells: DataFrame, keys: list[str], tile: int) -> DataFrame:
-    """Cells with the first cell ``(pr, pc)`` of their component within their tile.
-
-    The one Python step: a tile has at most ``tile * tile`` cells, however large its sheet.
+        np.minimum.at(label, np.maximum(la, lb), low)
+        up = label[label]
+        while not np.array_equal(up, label):
+            label, up = up, up[up]
+    return label
+
+
+def _group_starts(pdf: pd.DataFrame, on: list[str]) -> np.ndarray:
+    """Positions at which a new (sheet, tile) begins in sorted rows."""
+    new = np.zeros(len(pdf), dtype=bool)
+    new[0] = True
+    for k in on:
+        v = pdf[k].to_numpy()
+        new[1:] |= v[1:] != v[:-1]
+    return np.flatnonzero(new)
+
+
+def _tile_boxes(pdf: pd.DataFrame, keys: list[str], on: list[str], tile: int, borders: bool) -> pd.DataFrame:
+    """Components of all whole tiles in ``pdf``: one row each, and if asked one row per border cell."""
+    starts = _group_starts(pdf, on)
+    group = np.zeros(len(pdf), dtype=np.int64)
+    group[starts] = 1
+    group = np.cumsum(group) - 1
+    row, col = pdf["row"].to_numpy(), pdf["col"].to_numpy()
+    lr, lc = row - pdf["_tr"].to_numpy() * tile, col - pdf["_tc"].to_numpy() * tile
+    # An empty row parts two tiles, an empty column on either side parts two rows.
+    label = _components_of((group * (tile + 1) + lr) * (tile + 2) + lc + 1, tile + 2)
+    order = np.argsort(label, kind="stable")
+    first, at, n = np.unique(label[order], return_index=True, return_counts=True)
+    boxes = pdf[keys].iloc[first].assign(
+        pr=row[first], pc=col[first],
+        r0=np.minimum.reduceat(row[order], at), r1=np.maximum.reduceat(row[order], at),
+        c0=np.minimum.reduceat(col[order], at), c1=np.maximum.reduceat(col[order], at), n_cells=n,
+    )
+    if not borders:
+        return boxes
+    edge = np.flatnonzero((lr == 0) | (lr == tile - 1) | (lc == 0) | (lc == tile - 1))
+    cells = pdf[keys].iloc[edge].assign(
+        pr=row[label[edge]], pc=col[label[edge]], r0=row[edge], r1=row[edge], c0=col[edge], c1=col[edge], n_cells=0,
+    )
+    return pd.concat([boxes, cells])
+
+
+def _tile_groups(cells: DataFrame, keys: list[str], tile: int, borders: bool) -> DataFrame:
+    """Components within each tile: ``keys, pr, pc`` (first cell), the rectangle and ``n_cells``.
+
+    Border cells follow as rows with ``n_cells = 0``. The one Python step: rows come
+    sorted by sheet and tile, many tiles are labelled at once, and only the last,
+    unfinished tile (at most ``tile * tile`` cells) waits for the next batch.
     """
+    on = [*keys, "_tr", "_tc"]
     fields = [f"`{k}` {cells.schema[k].dataType.simpleString()}" for k in keys]
-    schema = ", ".join([*fields, "row bigint", "col bigint", "pr bigint", "pc bigint"])
-
-    def label(pdf: pd.DataFrame) -> pd.DataFrame:
-        r, c = pdf["row"].to_numpy(), pdf["col"].to_numpy()
-        first = _tile_components(r, c)
-        return pdf[[*keys, "row", "col"]].assign(pr=r[first], pc=c[first])
+    numbers = [f"{c} bigint" for c in ("pr", "pc", "r0", "r1", "c0", "c1", "n_cells")]
+
+    def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+            last = _group_starts(pdf, on)[-1]
+            rest = pdf.iloc[last:].reset_index(drop=True)
+            if last:
+                yield _tile_boxes(pdf.iloc[:last], keys, on, tile, borders)
+        if rest is not None:
+            yield _tile_boxes(rest, keys, on, tile, borders)
 
     placed = cells.select(
         *keys, F.col("row").cast("bigint"), F.col("col").cast("bigint"),
         F.floor(F.col("row") / tile).alias("_tr"), F.floor(F.col("col") / tile).alias("_tc"),
     )
-    return placed.groupBy(*keys, "_tr", "_tc").applyInPandas(label, schema)
+    sorted_cells = placed.repartition(*on).sortWithinPartitions(*on, "row", "col")
+    return sorted_cells.mapInPandas(label, ", ".join([*fields, *numbers]))
 
 
-def _tile_edges(labelled: DataFrame, keys: list[str], tile: int) -> DataFrame:
-    """Pairs of tile components that touch across a tile border, found by equi-joins of border cells."""
-    node = F.struct(*keys, "pr", "pc")
-    lr, lc = F.pmod("row", F.lit(tile)), F.pmod("col", F.lit(tile))
-    border = labelled.where((lr == 0) | (lr == tile - 1) | (lc == 0) | (lc == tile - 1))
-    border = border.select(*keys, "row", "col", node.alias("node"))
+def _tile_edges(border: DataFrame, keys: list[str]) -> DataFrame:
+    """Pairs of tile components that touch across a tile border, by equi-joins of border cells."""
     steps = F.array(*[
         F.struct(F.lit(dr).cast("bigint").alias("dr"), F.lit(dc).cast("bigint").alias("dc"))
         for dr, dc in ((0, 1), (1, -1), (1, 0), (1, 1))
     ])
-    reach = border.select(*keys, "row", "col", F.col("node").alias("u"), F.explode(steps).alias("s")).select(
+    node = F.struct(*keys, "pr", "pc")
+    at = border.select(*keys, F.col("r0").alias("row"), F.col("c0").alias("col"), node.alias("v"))
+    reach = at.select(*keys, "row", "col", F.col("v").alias("u"), F.explode(steps).alias("s")).select(
         *keys, "u", (F.col("row") + F.col("s.dr")).alias("row"), (F.col("col") + F.col("s.dc")).alias("col")
     )
-    return (
-        reach.join(border.withColumnRenamed("node", "v"), [*keys, "row", "col"])
-        .where("u <> v").select("u", "v").distinct()
-    )
+    return reach.join(at, [*keys, "row", "col"]).where("u <> v").select("u", "v").distinct()
 
 
 def detect_tables(
@@ -101,23 +143,17 @@ def detect_tables(
     cell, ``table_no`` from 1. ``min_area=2`` drops single cells, ``1`` keeps all.
 
     Cells are grouped per tile first; only groups that meet at a tile border take
-    part in the iterative contraction. Sheets that fit in a tile need none of it.
+    part in the iterative contraction. When all sheets fit in one tile there is none.
     """
-    labelled = _label_tiles(cells, keys, tile)
     lr, lc = F.floor(F.col("row") / tile), F.floor(F.col("col") / tile)
     extent = cells.agg(F.min(lr), F.max(lr), F.min(lc), F.max(lc)).first()
     one_tile = extent[0] == extent[1] and extent[2] == extent[3]
+    groups = _tile_groups(cells, keys, tile, not one_tile)
     if not one_tile:
-        labelled = cut(labelled)
-    groups = labelled.groupBy(*keys, "pr", "pc").agg(
-        F.min("row").alias("r0"), F.max("row").alias("r1"),
-        F.min("col").alias("c0"), F.max("col").alias("c1"), F.count(F.lit(1)).alias("n_cells"),
-    )
-    if not one_tile:
-        edges = _tile_edges(labelled, keys, tile)
-        label = components(edges)
+        groups = cut(groups)
+        label = components(_tile_edges(groups.where("n_cells = 0"), keys))
         groups = (
-            groups.withColumn("node", F.struct(*keys, "pr", "pc")).join(label, "node", "left")
+            groups.where("n_cells > 0").withColumn("node", F.struct(*keys, "pr", "pc")).join(label, "node", "left")
             .withColumn("root", F.coalesce("label", "node"))
             .groupBy("root").agg(
                 F.min("r0").alias("r0"), F.max("r1").alias("r1"),
@@ -128,7 +164,7 @@ def detect_tables(
     kept = groups.where((F.col("r1") - F.col("r0") + 1) * (F.col("c1") - F.col("c0") + 1) >= min_area)
     if not number:
         return kept.drop("pr", "pc")
-    return numbered(kept, keys, [F.col("pr"), F.col("pc")], "table_no").drop("pr", "pc")
+    return numbered(cut(kept), keys, [F.col("pr"), F.col("pc")], "table_no").drop("pr", "pc")
 
 
 def table_cells(cells: DataFrame, tables: DataFrame, keys: list[str], tile: int = 64) -> DataFrame:

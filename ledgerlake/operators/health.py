@@ -104,6 +104,10 @@ def _summary(rows: DataFrame, by: list[str], periods: int) -> DataFrame:
     )
 
 
+def _same(left: list[str], right: list[str]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(x).eqNullSafe(F.col(y)) for x, y in zip(left, right)])
+
+
 def _last_rows(rows: DataFrame, by: list[str], order: list[str], periods: int) -> DataFrame:
     """The last ``periods`` dated rows per entity; the rank filter prunes inside each task."""
     w = Window.partitionBy(*by).orderBy(F.col("ts").desc(), *[F.col(o).desc() for o in order])
@@ -116,55 +120,96 @@ def _same(left: list[str], right: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(x).eqNullSafe(F.col(y)) for x, y in zip(left, right)])
 
 
-def _points(rows: DataFrame, summary: DataFrame, by: list[str], order: list[str], periods: int, dense_over: int):
-    """History points of every entity: ``by, back`` (0 = newest), ``period`` and the metrics."""
-    span = F.months_between("last_month", "first_month").cast("int")
-    back = F.sequence(F.lit(0), F.least(F.lit(periods - 1), span))
-    points = F.transform(back, lambda i: F.struct(
+def _few(rows: DataFrame, summary: DataFrame, by: list[str], order: list[str], periods: int, dense_over: int):
+    """Last rows of the entities with few dated rows, or None when there is no such entity."""
+    few = summary.where(F.col("n_dated").between(1, dense_over)).select(*[F.col(k).alias(f"_f_{k}") for k in by])
+    if few.limit(1).count() == 0:
+        return None
+    mine = rows.join(few, _same(by, [f"_f_{k}" for k in by]), "left_semi")
+    return _last_rows(mine, by, order, periods)
+
+
+def _span(periods: int) -> Column:
+    """Index of the oldest month of the history, 0 being the newest."""
+    return F.least(F.lit(periods - 1), F.months_between("last_month", "first_month").cast("int"))
+
+
+def _slot(metric: str, i: Column, periods: int) -> Column:
+    return F.element_at(F.array(*[F.col(f"_{metric}_{k}") for k in range(periods)]), i + 1)
+
+
+def history(
+    rows: DataFrame, by: list[str], order: list[str] = (), periods: int = 3, dense_over: int = 10
+) -> DataFrame:
+    """The last points of every entity: ``by, back`` (0 = newest), ``period`` and the metrics.
+
+    More than ``dense_over`` dated rows: month sums labelled by month end, absent
+    months 0. Otherwise the last rows as they are.
+    """
+    summary = cut(_summary(rows, by, periods))
+    points = F.transform(F.sequence(F.lit(0), _span(periods)), lambda i: F.struct(
         i.alias("back"),
         F.last_day(F.add_months(F.col("last_month"), -i)).cast("string").alias("period"),
-        *[F.element_at(F.array(*[F.col(f"_{x}_{k}") for k in range(periods)]), i + 1).alias(x) for x in METRICS],
+        *[_slot(m, i, periods).alias(m) for m in METRICS],
     ))
     dense = summary.where(F.col("n_dated") > dense_over).select(*by, F.explode(points).alias("p")).select(*by, "p.*")
-    few = summary.where(F.col("n_dated").between(1, dense_over)).select(*[F.col(k).alias(f"_f_{k}") for k in by])
-    if few.limit(1).count() == 0:
+    few = _few(rows, summary, by, list(order), periods, dense_over)
+    if few is None:
         return dense
-    sparse = _last_rows(rows.join(few, _same(by, [f"_f_{k}" for k in by]), "left_semi"), by, order, periods)
-    return dense.unionByName(sparse.select(
+    return dense.unionByName(few.select(
         *by, (F.col("_back") - 1).alias("back"), F.col("ts").cast("string").alias("period"), *METRICS
     ))
 
 
-def history(
-    rows: DataFrame, by: list[str], order: list[str] = (), periods: int = 3, dense_over: int = 10
+def _with_ends(
+    rows: DataFrame, by: list[str], order: list[str], periods: int, dense_over: int
 ) -> DataFrame:
-    """The last points of every entity.
+    """Per entity: totals, number of history points, and each metric at the first and last point.
 
-    More than ``dense_over`` dated rows: month sums labelled by month end, absent
-    months 0. Otherwise the last rows as they are.
+    The per-entity summary is materialised: it is small, and whether the ledger must
+    be read a second time, for entities with few dated rows, is decided on it.
     """
-    return _points(rows, cut(_summary(rows, by, periods)), by, list(order), periods, dense_over)
+    summary = cut(_summary(rows, by, periods))
+    dense = F.col("n_dated") > dense_over
+    ends = summary.select(
+        *by, *METRICS, F.when(dense, _span(periods) + 1).alias("_dn"),
+        *[F.when(dense, _slot(m, _span(periods), periods)).alias(f"_df_{m}") for m in METRICS],
+        *[F.when(dense, F.col(f"_{m}_0")).alias(f"_dl_{m}") for m in METRICS],
+    )
+    few = _few(rows, summary, by, order, periods, dense_over)
+    if few is None:
+        return ends.select(
+            *by, *METRICS, F.coalesce("_dn", F.lit(0)).alias("n_points"),
+            *[F.col(f"_d{e}_{m}").alias(f"_{e}_{m}") for e in "fl" for m in METRICS],
+        )
+    single = few.groupBy(*[F.col(k).alias(f"_s_{k}") for k in by]).agg(
+        F.count(F.lit(1)).cast("int").alias("_sn"),
+        *[F.max_by(m, "_back").alias(f"_sf_{m}") for m in METRICS],
+        *[F.min_by(m, "_back").alias(f"_sl_{m}") for m in METRICS],
+    )
+    return ends.join(single, _same(by, [f"_s_{k}" for k in by]), "left").select(
+        *by, *METRICS, F.coalesce("_dn", "_sn", F.lit(0)).alias("n_points"),
+        *[F.coalesce(f"_d{e}_{m}", f"_s{e}_{m}").alias(f"_{e}_{m}") for e in "fl" for m in METRICS],
+    )
 
 
-def _trend(first: Column, last: Column, n: Column) -> Column:
-    f, l = first.cast("double"), last.cast("double")
-    change = (l - f) / (F.abs(f) + F.lit(1e-9))
+def _trend(metric: str) -> Column:
+    """First against last point of the history; fewer than two points are stable."""
+    first, last = F.col(f"_f_{metric}").cast("double"), F.col(f"_l_{metric}").cast("double")
+    change = (last - first) / (F.abs(first) + F.lit(1e-9))
     return (
-        F.when(F.coalesce(n, F.lit(0)) < 2, "stable")
+        F.when(F.col("n_points") < 2, "stable")
         .when(change > 0.05, "up").when(change < -0.05, "down").otherwise("stable")
     )
 
 
-def trends(points: DataFrame, by: list[str]) -> DataFrame:
-    """First against last point of each entity's history."""
-    ends = points.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n_points"),
-        *[F.max_by(m, "back").alias(f"_f_{m}") for m in METRICS],
-        *[F.min_by(m, "back").alias(f"_l_{m}") for m in METRICS],
-    )
-    return ends.select(
-        *by, "n_points",
-        *[_trend(F.col(f"_f_{m}"), F.col(f"_l_{m}"), F.col("n_points")).alias(f"{m}_trend") for m in METRICS],
+def trends(
+    rows: DataFrame, by: list[str], order: list[str] = (), periods: int = 3, dense_over: int = 10
+) -> DataFrame:
+    """Trend of each metric for every entity with a history."""
+    ends = _with_ends(rows, by, list(order), periods, dense_over)
+    return ends.where("n_points > 0").select(
+        *by, F.col("n_points").cast("bigint").alias("n_points"), *[_trend(m).alias(f"{m}_trend") for m in METRICS]
     )
 
 
@@ -183,19 +228,14 @@ def status(profit: Column, margin_pct: Column, cost_trend: Column, revenue_trend
 def health(
     rows: DataFrame, by: list[str], order: list[str] = (), periods: int = 3, dense_over: int = 10
 ) -> DataFrame:
-    """Totals, margin, trends, status and reason of every entity.
-
-    The per-entity summary is materialised: it is small, three branches read it, and
-    the ledger is then scanned a second time only if some entity has few dated rows.
-    """
-    summary = cut(_summary(rows, by, periods))
-    trend = trends(_points(rows, summary, by, list(order), periods, dense_over), by)
-    sums = summary.select(*by, *METRICS, margin(F.col("profit"), F.col("revenue")).alias("margin"))
-    trend = trend.withColumnsRenamed({k: f"_t_{k}" for k in by})
-    joined = sums.join(trend, _same(by, [f"_t_{k}" for k in by]), "left").drop(*[f"_t_{k}" for k in by])
-    joined = joined.withColumns({f"{m}_trend": F.coalesce(f"{m}_trend", F.lit("stable")) for m in METRICS})
+    """Totals, margin, trends, status and reason of every entity."""
+    ends = _with_ends(rows, by, list(order), periods, dense_over)
+    judged = ends.select(
+        *by, *METRICS, margin(F.col("profit"), F.col("revenue")).alias("margin"),
+        *[_trend(m).alias(f"{m}_trend") for m in METRICS],
+    )
     word, why = status(F.col("profit"), F.col("margin"), F.col("cost_trend"), F.col("revenue_trend"))
-    return joined.drop("n_points").withColumn("status", word).withColumn("reason", why)
+    return judged.withColumn("status", word).withColumn("reason", why)
 
 
 def report(health_rows: DataFrame) -> DataFrame:

@@ -87,9 +87,11 @@ def running_total(df: DataFrame, value, date: str, by=(), name: str = "running_t
     """Running total by date, one row per date and key: rows of a date share the value.
 
     Dates are summed first, so the ordered pass runs over dates and not over rows.
+    The calendar bounds them when ``date`` is a date; timestamps are counted first.
     """
     sums = df.groupBy(*by, date).agg(F.sum(_col(value)).alias("_day"))
-    return Ordered(sums, list(by), [F.col(date)]).running_sum(F.col("_day"), name).done().drop("_day")
+    bound = CALENDAR_DAYS if isinstance(df.schema[date].dataType, T.DateType) else None
+    return Ordered(sums, list(by), [F.col(date)], bound).running_sum(F.col("_day"), name).done().drop("_day")
 
 
 def with_running_total(df: DataFrame, value, date: str, by=(), name: str = "running_total") -> DataFrame:
@@ -111,6 +113,9 @@ def share_of_total(df: DataFrame, category: str, value, max_categories: int = 6)
     return sums.withColumn("share_pct", _over(F.col("total"), whole, 2, 100.0))
 
 
+# Days from year 0 to year 4000, far beyond any ledger.
+CALENDAR_DAYS = 1_461_000
+
 TIME_WORDS = ("date", "time", "year", "month", "day")
 
 

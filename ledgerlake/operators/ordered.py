@@ -29,11 +29,15 @@ def _largest(df: DataFrame, keys: list[str]) -> int:
 
 
 class Ordered:
-    """Rows of ``df`` in a total order within ``keys``; ``order`` must be unique per key."""
+    """Rows of ``df`` in a total order within ``keys``; ``order`` must be unique per key.
 
-    def __init__(self, df: DataFrame, keys: list[str], order: list[Column]):
+    The measuring pass reads ``df`` once more: pass a materialised one (``cut``) when
+    it is costly, or ``max_rows`` when a bound on the rows per key is known.
+    """
+
+    def __init__(self, df: DataFrame, keys: list[str], order: list[Column], max_rows: int | None = None):
         self.keys, self.order = keys, order
-        self.blocked = _largest(df, keys) > group_limit(df)
+        self.blocked = (_largest(df, keys) if max_rows is None else max_rows) > group_limit(df)
         if self.blocked:
             parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
             ranged = df.repartitionByRange(parts, *[F.col(k) for k in keys], *order)

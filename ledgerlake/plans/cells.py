@@ -9,7 +9,7 @@ from ..functions import names
 from ..operators import cells as c
 from ..operators.profile import SPARK_TYPES, infer_types_by
 from ..sources.files import csv_to_cells
-from ..session import new_path
+from ..session import cut, new_path
 from .names import name_sql
 from .registry import query
 from .views import oracle, table, view
@@ -75,7 +75,7 @@ SELECT sheet, table_no, position, CASE WHEN nth = 0 THEN norm ELSE norm || '_' |
   FROM (SELECT sheet, table_no, col - c0 AS position, {name_sql('value')} AS norm FROM inside WHERE row = r0))
 """))
 def detected_columns(spark: SparkSession, d: str) -> DataFrame:
-    head = c.header_cells(_inside(spark, d), KEYS).withColumn("norm", names.normalize_name(F.col("header")))
+    head = cut(c.header_cells(_inside(spark, d), KEYS).withColumn("norm", names.normalize_name(F.col("header"))))
     named = names.dedup_names(head, ["sheet", "table_no"], "position", "norm")
     return named.select("sheet", "table_no", "position", "final_name")
 

@@ -103,8 +103,7 @@ def health_history(spark: SparkSession, d: str) -> DataFrame:
 
 @query("health_trend", oracle("ledger_v", body=_points_sql("k_small") + _TRENDS + " SELECT * FROM trends"))
 def health_trend(spark: SparkSession, d: str) -> DataFrame:
-    points = h.history(_rows(spark, d, "k_small"), ["k_small"], ORDER)
-    return h.trends(points, ["k_small"]).withColumnRenamed("k_small", "k")
+    return h.trends(_rows(spark, d, "k_small"), ["k_small"], ORDER).withColumnRenamed("k_small", "k")
 
 
 @query("health_status", oracle("ledger_v", body=_points_sql("k") + _TRENDS + _STATUS + """

@@ -134,8 +134,9 @@ SELECT k, ts_day, CAST(running_total AS DOUBLE) AS running_total FROM (
     SUM(revenue) OVER (PARTITION BY k ORDER BY CAST(ts AS DATE)) AS running_total FROM ledger_v)
 """))
 def m_running(spark: SparkSession, d: str) -> DataFrame:
-    df = view(spark, d, "ledger_v").withColumn("ts_day", F.to_date("ts").cast("string"))
-    return _double(m.running_total(df, "revenue", "ts_day", ["k"]), "running_total")
+    df = view(spark, d, "ledger_v").withColumn("ts_day", F.to_date("ts"))
+    out = m.running_total(df, "revenue", "ts_day", ["k"])
+    return _double(out.withColumn("ts_day", F.col("ts_day").cast("string")), "running_total")
 
 
 @query("m_running_rows", """

@@ -29,7 +29,7 @@ def _contents(spark: SparkSession, d: str) -> DataFrame:
     text = F.when(doc % 50 == 0, " \n\t").otherwise(F.col("text"))
     utf8 = F.encode(text, "UTF-8")
     single = F.encode(F.translate(F.regexp_replace(text, r"[^\x00-\x7f]", "é"), "", ""), "ISO-8859-1")
-    return table(spark, d, "documents").select(
+    return table(spark, d, "documents", heavy=True).select(
         doc.alias("doc_id"), F.concat(F.lit("/in/"), doc.cast("string"), F.lit(".txt")).alias("path"),
         F.when(doc % 7 == 3, single).otherwise(utf8).alias("content"),
     ).withColumn("length", F.length("content"))
@@ -56,7 +56,7 @@ def src_encoding(spark: SparkSession, d: str) -> DataFrame:
 
 @query("content_hash", "SELECT doc_id, md5(text) AS file_hash FROM documents")
 def content_hash(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", fs.content_hash(F.encode("text", "UTF-8")).alias("file_hash"))
+    return table(spark, d, "documents", heavy=True).select("doc_id", fs.content_hash(F.encode("text", "UTF-8")).alias("file_hash"))
 
 
 _KIND = """CASE WHEN lower(file_name) LIKE '%.xlsx' OR lower(file_name) LIKE '%.xls' THEN 'excel'

@@ -20,7 +20,7 @@ FROM (SELECT doc_id, text, unnest(range(0, (length(text) + 899) // 900)) AS i FR
 
 @query("chunk_chars", CHUNK_SQL)
 def chunk_chars(spark: SparkSession, d: str) -> DataFrame:
-    return tx.chunk_rows(table(spark, d, "documents"), tx.fixed_chunks(F.col("text")), ["doc_id"])
+    return tx.chunk_rows(table(spark, d, "documents", heavy=True), tx.fixed_chunks(F.col("text")), ["doc_id"])
 
 
 # The oracle walks the paragraphs of all texts side by side, one step of the recursion per paragraph.
@@ -47,7 +47,7 @@ numbered AS (SELECT doc_id, CAST(ROW_NUMBER() OVER (PARTITION BY doc_id ORDER BY
 
 @query("chunk_paragraphs", oracle("paras_v", recursive=True, body=PARAGRAPH_CTES + " SELECT * FROM numbered"))
 def chunk_paragraphs(spark: SparkSession, d: str) -> DataFrame:
-    return tx.chunk_rows(view(spark, d, "paras_v"), tx.paragraph_chunks(F.col("t")), ["doc_id"])
+    return tx.chunk_rows(view(spark, d, "paras_v", heavy=True), tx.paragraph_chunks(F.col("t")), ["doc_id"])
 
 
 @query("pages_rows", r"""
@@ -62,7 +62,7 @@ def pages_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _paged(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select(
+    return table(spark, d, "documents", heavy=True).select(
         "doc_id", F.concat(F.col("source"), F.lit("_"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("file_name"),
         F.split("text", "\n", -1).alias("pages"),
     )
@@ -73,7 +73,7 @@ SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, chr
   lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''), chr(10) || chr(10)) AS text FROM documents
 """)
 def para_join(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select(
+    return table(spark, d, "documents", heavy=True).select(
         "doc_id", tx.paragraphs_to_text(F.split("text", "\n", -1)).alias("text")
     )
 
@@ -131,22 +131,22 @@ def _entity_oracle(kind: str) -> str:
 
 @query("entities_amounts", _entity_oracle("amounts"))
 def entities_amounts(spark: SparkSession, d: str) -> DataFrame:
-    return view(spark, d, "notes_v").select("id", F.array_join(tx.amounts(F.col("t")), "|").alias("found"))
+    return view(spark, d, "notes_v", heavy=True).select("id", F.array_join(tx.amounts(F.col("t")), "|").alias("found"))
 
 
 @query("entities_dates", _entity_oracle("dates"))
 def entities_dates(spark: SparkSession, d: str) -> DataFrame:
-    return view(spark, d, "notes_v").select("id", F.array_join(tx.dates(F.col("t")), "|").alias("found"))
+    return view(spark, d, "notes_v", heavy=True).select("id", F.array_join(tx.dates(F.col("t")), "|").alias("found"))
 
 
 @query("entities_pct", _entity_oracle("percentages"))
 def entities_pct(spark: SparkSession, d: str) -> DataFrame:
-    return view(spark, d, "notes_v").select("id", F.array_join(tx.percentages(F.col("t")), "|").alias("found"))
+    return view(spark, d, "notes_v", heavy=True).select("id", F.array_join(tx.percentages(F.col("t")), "|").alias("found"))
 
 
 @query("entities_companies", _entity_oracle("companies"))
 def entities_companies(spark: SparkSession, d: str) -> DataFrame:
-    return view(spark, d, "notes_v").select("id", F.array_join(tx.companies(F.col("t")), "|").alias("found"))
+    return view(spark, d, "notes_v", heavy=True).select("id", F.array_join(tx.companies(F.col("t")), "|").alias("found"))
 
 
 @query("entities_all", f"""
@@ -155,7 +155,7 @@ SELECT doc_id, chunk_index, """ + ", ".join(
     f"array_to_string({sql}, '|') AS {k}" for k, sql in entity_sql("chunk_text").items()
 ) + " FROM c")
 def entities_all(spark: SparkSession, d: str) -> DataFrame:
-    chunks = tx.chunk_rows(table(spark, d, "documents"), tx.fixed_chunks(F.col("text")), ["doc_id"])
+    chunks = tx.chunk_rows(table(spark, d, "documents", heavy=True), tx.fixed_chunks(F.col("text")), ["doc_id"])
     found = chunks.withColumn("e", tx.entities(F.col("chunk_text")))
     return found.select("doc_id", "chunk_index", *[F.array_join(f"e.{k}", "|").alias(k) for k in tx.ENTITY_KINDS])
 
@@ -165,11 +165,11 @@ def entities_all(spark: SparkSession, d: str) -> DataFrame:
                             for k, sql in entity_sql("t").items())
        + ") GROUP BY 1, 2 ORDER BY n DESC, kind, value LIMIT 100"))
 def entities_topk(spark: SparkSession, d: str) -> DataFrame:
-    found = view(spark, d, "notes_v").select(tx.entities(F.col("t")).alias("entities"))
+    found = view(spark, d, "notes_v", heavy=True).select(tx.entities(F.col("t")).alias("entities"))
     return tx.entity_counts(found).orderBy(F.col("n").desc(), "kind", "value").limit(100)
 
 
 @query("embed_text")
 def embed(spark: SparkSession, d: str) -> DataFrame:
-    vectors = embed_text(table(spark, d, "documents").select("doc_id", "text"), "text", 256)
+    vectors = embed_text(table(spark, d, "documents", heavy=True).select("doc_id", "text"), "text", 256)
     return vectors.select("doc_id", F.size("embedding").alias("dim"), "embedding")

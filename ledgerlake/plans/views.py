@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import spread
+
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -163,13 +165,15 @@ FROM {lineitem}
 """
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, heavy: bool = False) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if heavy else df
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def view(spark: SparkSession, sf_dir: str, name: str, heavy: bool = False) -> DataFrame:
+    """``heavy`` shares out a small file over all cores, for work that costs much per row."""
     sql = VIEWS[name]
-    used = {t: table(spark, sf_dir, t) for t in TABLES if "{" + t + "}" in sql}
+    used = {t: table(spark, sf_dir, t, heavy) for t in TABLES if "{" + t + "}" in sql}
     return spark.sql(sql.replace("VARCHAR", "STRING"), **used)
 
 

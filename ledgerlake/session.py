@@ -52,6 +52,15 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Share out an input that has fewer splits than there are cores; leave any other as it is.
+
+    For work that costs much per row on a small or coarsely split file.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` reliably in the shared folder and drop its lineage."""
     shared_dir(df.sparkSession)
