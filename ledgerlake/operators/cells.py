@@ -5,10 +5,12 @@ A sheet is a sparse table of its non-blank cells ``(<sheet keys>, row, col, valu
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,9 @@ from .ordered import numbered
 
 TILE = 256
 
+# Executors get the kernels below with the task and need no installed package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def nonblank(cells: DataFrame, value: str = "value") -> DataFrame:
     return cells.where(~is_blank(F.col(value)))

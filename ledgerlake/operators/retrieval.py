@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +22,9 @@ METADATA_OPENINGS = ("which file", "what file", "which sheet", "what sheet", "wh
 
 QUERY_BLOCK = 1024
 
+# Executors get the scoring kernel with the task and need no installed package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def nearest(df: DataFrame, vector: str, query: list[float], k: int, tie: list[str]) -> DataFrame:
     """The ``k`` rows nearest to one vector; each task keeps ``k`` rows, nothing is sorted whole."""

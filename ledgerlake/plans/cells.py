@@ -41,7 +41,7 @@ def _sql(body: str) -> str:
 
 
 def _grid(spark: SparkSession, d: str) -> DataFrame:
-    return view(spark, d, "grid_v").select("sheet", F.col("r").alias("row"), F.col("c").alias("col"), "value")
+    return view(spark, d, "grid_v", heavy=True).select("sheet", F.col("r").alias("row"), F.col("c").alias("col"), "value")
 
 
 @query("detect_tables", _sql(" SELECT sheet, r0, r1, c0, c1, n_cells, table_no FROM tables"))

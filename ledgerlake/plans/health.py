@@ -14,7 +14,7 @@ ORDER = ["seq", "tie"]
 
 
 def _rows(spark: SparkSession, d: str, key: str) -> DataFrame:
-    return h.ledger(view(spark, d, "ledger_v"), ROLES, [key], ORDER)
+    return h.ledger(view(spark, d, "ledger_v", heavy=True), ROLES, [key], ORDER)
 
 
 def _double(df: DataFrame) -> DataFrame:
@@ -89,7 +89,7 @@ SELECT CAST(SUM(revenue) AS DOUBLE) AS revenue, CAST(SUM(cost) AS DOUBLE) AS cos
 FROM ledger_v
 """))
 def health_totals(spark: SparkSession, d: str) -> DataFrame:
-    return _double(h.totals(h.ledger(view(spark, d, "ledger_v"), ROLES, []), []))
+    return _double(h.totals(h.ledger(view(spark, d, "ledger_v", heavy=True), ROLES, []), []))
 
 
 _POINT_COLUMNS = """ SELECT k, CAST(back AS INTEGER) AS back, period, CAST(revenue AS DOUBLE) AS revenue, CAST(cost AS DOUBLE) AS cost,

@@ -41,7 +41,7 @@ def m_avg(spark: SparkSession, d: str) -> DataFrame:
 SELECT k, CAST(SUM(revenue) - SUM(cost) AS DOUBLE) AS net FROM ledger_v GROUP BY 1
 """))
 def m_net(spark: SparkSession, d: str) -> DataFrame:
-    return _double(m.net(view(spark, d, "ledger_v"), "revenue", "cost", ["k"]), "net")
+    return _double(m.net(view(spark, d, "ledger_v", heavy=True), "revenue", "cost", ["k"]), "net")
 
 
 @query("m_margin", oracle("ledger_v", body="""
@@ -51,7 +51,7 @@ SELECT k, CAST(SUM(revenue) AS DOUBLE) AS total_revenue, CAST(SUM(cost) AS DOUBL
 FROM ledger_v GROUP BY k
 """))
 def m_margin(spark: SparkSession, d: str) -> DataFrame:
-    out = m.margin(view(spark, d, "ledger_v"), "revenue", "cost", ["k"])
+    out = m.margin(view(spark, d, "ledger_v", heavy=True), "revenue", "cost", ["k"])
     return _double(out, "total_revenue", "total_cost", "profit")
 
 
@@ -103,7 +103,7 @@ def m_range(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _by_month(spark: SparkSession, d: str) -> DataFrame:
-    return view(spark, d, "ledger_v").withColumn("period", F.date_format("ts", "yyyy-MM"))
+    return view(spark, d, "ledger_v", heavy=True).withColumn("period", F.date_format("ts", "yyyy-MM"))
 
 
 @query("m_growth", oracle("ledger_v", body="""
@@ -124,7 +124,7 @@ SELECT period, CAST(total AS DOUBLE) AS total, CAST(previous AS DOUBLE) AS previ
   ROUND(CAST(total - previous AS DOUBLE) * 100.0::DOUBLE / NULLIF(CAST(previous AS DOUBLE), 0), 2) AS change_pct FROM steps
 """))
 def m_cte_growth(spark: SparkSession, d: str) -> DataFrame:
-    df = view(spark, d, "ledger_v").withColumn("period", F.date_format("ts", "yyyy"))
+    df = view(spark, d, "ledger_v", heavy=True).withColumn("period", F.date_format("ts", "yyyy"))
     return _double(m.growth_rate(df, "revenue", "period"), "total", "previous", "change")
 
 
@@ -134,7 +134,7 @@ SELECT k, ts_day, CAST(running_total AS DOUBLE) AS running_total FROM (
     SUM(revenue) OVER (PARTITION BY k ORDER BY CAST(ts AS DATE)) AS running_total FROM ledger_v)
 """))
 def m_running(spark: SparkSession, d: str) -> DataFrame:
-    df = view(spark, d, "ledger_v").withColumn("ts_day", F.to_date("ts"))
+    df = view(spark, d, "ledger_v", heavy=True).withColumn("ts_day", F.to_date("ts"))
     out = m.running_total(df, "revenue", "ts_day", ["k"])
     return _double(out.withColumn("ts_day", F.col("ts_day").cast("string")), "running_total")
 

@@ -62,6 +62,11 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` reliably in the shared folder and drop its lineage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` to a table in the shared folder and read it back, which drops its lineage.
+
+    The plan runs once (a checkpoint would run its last stage twice), survives lost
+    executors, and later joins know the true size of the result.
+    """
+    path = new_path(df.sparkSession, "cut")
+    df.write.mode("errorifexists").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
