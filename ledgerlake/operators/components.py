@@ -36,12 +36,11 @@ def components(edges: DataFrame) -> DataFrame:
     e = cut(edges.where("u <> v").distinct())
     while True:
         nxt = cut(_small_star(_large_star(e)).distinct())
-        # Finished when every node hangs on one root and no root hangs on anything.
-        roots = nxt.select(F.col("v").alias("u")).distinct()
-        loose = nxt.join(roots, "u", "left_semi").limit(1).count()
-        forks = nxt.groupBy("u").count().where("count > 1").limit(1).count() if not loose else 1
         e = nxt
-        if not loose and not forks:
+        # Finished when every node hangs on one root and no root hangs on anything.
+        ends = nxt.select("u", F.lit(1).alias("up")).unionByName(nxt.select(F.col("v").alias("u"), F.lit(0).alias("up")))
+        degree = ends.groupBy("u").agg(F.sum("up").alias("ups"), F.min("up").alias("is_leaf"))
+        if degree.where((F.col("ups") > 1) | ((F.col("ups") == 1) & (F.col("is_leaf") == 0))).limit(1).count() == 0:
             break
     return (
         e.select(F.col("u").alias("node"), F.col("v").alias("label"))

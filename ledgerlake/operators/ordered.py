@@ -24,8 +24,8 @@ def group_limit(df: DataFrame) -> int:
 
 
 def _largest(df: DataFrame, keys: list[str]) -> int:
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")) if keys else df.agg(F.count(F.lit(1)).alias("n"))
-    return counts.agg(F.max("n")).first()[0] or 0
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    return counts.agg(F.max("_rows")).first()[0] or 0
 
 
 class Ordered:
