@@ -28,6 +28,7 @@ COMPANY_SUFFIXES = ("Inc", "Corp", "Ltd", "LLC", "Limited", "Corporation", "Comp
 COMPANY_PATTERN = rf"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+){{1,3}})\s+(?:{'|'.join(COMPANY_SUFFIXES)})"
 ENTITY_KINDS = ("amounts", "dates", "percentages", "companies")
 
+_PAGE = 500
 _SPACE = r"(?U)[\s\x1c-\x1f]"
 
 
@@ -51,9 +52,16 @@ def fixed_chunks(text: Column, size: int = 1000, overlap: int = 100) -> Column:
 
 
 def paragraph_chunks(text: Column, size: int = 1000, overlap_words: int = 200) -> Column:
-    """Paragraphs packed into chunks, each new chunk opening with the tail of the last, as one array."""
+    """Paragraphs packed into chunks, each new chunk opening with the tail of the last, as one array.
+
+    A fold over the paragraphs. Closed chunks are kept in pages of ``_PAGE``, as
+    adding to an array copies it: a text of n chunks costs n pages, not n arrays of n.
+    """
     paragraphs = F.filter(F.transform(F.split(text, rf"\n{_SPACE}*\n", -1), strip), lambda p: p != "")
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur"))
+    none = F.array().cast("array<string>")
+    start = F.struct(
+        F.array().cast("array<array<string>>").alias("pages"), none.alias("page"), F.lit("").alias("cur")
+    )
 
     def tail(cur: Column) -> Column:
         words = F.filter(F.split(cur, rf"{_SPACE}+", -1), lambda w: w != "")
@@ -62,17 +70,19 @@ def paragraph_chunks(text: Column, size: int = 1000, overlap_words: int = 200) -
         ).otherwise(cur)
 
     def add(state: Column, p: Column) -> Column:
-        cur, done = state["cur"], state["done"]
+        pages, page, cur = state["pages"], state["page"], state["cur"]
         full = (F.length(cur) + F.length(p) > size) & (cur != "")
+        turn = F.size(page) >= _PAGE
         return F.when(
             full,
             F.struct(
-                F.array_append(done, cur).alias("done"),
+                F.when(turn, F.array_append(pages, page)).otherwise(pages).alias("pages"),
+                F.when(turn, F.array(cur)).otherwise(F.array_append(page, cur)).alias("page"),
                 F.concat(tail(cur), F.lit("\n\n"), p).alias("cur"),
             ),
         ).otherwise(
             F.struct(
-                done.alias("done"),
+                pages.alias("pages"), page.alias("page"),
                 F.when(cur == "", p).otherwise(F.concat(cur, F.lit("\n\n"), p)).alias("cur"),
             )
         )
@@ -80,7 +90,9 @@ def paragraph_chunks(text: Column, size: int = 1000, overlap_words: int = 200) -
     # Stripped, non-blank paragraphs leave nothing to strip at the ends of a chunk.
     return F.aggregate(
         paragraphs, start, add,
-        lambda s: F.when(s["cur"] == "", s["done"]).otherwise(F.array_append(s["done"], s["cur"])),
+        lambda s: F.concat(
+            F.flatten(F.array_append(s["pages"], s["page"])), F.when(s["cur"] == "", none).otherwise(F.array(s["cur"]))
+        ),
     )
 
 

@@ -33,12 +33,12 @@ def assign_versions(
     NEW and gets the next version. ``stored`` holds the latest (file_name, version,
     file_hash) known before.
     """
+    o = Ordered(arrivals, ["file_name"], [F.col(arrival)]).lag("file_hash", "_prev")
     if stored is None:
-        rows = arrivals.withColumns({"_v0": F.lit(0), "_h0": F.lit(None).cast("string")})
+        o.df = o.df.withColumns({"_v0": F.lit(0), "_h0": F.lit(None).cast("string")})
     else:
         last = stored.select("file_name", F.col("version").alias("_v"), F.col("file_hash").alias("_h0"))
-        rows = arrivals.join(last, "file_name", "left").withColumn("_v0", F.coalesce("_v", F.lit(0))).drop("_v")
-    o = Ordered(rows, ["file_name"], [F.col(arrival)]).lag("file_hash", "_prev")
+        o.df = o.df.join(last, "file_name", "left").withColumn("_v0", F.coalesce("_v", F.lit(0))).drop("_v")
     o.df = o.df.withColumn("_new", (~F.col("file_hash").eqNullSafe(F.coalesce("_prev", "_h0"))).cast("int"))
     rows = o.running_sum(F.col("_new"), "_n").done()
     return rows.select(

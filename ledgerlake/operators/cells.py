@@ -194,16 +194,26 @@ def table_cells(cells: DataFrame, tables: DataFrame, keys: list[str], tile: int
     )
 
 
-def promote_header(in_tables: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
+def promote_header(in_tables: DataFrame, keys: list[str], value: str = "value", rows: int = 65_536) -> DataFrame:
     """Data cells with the text of their column's header: the first row of a rectangle names its columns.
 
     Input is the result of ``table_cells``; ``data_row`` counts from 0 below the header.
-    A column without header text gets a null ``header``.
+    A column without header text gets a null ``header``. A header is repeated for each
+    stretch of ``rows`` rows, so a column of any length is joined in bounded pieces.
     """
-    on = [*keys, "table_no", "col"]
-    header = in_tables.where("row = r0").select(*on, F.col(value).alias("header"))
-    data = in_tables.where("row > r0").withColumn("data_row", F.col("row") - F.col("r0") - 1)
-    return data.join(header, on, "left").select(*keys, "table_no", "data_row", "col", "header", value)
+    on = [*keys, "table_no", "col", "_part"]
+
+    def part(row: str):
+        return F.floor((F.col(row) - F.col("r0")) / rows)
+
+    header = in_tables.where("row = r0").select(
+        *keys, "table_no", "col", F.col(value).alias("header"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), part("r1"))).alias("_part"),
+    )
+    data = in_tables.where("row > r0").withColumn("_part", part("row"))
+    return data.join(header, on, "left").select(
+        *keys, "table_no", (F.col("row") - F.col("r0") - 1).alias("data_row"), "col", "header", value
+    )
 
 
 def header_cells(in_tables: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
@@ -226,10 +236,15 @@ def cells_to_table(
 
 
 def table_names(tables: DataFrame, keys: list[str], sheet_name: str) -> DataFrame:
-    """``clean_name``: the sheet name, with ``_Table{i}`` when the sheet holds more than one table."""
-    many = tables.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    return tables.join(many, keys).withColumn(
-        "clean_name",
-        F.when(F.col("_n") > 1, F.concat(F.col(sheet_name), F.lit("_Table"), F.col("table_no").cast("string")))
-        .otherwise(F.col(sheet_name)),
-    ).drop("_n")
+    """``clean_name``: the sheet name, with ``_Table{i}`` when the sheet holds more than one table.
+
+    Only the first table of a sheet has to ask whether there is a second one, so the
+    join sees one row per sheet and side.
+    """
+    second = tables.where("table_no = 2").select(*keys, F.lit(True).alias("_more"))
+    first = tables.where("table_no = 1").join(second, keys, "left")
+    rest = tables.where("table_no > 1").withColumn("_more", F.lit(True))
+    numbered_name = F.concat(F.col(sheet_name), F.lit("_Table"), F.col("table_no").cast("string"))
+    return first.unionByName(rest).withColumn(
+        "clean_name", F.when(F.col("_more"), numbered_name).otherwise(F.col(sheet_name))
+    ).drop("_more")

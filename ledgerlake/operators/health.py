@@ -19,6 +19,9 @@ from ..session import cut
 
 METRICS = ("revenue", "cost", "profit")
 
+# Entities with few rows are sent to all tasks up to this number.
+BROADCAST_ENTITIES = 100_000
+
 # The reason texts of the four outcomes.
 REASON_LOSS = "The business is currently operating at a net loss."
 REASON_COST = "Expenses are rising faster than revenue, threatening future margins."
@@ -123,10 +126,15 @@ def _same(left: list[str], right: list[str]) -> Column:
 def _few(rows: DataFrame, summary: DataFrame, by: list[str], order: list[str], periods: int, dense_over: int):
     """Last rows of the entities with few dated rows, or None when there is no such entity."""
     few = summary.where(F.col("n_dated").between(1, dense_over)).select(*[F.col(k).alias(f"_f_{k}") for k in by])
-    if few.limit(1).count() == 0:
+    cond = _same(by, [f"_f_{k}" for k in by])
+    n = few.limit(BROADCAST_ENTITIES + 1).count()
+    if n == 0:
         return None
-    mine = rows.join(few, _same(by, [f"_f_{k}" for k in by]), "left_semi")
-    return _last_rows(mine, by, order, periods)
+    if n <= BROADCAST_ENTITIES:
+        # The rows of large entities go out before anything is sorted or shuffled.
+        return _last_rows(rows.join(F.broadcast(few), cond, "left_semi"), by, order, periods)
+    # Each task first keeps its last rows per entity; only those are shuffled and joined.
+    return _last_rows(rows, by, order, periods).join(few, cond, "left_semi")
 
 
 def _span(periods: int) -> Column:

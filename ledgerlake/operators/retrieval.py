@@ -98,11 +98,16 @@ def hybrid_search(
     sheets: DataFrame, files: DataFrame, policies: DataFrame, role: str, question: str,
     query: list[float], k: int = 3,
 ) -> DataFrame:
-    """Visible sheets ranked by file-name match, then distance; the best ``k``."""
-    seen = visible_sheets(sheets, policies, role).join(files.select("file_id", "file_name"), "file_id")
-    ranked = seen.withColumn("name_rank", F.when(contains_text(F.col("file_name"), question), 0).otherwise(1))
+    """Visible sheets ranked by file-name match, then distance; the best ``k``.
+
+    Distances are taken where the sheets are read, so no vector is shuffled.
+    """
+    near = visible_sheets(sheets, policies, role).withColumn(
+        "distance", distance_to(F.col("summary_embedding"), query)
+    ).drop("summary_embedding")
+    named = near.join(files.select("file_id", "file_name"), "file_id")
     return (
-        ranked.withColumn("distance", distance_to(F.col("summary_embedding"), query))
+        named.withColumn("name_rank", F.when(contains_text(F.col("file_name"), question), 0).otherwise(1))
         .orderBy("name_rank", F.col("distance").asc_nulls_last(), "sheet_id").limit(k)
     )
 

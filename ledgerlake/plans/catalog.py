@@ -104,9 +104,9 @@ FROM (SELECT *, CAST(substr(sheet_id, 2) AS BIGINT) AS vec FROM sheets_v)
 def catalog_update(spark: SparkSession, d: str) -> DataFrame:
     sheets = view(spark, d, "sheets_v").select("sheet_id", "sheet_name", "category", "keywords")
     vec = F.substring("sheet_id", 2, 20).cast("bigint")
-    changes = sheets.where(vec % 2 == 0).select(
-        "sheet_id", F.concat(F.lit("New "), "sheet_name").alias("category"),
-        F.when(vec % 3 != 0, "updated").alias("keywords"),
+    changes = sheets.select(
+        "sheet_id", F.when(vec % 2 == 0, F.concat(F.lit("New "), "sheet_name")).alias("category"),
+        F.when((vec % 2 == 0) & (vec % 3 != 0), "updated").alias("keywords"),
     )
     return cat.update_by_key(sheets, changes, "sheet_id").drop("sheet_name")
 

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import names
 from ..operators import cells as c
+from ..operators.ingest import ingest
 from ..operators.profile import SPARK_TYPES, infer_types_by
 from ..sources.files import csv_to_cells
 from ..session import cut, new_path
-from .names import name_sql
+from .names import name_sql, role_sql
 from .registry import query
 from .views import oracle, table, view
 
@@ -135,3 +136,47 @@ def src_cells(spark: SparkSession, d: str) -> DataFrame:
     cells = csv_to_cells(spark, path)
     keys = cells.where("col = 0").select("file_id", "row", F.col("value").alias("key"))
     return cells.where("col > 0").join(keys, ["file_id", "row"]).select("key", "col", "value")
+
+
+INGEST_CTES = f""",
+columns AS (SELECT sheet, table_no, col, MAX(CASE WHEN row = r0 THEN value END) AS original_name,
+    COUNT(CASE WHEN row > r0 THEN value END) AS filled,
+    COUNT(CASE WHEN row > r0 THEN TRY_CAST(value AS BIGINT) END) AS whole FROM inside GROUP BY 1, 2, 3),
+normed AS (SELECT *, CASE WHEN whole = filled THEN 'INTEGER' ELSE 'TEXT' END AS type, {name_sql('original_name')} AS norm
+  FROM columns WHERE filled > 0),
+named AS (SELECT *, CASE WHEN nth = 0 THEN norm ELSE norm || '_' || CAST(nth AS VARCHAR) END AS name FROM (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY sheet, table_no, norm ORDER BY col) - 1 AS nth FROM normed)),
+firsts AS (SELECT sheet, table_no, col, value, MIN(row) AS first_row FROM inside WHERE row > r0 GROUP BY 1, 2, 3, 4),
+ranked AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY sheet, table_no, col ORDER BY first_row) AS rn FROM firsts),
+samples AS (SELECT sheet, table_no, col, string_agg(value, '|' ORDER BY rn) AS samples FROM ranked WHERE rn <= 3 GROUP BY 1, 2, 3)
+"""
+
+
+def _ingested(spark: SparkSession, d: str):
+    return ingest(_grid(spark, d), KEYS, "sheet", F.md5(F.col("sheet").cast("binary")))
+
+
+@query("ingest_columns", _sql(INGEST_CTES + f"""
+SELECT n.sheet, n.table_no, n.col, n.original_name, n.name, n.type, {role_sql('lower(n.name)')} AS role, s.samples
+FROM named n JOIN samples s ON s.sheet = n.sheet AND s.table_no = n.table_no AND s.col = n.col
+"""))
+def ingest_columns(spark: SparkSession, d: str) -> DataFrame:
+    columns = _ingested(spark, d)[1]
+    return columns.select(
+        "sheet", "table_no", "col", "original_name", "name", "type", "role", F.array_join("samples", "|").alias("samples")
+    )
+
+
+@query("ingest_sheets", _sql(INGEST_CTES + """,
+widths AS (SELECT sheet, table_no, COUNT(*) AS num_columns, string_agg(name, ', ' ORDER BY col) FILTER (pos <= 5) AS keywords
+  FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY sheet, table_no ORDER BY col) AS pos FROM named) GROUP BY 1, 2),
+titled AS (SELECT *, CASE WHEN COUNT(*) OVER (PARTITION BY sheet) > 1 THEN sheet || '_Table' || CAST(table_no AS VARCHAR) ELSE sheet END AS title
+  FROM tables)
+SELECT t.sheet, t.table_no, t.title AS sheet_title,
+  'sheet_' || trim(regexp_replace(lower(t.title), '[^a-z0-9]+', '_', 'g'), '_') || '_' || substr(md5(t.sheet), 1, 8) AS table_name,
+  t.r1 - t.r0 AS num_rows, CAST(w.num_columns AS INTEGER) AS num_columns, 'General' AS category,
+  'Sheet with ' || CAST(t.r1 - t.r0 AS VARCHAR) || ' rows and ' || CAST(w.num_columns AS VARCHAR) || ' columns' AS summary, w.keywords
+FROM titled t JOIN widths w ON w.sheet = t.sheet AND w.table_no = t.table_no
+"""))
+def ingest_sheets(spark: SparkSession, d: str) -> DataFrame:
+    return _ingested(spark, d)[2].drop("columns_metadata")
