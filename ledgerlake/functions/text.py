@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import re
+import sys
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .clean import strip_nul
 
@@ -28,8 +34,13 @@ COMPANY_SUFFIXES = ("Inc", "Corp", "Ltd", "LLC", "Limited", "Corporation", "Comp
 COMPANY_PATTERN = rf"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+){{1,3}})\s+(?:{'|'.join(COMPANY_SUFFIXES)})"
 ENTITY_KINDS = ("amounts", "dates", "percentages", "companies")
 
-_PAGE = 500
 _SPACE = r"(?U)[\s\x1c-\x1f]"
+_BLANK_LINES = re.compile(r"\n\s*\n")
+# Characters of output a task gathers before it passes them on.
+_SLICE = 8_000_000
+
+# Executors get the packing step with the task and need no installed package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def strip(text: Column) -> Column:
@@ -51,56 +62,70 @@ def fixed_chunks(text: Column, size: int = 1000, overlap: int = 100) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), strip_nul)
 
 
-def paragraph_chunks(text: Column, size: int = 1000, overlap_words: int = 200) -> Column:
-    """Paragraphs packed into chunks, each new chunk opening with the tail of the last, as one array.
-
-    A fold over the paragraphs. Closed chunks are kept in pages of ``_PAGE``, as
-    adding to an array copies it: a text of n chunks costs n pages, not n arrays of n.
-    """
-    paragraphs = F.filter(F.transform(F.split(text, rf"\n{_SPACE}*\n", -1), strip), lambda p: p != "")
-    none = F.array().cast("array<string>")
-    start = F.struct(
-        F.array().cast("array<array<string>>").alias("pages"), none.alias("page"), F.lit("").alias("cur")
-    )
-
-    def tail(cur: Column) -> Column:
-        words = F.filter(F.split(cur, rf"{_SPACE}+", -1), lambda w: w != "")
-        return F.when(
-            F.size(words) > overlap_words, F.array_join(F.slice(words, -overlap_words, overlap_words), " ")
-        ).otherwise(cur)
-
-    def add(state: Column, p: Column) -> Column:
-        pages, page, cur = state["pages"], state["page"], state["cur"]
-        full = (F.length(cur) + F.length(p) > size) & (cur != "")
-        turn = F.size(page) >= _PAGE
-        return F.when(
-            full,
-            F.struct(
-                F.when(turn, F.array_append(pages, page)).otherwise(pages).alias("pages"),
-                F.when(turn, F.array(cur)).otherwise(F.array_append(page, cur)).alias("page"),
-                F.concat(tail(cur), F.lit("\n\n"), p).alias("cur"),
-            ),
-        ).otherwise(
-            F.struct(
-                pages.alias("pages"), page.alias("page"),
-                F.when(cur == "", p).otherwise(F.concat(cur, F.lit("\n\n"), p)).alias("cur"),
-            )
-        )
-
-    # Stripped, non-blank paragraphs leave nothing to strip at the ends of a chunk.
-    return F.aggregate(
-        paragraphs, start, add,
-        lambda s: F.concat(
-            F.flatten(F.array_append(s["pages"], s["page"])), F.when(s["cur"] == "", none).otherwise(F.array(s["cur"]))
-        ),
-    )
-
-
 def chunk_rows(df: DataFrame, chunks: Column, keep: list[str]) -> DataFrame:
     """One row per chunk: the kept columns, ``chunk_index`` from 0 and ``chunk_text``."""
     return df.select(*keep, F.posexplode(chunks).alias("chunk_index", "chunk_text"))
 
 
+def _packed(text: str, size: int, overlap: int) -> Iterator[str]:
+    """Paragraphs of one text packed into chunks; ``words`` are those of the open chunk."""
+    chunk, words = "", []
+    for paragraph in map(str.strip, _BLANK_LINES.split(text)):
+        if not paragraph:
+            continue
+        if chunk and len(chunk) + len(paragraph) > size:
+            yield chunk
+            if len(words) > overlap:
+                words = words[-overlap:]
+                chunk = " ".join(words)
+        chunk = f"{chunk}\n\n{paragraph}" if chunk else paragraph
+        words += paragraph.split()
+    if chunk:
+        yield chunk
+
+
+def paragraph_chunk_rows(
+    df: DataFrame, text: str, keep: list[str], size: int = 1000, overlap_words: int = 200
+) -> DataFrame:
+    """One row per chunk of whole paragraphs, each chunk opening with the tail of the last.
+
+    What a chunk holds depends on the one before it, and ``aggregate`` copies all it
+    has gathered at each step, which grows with the square of the text. So this runs
+    as a generator over Arrow batches: one pass per text, output sent in slices.
+    """
+    schema = df.select(*keep).schema.add("chunk_index", T.IntegerType()).add("chunk_text", T.StringType())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [batch.column(k) for k in keep]
+            rows: list[int] = []
+            index: list[int] = []
+            chunks: list[str] = []
+            held = 0
+
+            def flush() -> pa.RecordBatch:
+                at = pa.array(rows, pa.int64())
+                return pa.RecordBatch.from_arrays(
+                    [*[k.take(at) for k in kept], pa.array(index, pa.int32()), pa.array(chunks, pa.string())],
+                    names=[*keep, "chunk_index", "chunk_text"],
+                )
+
+            for row, value in enumerate(batch.column(text)):
+                for i, chunk in enumerate(_packed(value.as_py() or "", size, overlap_words)):
+                    rows.append(row)
+                    index.append(i)
+                    chunks.append(chunk)
+                    held += len(chunk)
+                    if held >= _SLICE:
+                        yield flush()
+                        rows, index, chunks, held = [], [], [], 0
+            if rows:
+                yield flush()
+
+    columns = list(dict.fromkeys([*keep, text]))
+    return df.select(*columns).mapInArrow(run, schema)
+
+
 def _found(text: Column, patterns, flags: str, group: int = 0) -> Column:
     hits = [F.regexp_extract_all(text, F.lit(flags + p), F.lit(group)) for p in patterns]
     return F.concat(*hits) if len(hits) > 1 else hits[0]

@@ -47,7 +47,7 @@ numbered AS (SELECT doc_id, CAST(ROW_NUMBER() OVER (PARTITION BY doc_id ORDER BY
 
 @query("chunk_paragraphs", oracle("paras_v", recursive=True, body=PARAGRAPH_CTES + " SELECT * FROM numbered"))
 def chunk_paragraphs(spark: SparkSession, d: str) -> DataFrame:
-    return tx.chunk_rows(view(spark, d, "paras_v", heavy=True), tx.paragraph_chunks(F.col("t")), ["doc_id"])
+    return tx.paragraph_chunk_rows(view(spark, d, "paras_v", heavy=True), "t", ["doc_id"])
 
 
 @query("pages_rows", r"""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.text import chunk_rows, entities, fixed_chunks, paragraph_chunks
+from ..functions.text import chunk_rows, entities, fixed_chunks, paragraph_chunk_rows
 from ..operators.catalog import assign_versions, latest_version
 
 VERSIONS = T.StructType([
@@ -22,8 +22,8 @@ VERSIONS = T.StructType([
 
 def text_to_chunks(rows: DataFrame, text: str = "text", key: str = "file_id", by_paragraph: bool = True) -> DataFrame:
     """Chunk rows with entities; the same plan serves a batch and a stream."""
-    cut = paragraph_chunks if by_paragraph else fixed_chunks
-    return chunk_rows(rows, cut(F.col(text)), [key]).withColumn("entities", entities(F.col("chunk_text")))
+    chunks = paragraph_chunk_rows(rows, text, [key]) if by_paragraph else chunk_rows(rows, fixed_chunks(F.col(text)), [key])
+    return chunks.withColumn("entities", entities(F.col("chunk_text")))
 
 
 def start_chunk_stream(

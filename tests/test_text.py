@@ -58,8 +58,19 @@ def test_paragraph_chunks(spark):
         "\n\n".join(["a " * 199 + "a", para(150), para(10)]), "\n\n".join(["a " * 200 + "a", para(150), para(10)]),
         "\n \n".join(para(rnd.randint(0, 120)) for _ in range(60)), "a \n \nb\n\n" + "c" * 999 + "\n\nd",
     ]
-    got, _ = chunks(spark, tx.paragraph_chunks, texts)
-    assert got == [pack(t) for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)) + [(None, "no key"), (99, None)], "i int, t string")
+    rows = tx.paragraph_chunk_rows(df, "t", ["i"]).orderBy("i", "chunk_index").collect()
+    assert [[r.chunk_text for r in rows if r.i == i] for i in range(len(texts))] == [pack(t) for t in texts]
+    assert [(r.chunk_index, r.chunk_text) for r in rows if r.i is None] == [(0, "no key")]
+
+
+def test_long_text_is_passed_on_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(tx, "_SLICE", 5000)
+    t = "\n\n".join(f"paragraph {i} of many words" for i in range(5000))
+    df = spark.createDataFrame([(1, t), (2, "end")], "i int, t string")
+    rows = tx.paragraph_chunk_rows(df, "t", ["i"]).orderBy("i", "chunk_index").collect()
+    assert [r.chunk_text for r in rows if r.i == 1] == pack(t)
+    assert [r.chunk_index for r in rows if r.i == 1] == list(range(len(rows) - 1))
 
 
 def test_entities(spark):
