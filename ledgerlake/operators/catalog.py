@@ -57,9 +57,13 @@ def list_files(files: DataFrame, limit: int = 100, offset: int = 0) -> DataFrame
 
 def file_detail(files: DataFrame, sheets: DataFrame, file_id: str) -> DataFrame:
     """A file with its sheets by name, one row per sheet (one row with nulls when it has none)."""
-    one = files.where(F.col("file_id") == file_id)
-    mine = sheets.where(F.col("file_id") == file_id).drop("file_id").withColumn("_f", F.lit(file_id))
-    return one.join(mine, F.col("file_id") == F.col("_f"), "left").drop("_f").orderBy("sheet_name")
+    # The id is a key, so there is one file row to send to the sheets, however many they are.
+    one = files.where(F.col("file_id") == file_id).limit(1)
+    mine = sheets.where(F.col("file_id") == file_id)
+    with_sheets = mine.join(F.broadcast(one), "file_id")
+    if mine.isEmpty():
+        return one.unionByName(with_sheets, allowMissingColumns=True)
+    return with_sheets.select(*one.columns, *[c for c in mine.columns if c != "file_id"]).orderBy("sheet_name")
 
 
 def sheet_by_id(sheets: DataFrame, sheet_id: str) -> DataFrame:

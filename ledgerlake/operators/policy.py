@@ -25,16 +25,21 @@ def seed(spark: SparkSession) -> DataFrame:
 
 def seed_if_empty(existing: DataFrame) -> DataFrame:
     """Existing policies, or the seed when there are none."""
-    cols = POLICIES.fieldNames()
-    filled = existing.limit(1).select(F.lit(1).alias("_one"))
-    new = seed(existing.sparkSession).withColumn("_one", F.lit(1)).join(filled, "_one", "left_anti")
-    return existing.select(*cols).unionByName(new.select(*cols))
+    return seed(existing.sparkSession) if existing.isEmpty() else existing.select(*POLICIES.fieldNames())
 
 
 def duplicate_policies(policies: DataFrame) -> DataFrame:
     return policies.groupBy("role", *KEY).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
+def require_unique(policies: DataFrame) -> DataFrame:
+    """The policies themselves; an error if a (role, domain, level) occurs twice."""
+    twice = duplicate_policies(policies).first()
+    if twice is not None:
+        raise ValueError(f"more than one policy for {twice['role']} on {twice['data_domain']}/{twice['sensitivity_level']}")
+    return policies
+
+
 def visible_sheets(sheets: DataFrame, policies: DataFrame, role: str) -> DataFrame:
     """Sheets the role may see, with its rights.
 

@@ -34,6 +34,9 @@ def test_seed_and_lists(spark):
     assert p.seed_if_empty(seed.limit(2)).count() == 2
     rows = p.role_policies(seed, "CEO").collect()
     assert [(r.data_domain, r.total_policies) for r in rows] == [("finance", 2), ("hr", 2)]
+    assert p.require_unique(seed) is seed
+    with pytest.raises(ValueError, match="more than one policy"):
+        p.require_unique(seed.unionByName(seed))
     assert p.duplicate_policies(seed).count() == 0 and p.duplicate_policies(seed.unionByName(seed)).count() == 6
 
 
