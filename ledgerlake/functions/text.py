@@ -24,6 +24,7 @@ AMOUNT_PATTERNS = (
     r"€\s*[\d,]+\.?\d*",
     r"£\s*[\d,]+\.?\d*",
 )
+CURRENCY_SIGNS = ("$", "€", "£")
 DATE_PATTERNS = (
     r"\d{1,2}[/-]\d{1,2}[/-]\d{2,4}",
     r"\d{4}[/-]\d{1,2}[/-]\d{1,2}",
@@ -63,8 +64,14 @@ def fixed_chunks(text: Column, size: int = 1000, overlap: int = 100) -> Column:
 
 
 def chunk_rows(df: DataFrame, chunks: Column, keep: list[str]) -> DataFrame:
-    """One row per chunk: the kept columns, ``chunk_index`` from 0 and ``chunk_text``."""
-    return df.select(*keep, F.posexplode(chunks).alias("chunk_index", "chunk_text"))
+    """One row per chunk: the kept columns, ``chunk_index`` from 0 and ``chunk_text``.
+
+    The outer form with a filter behind it, as the plain form makes the optimiser
+    test the size of the array first, which computes it twice.
+    """
+    return df.select(*keep, F.posexplode_outer(chunks).alias("chunk_index", "chunk_text")).where(
+        F.col("chunk_index").isNotNull()
+    )
 
 
 def _packed(text: str, size: int, overlap: int) -> Iterator[str]:
@@ -141,7 +148,12 @@ def _has_digit(text: Column) -> Column:
 
 
 def amounts(text: Column) -> Column:
-    return _if(_has_digit(text), _found(text, AMOUNT_PATTERNS, "(?iU)"))
+    def hits(pattern: str) -> Column:
+        found = _found(text, (pattern,), "(?iU)")
+        sign = next((s for s in CURRENCY_SIGNS if pattern.lstrip("\\").startswith(s)), None)
+        return _if(F.contains(text, F.lit(sign)), found) if sign else found
+
+    return _if(_has_digit(text), F.concat(*[hits(p) for p in AMOUNT_PATTERNS]))
 
 
 def dates(text: Column) -> Column:
@@ -174,8 +186,8 @@ def entity_counts(df: DataFrame, entity: str = "entities") -> DataFrame:
 
     pairs = F.flatten(F.array(*[tagged(k) for k in ENTITY_KINDS]))
     return (
-        df.select(F.explode(pairs).alias("e")).groupBy("e.kind", "e.value")
-        .agg(F.count(F.lit(1)).alias("n"))
+        df.select(F.explode_outer(pairs).alias("e")).where(F.col("e").isNotNull())
+        .groupBy("e.kind", "e.value").agg(F.count(F.lit(1)).alias("n"))
     )
 
 
@@ -187,7 +199,7 @@ def paragraphs_to_text(paragraphs: Column) -> Column:
 def pages_to_rows(df: DataFrame, pages: str, keep: list[str]) -> DataFrame:
     """One row per non-blank page of an array of page texts; pages count from 1."""
     return (
-        df.select(*keep, F.posexplode(pages).alias("_pos", "_text"))
+        df.select(*keep, F.posexplode_outer(pages).alias("_pos", "_text"))
         .select(*keep, (F.col("_pos") + 1).alias("page_number"), strip(F.col("_text")).alias("page_text"))
         .where(F.col("page_text") != "")
     )
