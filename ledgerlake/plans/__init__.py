@@ -1 +1 @@
-"""The registered queries and their reference SQL."""
+"""The registered queries and their oracle SQL."""
