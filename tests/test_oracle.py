@@ -5,6 +5,7 @@ from pathlib import Path
 import pytest
 
 import __spark_entry__ as entry
+from ledgerlake.plans import registry
 from oracle_check import compare
 
 SF = "/root/testdata/sf0.001"
@@ -12,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(registry.QUERIES))
 def test_query(spark, name):
     assert compare(spark, SF, name) is None
 
@@ -22,4 +23,4 @@ def test_entry(spark):
 
 
 def test_only_these_have_no_oracle():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"embed_text", "health_report"}
+    assert set(registry.QUERIES) - set(registry.ORACLE) == {"embed_text", "health_report"}
