@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import near_dedup
+from . import exact_dedup, mixing, near_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -24,3 +25,49 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), size=3, per_cent=85)
+
+
+@query
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = mixing.copies(table(spark, sf_dir, "documents"))
+    return counted.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+ORACLE["op3_mix_sources"] = r"""
+WITH sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+placed AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY size, doc_id) AS i FROM sized),
+sums AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
+ranked AS (
+  SELECT *, CAST([3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS DOUBLE) AS weight, source_size * 2.0::DOUBLE AS most FROM sums),
+-- Sources by the level at which each is full; with the first k of them full, the rest share what is left by weight.
+levels AS (
+  SELECT *, sum(most) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS spent,
+    sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest,
+    1.5::DOUBLE * sum(source_size) OVER () AS whole, row_number() OVER o AS k
+  FROM ranked WINDOW o AS (ORDER BY most / weight, source NULLS LAST)),
+first_open AS (
+  SELECT k, whole - coalesce(spent, 0) AS to_share, rest FROM levels
+  WHERE most * rest > weight * (whole - coalesce(spent, 0)) ORDER BY k LIMIT 1),
+goals AS (
+  SELECT source, source_size, CASE WHEN f.k IS NULL OR l.k < f.k THEN most ELSE weight * f.to_share / f.rest END AS target
+  FROM levels l LEFT JOIN first_open f ON true),
+rated AS (
+  SELECT doc_id, size, source_size, target, i, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0::DOUBLE END AS rate,
+    CAST(CAST('0x' || substr(md5('0:' || coalesce(p.source, '')), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0::DOUBLE AS start
+  FROM placed p JOIN goals g ON p.source IS NOT DISTINCT FROM g.source)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
+  CAST((floor(i * rate + start) - floor((i - 1) * rate + start)) * size AS BIGINT) AS taken
+FROM rated
+"""
+
+
+@query
+def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"), keep="max")
+
+
+ORACLE["op7_exact_dedup"] = """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept,
+  sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
+"""
