@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, near_dedup
+from ..session import new_path
+from . import exact_dedup, mixing, near_dedup, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -71,3 +72,13 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
   sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
+
+
+@query
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path, vocabulary = new_path(spark, "tokens"), public_tokenizers.path("word_bpe_49k.json")
+    chunks = token_files.encoded_chunks(table(spark, sf_dir, "documents"), lambda: token_files.word_encoder(vocabulary), end_id=2)
+    token_files.write(chunks, path)
+    return token_files.documents(token_files.read(spark, path))
