@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import new_path
-from . import exact_dedup, lm_score, mixing, near_dedup, token_files, top_k, url_filter
+from . import exact_dedup, lm_score, mixing, near_dedup, quality, token_files, top_k, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -123,3 +123,9 @@ def id_crc(column: str = "doc_id") -> Column:
 @query
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.scored(table(spark, sf_dir, "documents"), id_crc() % 7 == 2)
+
+
+@query
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("label"))
+    return quality.classified(table(spark, sf_dir, "documents"), labels, id_crc() % 3 == 1)
