@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import new_path
-from . import exact_dedup, lm_score, mixing, near_dedup, quality, token_files, top_k, url_filter
+from . import exact_dedup, line_dedup, lm_score, mixing, near_dedup, quality, token_files, top_k, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -129,3 +129,28 @@ def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("label"))
     return quality.classified(table(spark, sf_dir, "documents"), labels, id_crc() % 3 == 1)
+
+
+@query
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.without_repeats(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op10_line_dedup"] = r"""
+WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+lines AS (SELECT doc_id, unnest(parts) AS line, unnest(range(len(parts))) AS place FROM split),
+full_lines AS (
+  SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words, row_number() OVER (PARTITION BY doc_id ORDER BY place) AS nth
+  FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+runs AS (
+  SELECT doc_id, nth, line || chr(10) || lead(line) OVER d || chr(10) || lead(line, 2) OVER d AS run
+  FROM full_lines WINDOW d AS (PARTITION BY doc_id ORDER BY nth)),
+later AS (SELECT doc_id, nth FROM runs WHERE run IS NOT NULL QUALIFY row_number() OVER (PARTITION BY run ORDER BY doc_id, nth) > 1),
+alone AS (SELECT doc_id, nth FROM full_lines WHERE words >= 50 QUALIFY row_number() OVER (PARTITION BY line ORDER BY doc_id, nth) > 1),
+gone AS (
+  SELECT DISTINCT f.doc_id, f.place FROM full_lines f
+  JOIN (SELECT doc_id, nth + unnest([0, 1, 2]) AS nth FROM later UNION SELECT doc_id, nth FROM alone) r ON f.doc_id = r.doc_id AND f.nth = r.nth)
+SELECT l.doc_id, CAST(count(*) AS INTEGER) AS n_lines, CAST(count(g.place) AS INTEGER) AS n_deleted,
+  coalesce(string_agg(l.line, chr(10) ORDER BY l.place) FILTER (g.place IS NULL), '') AS text
+FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.place = g.place GROUP BY l.doc_id
+"""
