@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import new_path
-from . import exact_dedup, line_dedup, lm_score, mixing, near_dedup, quality, token_files, top_k, url_filter
+from . import exact_dedup, line_dedup, lm_score, mixing, near_dedup, pieces, quality, token_files, top_k, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -154,3 +154,15 @@ SELECT l.doc_id, CAST(count(*) AS INTEGER) AS n_lines, CAST(count(g.place) AS IN
   coalesce(string_agg(l.line, chr(10) ORDER BY l.place) FILTER (g.place IS NULL), '') AS text
 FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.place = g.place GROUP BY l.doc_id
 """
+
+
+@query
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``round_trip`` tells whether the decoded ids are the text again, with literal markers as spaces."""
+    import public_tokenizers
+
+    model = pieces.Pieces.load(public_tokenizers.path("piece_bpe_32k.model"))
+    coded = pieces.encoded(table(spark, sf_dir, "documents"), model, keep_text=True)
+    both = pieces.decoded(coded, model, ["doc_id", "ids", "text"])
+    same = F.col("decoded") == F.translate(F.coalesce("text", F.lit("")), pieces.MARK, " ")
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), same.alias("round_trip"), "ids")
