@@ -1,21 +1,64 @@
-"""From raw documents to token ids: the stages of the corpus pipeline, in order."""
+"""From raw documents to token ids: the stages of the corpus pipeline, in order.
+
+Each stage takes the rows that the one before it wrote and returns rows of the same columns; the last returns ids.
+Null texts are empty; rows without an id go through every stage, but can stand for no group of copies that has an id.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerlake.llm import near_dedup
+from ledgerlake.llm import exact_dedup, mixing, near_dedup, pieces, quality
+from ledgerlake.llm.queries import id_crc
 from ledgerlake.session import cut
 
+SCORE = "_quality_score"
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier accepts. It is fitted on the labelled two thirds that are not held out."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("id"), F.col("quality").alias("label"))
+    model = quality.model_of(docs, labels, id_crc() % 3 == 1)
+    return quality.with_scores(docs, model, SCORE).where(F.col(SCORE) >= 0.5).drop(SCORE)
+
+
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of equal texts stays: the one with the smallest id."""
+    found = cut(exact_dedup.exact_duplicates(docs).select("doc_id", "kept"))
+    docs = docs.join(found.where("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    twice = found.where("kept").groupBy("doc_id").count().where("count > 1")
+    # Rows that repeat an id and its text are all marked as kept.
+    return docs if twice.isEmpty() else docs.dropDuplicates(["doc_id", "text"])
+
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: the one with the smallest id."""
-    kept = near_dedup.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    gone = near_dedup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mixing.mixed(docs)
+
+
+def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, round_trip, ids: the piece ids of each row, and whether they decode to its text."""
+    model = pieces.Pieces.load(public_tokenizers.path("piece_bpe_32k.model"))
+    coded = pieces.encoded(docs, model, keep_text=True)
+    same = F.col("decoded") == F.translate(F.coalesce("text", F.lit("")), pieces.MARK, " ")
+    return pieces.decoded(coded, model, ["doc_id", "ids", "text"]).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), same.alias("round_trip"), "ids"
+    )
 
 
-STAGES = [("near_dedup", near_copies)]
-#: Models and set similarity over hashed shingles are beyond SQL.
+STAGES = [
+    ("quality", good_quality), ("exact_dedup", exact_copies), ("near_dedup", near_copies), ("mixing", mix_sources),
+    ("sentencepiece", to_pieces),
+]
+#: The classifier, set similarity over hashed shingles and the tokenizer are beyond SQL.
 ORACLE_SQL = None
 
 

@@ -18,6 +18,7 @@ import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import cut
 from . import words as words_module
@@ -205,6 +206,30 @@ def fit(labelled: DataFrame, features: int = FEATURES, width: float = 4.0, penal
     return model
 
 
+def model_of(
+    docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text",
+    measures: DataFrame | None = None, **options,
+) -> Model:
+    """The model that ``classified`` scores with. ``measures`` may hold what ``measured(docs)`` gives."""
+    x = measured(docs, id_col, text_col) if measures is None else measures
+    marks = labels.where("id is not null and label is not null").groupBy("id").agg((F.avg("label") >= 0.5).cast("int").alias("label"))
+    chosen = x.where(~F.coalesce(held_out, F.lit(False)))
+    return fit(chosen.join(marks, x["doc_id"] == marks["id"]).select("x", "label"), **options)
+
+
+def with_scores(docs: DataFrame, model: Model, score_col: str, text_col: str = "text") -> DataFrame:
+    """``docs`` and the score of each row, without a shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, text_col):
+            scores = model.scores(statistics(part.column(text_col)))
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores)], names=[*part.schema.names, score_col])
+
+    if score_col in docs.columns:
+        raise ValueError(f"there is a column {score_col} already")
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())]))
+
+
 def classified(
     docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", **options
 ) -> DataFrame:
@@ -217,8 +242,7 @@ def classified(
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     x = cut(measured(rows))
     flags = F.coalesce(held_out, F.lit(False))
-    marks = labels.where("id is not null and label is not null").groupBy("id").agg((F.avg("label") >= 0.5).cast("int").alias("label"))
-    model = fit(x.where(~flags).join(marks, x["doc_id"] == marks["id"]).select("x", "label"), **options)
+    model = model_of(rows, labels, held_out, measures=x, **options)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
