@@ -35,29 +35,47 @@ def double_array(keys: list[bytes], values: list[int]) -> tuple[np.ndarray, np.n
     """base, check and value of a trie of ``keys``: the child of s by byte b is t = base[s] + b if check[t] == s."""
     order = sorted(range(len(keys)), key=keys.__getitem__)
     keys, values = [keys[i] for i in order], [values[i] for i in order]
-    size = 1 << 16
-    base, check, value = np.zeros(size, np.int32), np.full(size, -1, np.int32), np.full(size, -1, np.int32)
-    check[0], free, work = 0, 1, [(0, 0, len(keys), 0)]
+    cells: dict[int, tuple[int, int]] = {}
+    base: dict[int, int] = {}
+    used = bytearray(1 << 16)
+    used[0] = 1
+    # Nodes of several children go on where the last one fitted; those of one child fill the gaps.
+    gap, wide, work = 1, 1, [(0, 0, len(keys), 0)]
     for node, low, high, depth in work:
         if low < high and len(keys[low]) == depth:
-            value[node] = values[low]
+            cells[node] = (cells.get(node, (0, 0))[0], values[low])
             low += 1
         if low == high:
             continue
-        firsts = [low, *[i for i in range(low + 1, high) if keys[i][depth] != keys[i - 1][depth]], high]
-        codes = np.array([keys[i][depth] for i in firsts[:-1]])
-        while check[free] >= 0:
-            free += 1
-        at = max(free - int(codes[0]), 1)
+        firsts, codes = [], []
+        for i in range(low, high):
+            if not codes or keys[i][depth] != codes[-1]:
+                firsts.append(i)
+                codes.append(keys[i][depth])
+        place = max(gap if len(codes) == 1 else wide, codes[0] + 1)
         while True:
-            if at + 256 >= len(check):
-                base, check, value = (np.concatenate([a, np.full(len(a), fill, np.int32)]) for a, fill in ((base, 0), (check, -1), (value, -1)))
-            if (check[at + codes] < 0).all():
+            while (place := used.find(0, place)) < 0 or place + 256 >= len(used):
+                place = max(place, 0) or len(used)
+                used += bytes(len(used))
+            at = place - codes[0]
+            if not any(used[at + c] for c in codes):
                 break
-            at += 1
-        base[node], check[at + codes] = at, node
-        work += [(at + int(c), a, b, depth + 1) for c, a, b in zip(codes, firsts[:-1], firsts[1:], strict=True)]
-    return base, check, value
+            place += 1
+        if len(codes) == 1:
+            gap = max(gap, place) if codes[0] + 1 <= gap else gap
+        else:
+            wide = place
+        base[node] = at
+        for c, first, stop in zip(codes, firsts, [*firsts[1:], high], strict=True):
+            used[at + c] = 1
+            cells[at + c] = (node, -1)
+            work.append((at + c, first, stop, depth + 1))
+    size = max([0, *cells]) + 257
+    bases, check, value = np.zeros(size, np.int32), np.full(size, -1, np.int32), np.full(size, -1, np.int32)
+    bases[list(base)] = list(base.values())
+    for cell, (parent, v) in cells.items():
+        check[cell], value[cell] = parent, v
+    return bases, check, value
 
 
 @dataclass
