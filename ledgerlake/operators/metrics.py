@@ -11,8 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
+from ..session import cut
 from .ordered import Ordered
 
 
@@ -72,10 +72,10 @@ def value_range(df: DataFrame, value, by=()) -> DataFrame:
 
 
 def growth(df: DataFrame, value, period: str, by=()) -> DataFrame:
-    """Change of the period total against the period before; the window sees one row per period."""
+    """Change of the period total against the period before, one row per period."""
     sums = df.groupBy(*by, period).agg(F.sum(_col(value)).alias("total"))
-    prev = F.lag("total").over(Window.partitionBy(*by).orderBy(period))
-    return sums.withColumn("previous", prev).withColumn("change", F.col("total") - F.col("previous"))
+    steps = Ordered(sums, list(by), [F.col(period)]).lag("total", "previous").done()
+    return steps.withColumn("change", F.col("total") - F.col("previous"))
 
 
 def growth_rate(df: DataFrame, value, period: str, by=()) -> DataFrame:
@@ -87,11 +87,9 @@ def running_total(df: DataFrame, value, date: str, by=(), name: str = "running_t
     """Running total by date, one row per date and key: rows of a date share the value.
 
     Dates are summed first, so the ordered pass runs over dates and not over rows.
-    The calendar bounds them when ``date`` is a date; timestamps are counted first.
     """
     sums = df.groupBy(*by, date).agg(F.sum(_col(value)).alias("_day"))
-    bound = CALENDAR_DAYS if isinstance(df.schema[date].dataType, T.DateType) else None
-    return Ordered(sums, list(by), [F.col(date)], bound).running_sum(F.col("_day"), name).done().drop("_day")
+    return Ordered(sums, list(by), [F.col(date)]).running_sum(F.col("_day"), name).done().drop("_day")
 
 
 def with_running_total(df: DataFrame, value, date: str, by=(), name: str = "running_total") -> DataFrame:
@@ -103,19 +101,15 @@ def top_n(df: DataFrame, metric: str, n: int, tie: list[str]) -> DataFrame:
     return df.orderBy(F.col(metric).desc_nulls_last(), *tie).limit(n)
 
 
-def share_of_total(df: DataFrame, category: str, value, max_categories: int = 6) -> DataFrame:
-    """Share of each category in percent; empty when there are more than ``max_categories``."""
-    sums = df.groupBy(category).agg(F.sum(_col(value)).alias("total"))
-    # The guard needs max_categories + 1 groups at most, never all of them.
-    if sums.limit(max_categories + 1).count() > max_categories:
-        return sums.where(F.lit(False)).withColumn("share_pct", F.lit(None).cast("double"))
-    whole = F.sum("total").over(Window.partitionBy())
-    return sums.withColumn("share_pct", _over(F.col("total"), whole, 2, 100.0))
+def share_of_total(df: DataFrame, category: str, value, pie_categories: int = 6) -> DataFrame:
+    """Share of every category in percent; ``pie_fits`` tells whether they are few enough for a pie chart."""
+    sums = cut(df.groupBy(category).agg(F.sum(_col(value)).alias("total")))
+    # Two numbers come back to the driver.
+    whole, categories = sums.agg(F.sum("total").cast("double"), F.count(F.lit(1))).first()
+    share = _over(F.col("total"), F.lit(whole).cast("double"), 2, 100.0)
+    return sums.withColumns({"share_pct": share, "pie_fits": F.lit(categories <= pie_categories)})
 
 
-# Days from year 0 to year 4000, far beyond any ledger.
-CALENDAR_DAYS = 1_461_000
-
 TIME_WORDS = ("date", "time", "year", "month", "day")
 
 

@@ -1,55 +1,52 @@
 """Row numbers, previous values and running sums that hold up when one key owns most rows.
 
-A window function sorts each key in one task. That is right while every key is
-small, so the largest key is measured first (a count with map-side combine).
-Beyond the limit the rows are range-partitioned by key and order together,
-which cuts a large key into many blocks; windows then run per block, and only
-one summary row per (key, block) is carried across blocks.
+The rows are range-partitioned by key and order together, which cuts a large key into
+many blocks of a bounded number of rows. Work happens per block, and only one summary
+row per (key, block) is carried across blocks. The plan is the same at every size.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import cut
 
-GROUP_LIMIT_CONF = "ledgerlake.window.maxGroupRows"
-GROUP_LIMIT = 2_000_000
-
-
-def group_limit(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get(GROUP_LIMIT_CONF, str(GROUP_LIMIT)))
-
-
-def _largest(df: DataFrame, keys: list[str]) -> int:
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    return counts.agg(F.max("_rows")).first()[0] or 0
+BLOCK_ROWS_CONF = "ledgerlake.ordered.blockRows"
+BLOCK_ROWS = 1_000_000
+# What monotonically_increasing_id() leaves for the rows of a partition.
+_ROW_BITS = 33
 
 
 class Ordered:
     """Rows of ``df`` in a total order within ``keys``; ``order`` must be unique per key.
 
-    The measuring pass reads ``df`` once more: pass a materialised one (``cut``) when
-    it is costly, or ``max_rows`` when a bound on the rows per key is known.
+    ``df`` is written once, as range partitioning samples its input before it deals it out.
     """
 
-    def __init__(self, df: DataFrame, keys: list[str], order: list[Column], max_rows: int | None = None):
+    def __init__(self, df: DataFrame, keys: list[str], order: list[Column]):
         self.keys, self.order = keys, order
-        self.blocked = (_largest(df, keys) if max_rows is None else max_rows) > group_limit(df)
-        if self.blocked:
-            parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-            ranged = df.repartitionByRange(parts, *[F.col(k) for k in keys], *order)
-            # The block numbers must survive a lost executor unchanged.
-            df = cut(ranged.withColumn("_block", F.spark_partition_id()))
-        self.df = df
+        conf = df.sparkSession.conf
+        rows = cut(df)
+        blocks = math.ceil(rows.count() / int(conf.get(BLOCK_ROWS_CONF, str(BLOCK_ROWS))))
+        blocks = max(blocks, int(conf.get("spark.sql.shuffle.partitions")))
+        by = [*[F.col(k) for k in keys], *order]
+        placed = rows.repartitionByRange(blocks, *by).sortWithinPartitions(*by)
+        placed = placed.withColumn("_place", F.monotonically_increasing_id())
+        # Written, as block numbers must survive a lost executor unchanged.
+        self.df = cut(
+            placed.withColumn("_block", F.shiftright("_place", _ROW_BITS))
+            .withColumn("_place", F.col("_place").bitwiseAND(F.lit((1 << _ROW_BITS) - 1)))
+        )
 
     def _part(self) -> list[str]:
-        return [*self.keys, "_block"] if self.blocked else self.keys
+        return [*self.keys, "_block"]
 
     def _window(self):
-        return Window.partitionBy(*self._part()).orderBy(*self.order)
+        return Window.partitionBy(*self._part()).orderBy("_place")
 
     def _across(self):
         return Window.partitionBy(*self.keys).orderBy("_block")
@@ -61,15 +58,22 @@ class Ordered:
         cond = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in on]
         return self.df.join(right, cond, "left").drop(*[f"_r_{k}" for k in on])
 
+    def number(self, out: str) -> Ordered:
+        """``out`` = row number from 1 within the key: a row's place in its block tells it without a sort or window."""
+        before = self._across().rowsBetween(Window.unboundedPreceding, -1)
+        summary = (
+            self.df.groupBy(*self._part()).agg(F.min("_place").alias("_low"), F.count(F.lit(1)).alias("_rows"))
+            .withColumn("_shift", F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_low") + 1)
+        )
+        self.df = self._with_summary(summary, "_shift").withColumn(out, F.col("_place") + F.col("_shift")).drop("_shift")
+        return self
+
     def lag(self, name: str, out: str) -> Ordered:
         """``out`` = value of ``name`` in the previous row of the key, null on the first."""
         w = self._window()
-        if not self.blocked:
-            self.df = self.df.withColumn(out, F.lag(name).over(w))
-            return self
         summary = (
             self.df.groupBy(*self._part())
-            .agg(F.max_by(F.struct(F.col(name).alias("v")), F.struct(*self.order)).alias("_tail"))
+            .agg(F.max_by(F.struct(F.col(name).alias("v")), "_place").alias("_tail"))
             .withColumn("_carry", F.lag("_tail").over(self._across()))
         )
         self.df = (
@@ -83,9 +87,6 @@ class Ordered:
     def running_sum(self, value: Column, out: str) -> Ordered:
         """``out`` = sum of ``value`` over the key's rows up to and including this one."""
         frame = self._window().rowsBetween(Window.unboundedPreceding, 0)
-        if not self.blocked:
-            self.df = self.df.withColumn(out, F.sum(value).over(frame))
-            return self
         before = self._across().rowsBetween(Window.unboundedPreceding, -1)
         summary = (
             self.df.groupBy(*self._part()).agg(F.sum(value).alias("_sum"))
@@ -100,9 +101,9 @@ class Ordered:
         return self
 
     def done(self) -> DataFrame:
-        return self.df.drop("_block") if self.blocked else self.df
+        return self.df.drop("_block", "_place")
 
 
 def numbered(df: DataFrame, keys: list[str], order: list[Column], out: str) -> DataFrame:
     """Row number from 1 within ``keys``."""
-    return Ordered(df, keys, order).running_sum(F.lit(1).cast("bigint"), out).done()
+    return Ordered(df, keys, order).number(out).done()

@@ -47,8 +47,9 @@ def visible_sheets(sheets: DataFrame, policies: DataFrame, role: str) -> DataFra
     needs an allowing policy. The role filter is applied to the policies before
     the join, which leaves one row per (domain, level).
     """
-    mine = policies.where((F.col("role") == role) & F.col("allowed")).select(
-        *KEY, F.col("allow_aggregation").alias("_agg"), F.col("allow_raw_rows").alias("_raw"),
+    mine = policies.where((F.col("role") == role) & F.col("allowed")).groupBy(*KEY).agg(
+        # Of doubled policies the narrower rights hold.
+        F.bool_and("allow_aggregation").alias("_agg"), F.bool_and("allow_raw_rows").alias("_raw"),
         F.lit(True).alias("_hit"),
     )
     return (
@@ -109,10 +110,20 @@ def audit_sql(log: DataFrame, sql: str = "sql_query", allow_raw: str = "allow_ra
     return log.withColumns(audit(F.col(sql), F.col(allow_raw), strict))
 
 
-def guarded_agg(df: DataFrame, by: list[str], aggs: list[Column], allow_aggregation: bool, allow_raw_rows: bool):
-    """Aggregates for a role that may not see rows; without any right an error."""
+# Functions that reduce many rows to one number or value.
+GUARDED = ("sum", "avg", "count", "min", "max", "stddev", "variance")
+
+
+def guarded_agg(
+    df: DataFrame, by: list[str], aggs: dict[str, tuple[str, str]], allow_aggregation: bool, allow_raw_rows: bool
+) -> DataFrame:
+    """Aggregates, as name -> (function, column), for a role that may not see rows; without any right an error.
+
+    Functions come from a closed list, as an expression could gather whole rows.
+    """
     if not (allow_aggregation or allow_raw_rows):
         raise PermissionError("no access to this data domain")
-    if not aggs:
+    unknown = [f for f, _ in aggs.values() if f not in GUARDED]
+    if not aggs or unknown:
         raise PermissionError("only aggregated output is permitted")
-    return df.groupBy(*by).agg(*aggs)
+    return df.groupBy(*by).agg(*[getattr(F, f)(F.col(c)).alias(name) for name, (f, c) in aggs.items()])

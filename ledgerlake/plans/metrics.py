@@ -161,13 +161,25 @@ def m_topn(spark: SparkSession, d: str) -> DataFrame:
 @query("share_of_total", """
 WITH s AS (SELECT c_mktsegment, SUM(CAST(c_acctbal AS DECIMAL(18,2))) AS total FROM customer GROUP BY 1)
 SELECT c_mktsegment, CAST(total AS DOUBLE) AS total,
-  ROUND(CAST(total AS DOUBLE) * 100.0::DOUBLE / NULLIF(CAST((SELECT SUM(total) FROM s) AS DOUBLE), 0), 2) AS share_pct
-FROM s WHERE (SELECT COUNT(*) FROM s) <= 6
+  ROUND(CAST(total AS DOUBLE) * 100.0::DOUBLE / NULLIF(CAST((SELECT SUM(total) FROM s) AS DOUBLE), 0), 2) AS share_pct,
+  (SELECT COUNT(*) FROM s) <= 6 AS pie_fits
+FROM s
 """)
 def share_of_total(spark: SparkSession, d: str) -> DataFrame:
     return _double(m.share_of_total(table(spark, d, "customer"), "c_mktsegment", _money("c_acctbal")), "total")
 
 
+@query("share_many", """
+WITH s AS (SELECT p_brand, SUM(p_size) AS total FROM part GROUP BY 1)
+SELECT p_brand, CAST(total AS BIGINT) AS total,
+  ROUND(CAST(total AS DOUBLE) * 100.0::DOUBLE / CAST((SELECT SUM(total) FROM s) AS DOUBLE), 2) AS share_pct,
+  (SELECT COUNT(*) FROM s) <= 6 AS pie_fits
+FROM s
+""")
+def share_many(spark: SparkSession, d: str) -> DataFrame:
+    return m.share_of_total(table(spark, d, "part"), "p_brand", "p_size")
+
+
 @query("chart_data", """
 SELECT strftime(o_orderdate, '%Y-%m') AS x, CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS y
 FROM orders GROUP BY 1
@@ -192,8 +204,9 @@ SELECT o_orderpriority, COUNT(*) AS n, CAST(SUM(CAST(o_totalprice AS DECIMAL(18,
 FROM orders GROUP BY 1
 """)
 def guarded(spark: SparkSession, d: str) -> DataFrame:
-    aggs = [F.count(F.lit(1)).alias("n"), F.sum(_money("o_totalprice")).cast("double").alias("total")]
-    return guarded_agg(table(spark, d, "orders"), ["o_orderpriority"], aggs, True, False)
+    orders = table(spark, d, "orders").withColumn("price", _money("o_totalprice"))
+    aggs = {"n": ("count", "o_orderkey"), "total": ("sum", "price")}
+    return _double(guarded_agg(orders, ["o_orderpriority"], aggs, True, False), "total")
 
 
 @query("preview", """

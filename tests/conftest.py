@@ -22,7 +22,7 @@ def spark():
 
 @pytest.fixture
 def tiny_groups(spark):
-    """Make every group count as large, so the block-wise path runs."""
-    spark.conf.set("ledgerlake.window.maxGroupRows", "1")
+    """Small blocks, so that groups are cut into many."""
+    spark.conf.set("ledgerlake.ordered.blockRows", "50")
     yield
-    spark.conf.unset("ledgerlake.window.maxGroupRows")
+    spark.conf.unset("ledgerlake.ordered.blockRows")

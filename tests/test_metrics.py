@@ -42,20 +42,20 @@ def test_growth(sales):
 
 @pytest.mark.parametrize("limit", [1, 1000])
 def test_running_total_shares_peers(spark, limit):
-    spark.conf.set("ledgerlake.window.maxGroupRows", str(limit))
+    spark.conf.set("ledgerlake.ordered.blockRows", str(limit))
     try:
         df = spark.createDataFrame([(1, "d1", 1), (2, "d2", 2), (3, "d2", 3), (4, "d3", 4)], "i int, d string, v int")
         got = {r.i: r.running_total for r in m.with_running_total(df, "v", "d").collect()}
     finally:
-        spark.conf.unset("ledgerlake.window.maxGroupRows")
+        spark.conf.unset("ledgerlake.ordered.blockRows")
     assert got == {1: 1, 2: 6, 3: 6, 4: 10}
 
 
-def test_share_of_total_guard(spark):
+def test_share_of_total(spark):
     few = spark.createDataFrame([("a", 1), ("b", 3)], "c string, v int")
-    assert {r.c: r.share_pct for r in m.share_of_total(few, "c", "v").collect()} == {"a": 25.0, "b": 75.0}
-    many = spark.createDataFrame([(str(i), 1) for i in range(7)], "c string, v int")
-    assert m.share_of_total(many, "c", "v").count() == 0
+    assert {r.c: (r.share_pct, r.pie_fits) for r in m.share_of_total(few, "c", "v").collect()} == {"a": (25.0, True), "b": (75.0, True)}
+    many = spark.createDataFrame([(str(i), 1) for i in range(8)], "c string, v int")
+    assert {(r.share_pct, r.pie_fits) for r in m.share_of_total(many, "c", "v").collect()} == {(12.5, False)}
 
 
 def test_chart_data(spark):
@@ -80,8 +80,9 @@ def test_preview_and_union(spark):
 
 def test_guarded_aggregates(spark):
     df = spark.range(10).withColumn("k", F.col("id") % 2)
-    assert guarded_agg(df, ["k"], [F.count("id").alias("n")], True, False).count() == 2
+    assert sorted(map(tuple, guarded_agg(df, ["k"], {"n": ("count", "id"), "top": ("max", "id")}, True, False).collect())) == [(0, 5, 8), (1, 5, 9)]
     with pytest.raises(PermissionError):
-        guarded_agg(df, ["k"], [F.count("id").alias("n")], False, False)
-    with pytest.raises(PermissionError):
-        guarded_agg(df, ["k"], [], True, False)
+        guarded_agg(df, ["k"], {"n": ("count", "id")}, False, False)
+    for aggs in ({}, {"rows": ("collect_list", "id")}, {"n": ("count", "id"), "x": ("array_agg", "id")}):
+        with pytest.raises(PermissionError):
+            guarded_agg(df, ["k"], aggs, True, False)
