@@ -16,8 +16,10 @@ def clean_number(text: Column) -> Column:
 
 
 def metric_value(df: DataFrame, name: str) -> Column:
-    """A metric column as a number: numeric types as they are, text through ``clean_number``."""
+    """A metric column as a number: numeric types as they are, text through ``clean_number``; null and NaN count as 0."""
     dtype = df.schema[name].dataType
+    if isinstance(dtype, (T.DoubleType, T.FloatType)):
+        return F.coalesce(F.nanvl(F.col(name), F.lit(0).cast(dtype)), F.lit(0).cast(dtype))
     if isinstance(dtype, T.NumericType):
         return F.coalesce(F.col(name), F.lit(0).cast(dtype))
     return clean_number(F.col(name).cast("string"))
@@ -44,7 +46,8 @@ def strip_nul(text: Column) -> Column:
 
 
 def is_blank(text: Column) -> Column:
-    return text.isNull() | (F.length(F.btrim(text, F.lit(" \t\r\n\x0b\x0c"))) == 0)
+    """Null, empty, or white space of any script alone."""
+    return text.isNull() | ~text.rlike(r"(?U)[^\s\x1c-\x1f]")
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:
@@ -57,8 +60,8 @@ def nan_to_null(df: DataFrame) -> DataFrame:
 
 
 def drop_empty(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Drop rows, then columns, that hold nothing but nulls (``keep`` columns do not count)."""
+    """Drop rows, then columns, that hold nothing but nulls and NaN (``keep`` columns do not count); NaN becomes null."""
     data = [c for c in df.columns if c not in keep]
-    rows = df.dropna(how="all", subset=data)
+    rows = nan_to_null(df).dropna(how="all", subset=data)
     filled = rows.agg(*[F.count(c).alias(c) for c in data]).first()
     return rows.select(*keep, *[c for c in data if filled[c] > 0])

@@ -19,9 +19,6 @@ from ..session import cut
 
 METRICS = ("revenue", "cost", "profit")
 
-# Entities with few rows are sent to all tasks up to this number.
-BROADCAST_ENTITIES = 100_000
-
 # The reason texts of the four outcomes.
 REASON_LOSS = "The business is currently operating at a net loss."
 REASON_COST = "Expenses are rising faster than revenue, threatening future margins."
@@ -107,8 +104,9 @@ def _summary(rows: DataFrame, by: list[str], periods: int) -> DataFrame:
     )
 
 
-def _same(left: list[str], right: list[str]) -> Column:
-    return reduce(lambda a, b: a & b, [F.col(x).eqNullSafe(F.col(y)) for x, y in zip(left, right)])
+def _keyed(rows: DataFrame, by: list[str]) -> tuple[DataFrame, list[str]]:
+    """Without a key the whole table is one entity; its rows get a constant key."""
+    return (rows, by) if by else (rows.withColumn("_all", F.lit(0)), ["_all"])
 
 
 def _last_rows(rows: DataFrame, by: list[str], order: list[str], periods: int) -> DataFrame:
@@ -126,15 +124,11 @@ def _same(left: list[str], right: list[str]) -> Column:
 def _few(rows: DataFrame, summary: DataFrame, by: list[str], order: list[str], periods: int, dense_over: int):
     """Last rows of the entities with few dated rows, or None when there is no such entity."""
     few = summary.where(F.col("n_dated").between(1, dense_over)).select(*[F.col(k).alias(f"_f_{k}") for k in by])
-    cond = _same(by, [f"_f_{k}" for k in by])
-    n = few.limit(BROADCAST_ENTITIES + 1).count()
-    if n == 0:
+    if few.isEmpty():
         return None
-    if n <= BROADCAST_ENTITIES:
-        # The rows of large entities go out before anything is sorted or shuffled.
-        return _last_rows(rows.join(F.broadcast(few), cond, "left_semi"), by, order, periods)
-    # Each task first keeps its last rows per entity; only those are shuffled and joined.
-    return _last_rows(rows, by, order, periods).join(few, cond, "left_semi")
+    # The rows of large entities go out first. The size of the written table tells the optimiser how to join.
+    rows = rows.join(cut(few), _same(by, [f"_f_{k}" for k in by]), "left_semi")
+    return _last_rows(rows, by, order, periods)
 
 
 def _span(periods: int) -> Column:
@@ -154,14 +148,15 @@ def history(
     More than ``dense_over`` dated rows: month sums labelled by month end, absent
     months 0. Otherwise the last rows as they are.
     """
-    summary = cut(_summary(rows, by, periods))
+    rows, keys = _keyed(rows, by)
+    summary = cut(_summary(rows, keys, periods))
     points = F.transform(F.sequence(F.lit(0), _span(periods)), lambda i: F.struct(
         i.alias("back"),
         F.last_day(F.add_months(F.col("last_month"), -i)).cast("string").alias("period"),
         *[_slot(m, i, periods).alias(m) for m in METRICS],
     ))
     dense = summary.where(F.col("n_dated") > dense_over).select(*by, F.explode(points).alias("p")).select(*by, "p.*")
-    few = _few(rows, summary, by, list(order), periods, dense_over)
+    few = _few(rows, summary, keys, list(order), periods, dense_over)
     if few is None:
         return dense
     return dense.unionByName(few.select(
@@ -215,7 +210,8 @@ def trends(
     rows: DataFrame, by: list[str], order: list[str] = (), periods: int = 3, dense_over: int = 10
 ) -> DataFrame:
     """Trend of each metric for every entity with a history."""
-    ends = _with_ends(rows, by, list(order), periods, dense_over)
+    rows, keys = _keyed(rows, by)
+    ends = _with_ends(rows, keys, list(order), periods, dense_over)
     return ends.where("n_points > 0").select(
         *by, F.col("n_points").cast("bigint").alias("n_points"), *[_trend(m).alias(f"{m}_trend") for m in METRICS]
     )
@@ -237,7 +233,8 @@ def health(
     rows: DataFrame, by: list[str], order: list[str] = (), periods: int = 3, dense_over: int = 10
 ) -> DataFrame:
     """Totals, margin, trends, status and reason of every entity."""
-    ends = _with_ends(rows, by, list(order), periods, dense_over)
+    rows, keys = _keyed(rows, by)
+    ends = _with_ends(rows, keys, list(order), periods, dense_over)
     judged = ends.select(
         *by, *METRICS, margin(F.col("profit"), F.col("revenue")).alias("margin"),
         *[_trend(m).alias(f"{m}_trend") for m in METRICS],

@@ -120,6 +120,43 @@ def health_long(spark: SparkSession, d: str) -> DataFrame:
     return h.long_form(_double(h.history(_rows(spark, d, "k"), ["k"], ORDER)), ["k"])
 
 
-@query("health_report")
+_WHOLE = _points_sql("0") + _TRENDS + _STATUS + " SELECT * EXCLUDE (k) FROM final"
+
+
+@query("health_table", oracle("ledger_v", body=_WHOLE))
+def health_table(spark: SparkSession, d: str) -> DataFrame:
+    """The whole table as one business."""
+    return _double(h.health(h.ledger(view(spark, d, "ledger_v"), ROLES, [], ORDER), [], ORDER))
+
+
+@query("health_table_few", oracle("ledger_v", body=_WHOLE.replace("s.n_dated <= 10", "true").replace("s.n_dated > 10", "false")))
+def health_table_few(spark: SparkSession, d: str) -> DataFrame:
+    """The whole table judged by its last rows instead of its months."""
+    rows = h.ledger(view(spark, d, "ledger_v"), ROLES, [], ORDER)
+    return _double(h.health(rows, [], ORDER, dense_over=1 << 60))
+
+
+@query("health_nan", oracle("ledger_v", body=_points_sql("k").replace(
+    "FROM ledger_v", "FROM (SELECT * REPLACE (CASE WHEN seq % 7 = 0 THEN 0 ELSE floor(CAST(revenue AS DOUBLE)) END AS revenue,"
+    " floor(CAST(cost AS DOUBLE)) AS cost) FROM ledger_v)") + _TRENDS + _STATUS + " SELECT * FROM final"))
+def health_nan(spark: SparkSession, d: str) -> DataFrame:
+    """Values that are no numbers count as 0."""
+    whole = {c: F.floor(F.col(c).cast("double")).cast("double") for c in ("revenue", "cost")}
+    rows = view(spark, d, "ledger_v").withColumns(whole)
+    rows = rows.withColumn("revenue", F.when(F.col("seq") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("revenue")))
+    return _double(h.health(h.ledger(rows, ROLES, ["k"], ORDER), ["k"], ORDER))
+
+
+def _money_sql(c: str) -> str:
+    return f"format('{{:,.2f}}', {c})"
+
+
+_REPORT = f""" SELECT *, reason || ' Suggest further audit of financial statements.' AS summary,
+  'Total Revenue: ' || {_money_sql("revenue")} || ' (Trend: ' || revenue_trend || '); Total Cost: ' || {_money_sql("cost")} || ' (Trend: '
+  || cost_trend || '); Net Profit: ' || {_money_sql("profit")} || ' (Trend: ' || profit_trend || '); Profit Margin: '
+  || {_money_sql("margin")} || '%' AS figures FROM final"""
+
+
+@query("health_report", oracle("ledger_v", body=_points_sql("k") + _TRENDS + _STATUS + _REPORT))
 def health_report(spark: SparkSession, d: str) -> DataFrame:
     return h.report(_health(spark, d, "k"))

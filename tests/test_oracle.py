@@ -23,4 +23,4 @@ def test_entry(spark):
 
 
 def test_only_these_have_no_oracle():
-    assert set(registry.QUERIES) - set(registry.ORACLE) == {"embed_text", "health_report"}
+    assert set(registry.QUERIES) - set(registry.ORACLE) == {"embed_text"}
