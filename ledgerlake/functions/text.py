@@ -147,13 +147,18 @@ def _has_digit(text: Column) -> Column:
     return text.rlike(r"(?U)\d")
 
 
+def _has_amount(text: Column) -> Column:
+    """Amounts may consist of commas alone."""
+    return text.rlike(r"(?U)[\d,]")
+
+
 def amounts(text: Column) -> Column:
     def hits(pattern: str) -> Column:
         found = _found(text, (pattern,), "(?iU)")
         sign = next((s for s in CURRENCY_SIGNS if pattern.lstrip("\\").startswith(s)), None)
         return _if(F.contains(text, F.lit(sign)), found) if sign else found
 
-    return _if(_has_digit(text), F.concat(*[hits(p) for p in AMOUNT_PATTERNS]))
+    return _if(_has_amount(text), F.concat(*[hits(p) for p in AMOUNT_PATTERNS]))
 
 
 def dates(text: Column) -> Column:

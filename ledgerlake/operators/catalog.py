@@ -10,7 +10,6 @@ from pyspark.sql import types as T
 
 from .ordered import Ordered
 
-GENERATED_PREFIXES = ("sheet_", "data_", "word_table_")
 CATALOGUE_TABLES = ("files_metadata", "sheets_metadata")
 
 
@@ -115,7 +114,10 @@ def parse_columns_metadata(text: Column, schema: T.StructType) -> Column:
 # Changes ------------------------------------------------------------------
 
 def update_by_key(table: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """A new snapshot: changed columns take the new value where there is one."""
+    """A new snapshot: changed columns take the new value where there is one; a key changed twice is an error."""
+    twice = changes.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").first()
+    if twice is not None:
+        raise ValueError(f"more than one change for {key} {twice[key]}")
     cols = [c for c in changes.columns if c != key]
     new = changes.select(key, *[F.col(c).alias(f"_n_{c}") for c in cols])
     return table.join(new, key, "left").select(*[
@@ -171,18 +173,19 @@ def drop_tables(spark: SparkSession, names: list[str]) -> int:
 
 
 def cleanup(spark: SparkSession, confirm: bool = False) -> int:
-    """Drop every generated table and clear the catalogue; returns the number of dropped data tables."""
+    """Drop the tables the sheets catalogue names and clear the catalogue; returns the number of dropped tables."""
     if not confirm:
         raise ValueError("cleanup drops all generated tables; pass confirm=True")
-    keep = set(CATALOGUE_TABLES)
-    names = [
-        t.name for t in spark.catalog.listTables()
-        if not t.isTemporary and t.name not in keep and t.name.startswith(GENERATED_PREFIXES)
-    ]
-    dropped = drop_tables(spark, names)
+    dropped = 0
+    if spark.catalog.tableExists("sheets_metadata"):
+        named = spark.table("sheets_metadata").select("table_name").where("table_name is not null").distinct()
+        # One name at a time comes to the driver.
+        names = [r.table_name for r in named.toLocalIterator()]
+        dropped = drop_tables(spark, [n for n in names if n not in CATALOGUE_TABLES and spark.catalog.tableExists(n)])
     for t in CATALOGUE_TABLES:
         if spark.catalog.tableExists(t):
-            spark.sql(f"TRUNCATE TABLE `{t}`")
+            # External tables cannot be truncated.
+            spark.createDataFrame([], spark.table(t).schema).write.insertInto(t, overwrite=True)
     return dropped
 
 

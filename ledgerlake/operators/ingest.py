@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..functions.names import dedup_names, normalize_name, sheet_table_name
 from ..session import cut
 from .cells import cells_to_table, detect_tables, nonblank, table_cells, table_names
+from .ordered import numbered
 from .profile import SPARK_TYPES, TYPE_LADDER, column_role, fast_keywords, fast_summary, FAST_CATEGORY, pick_type, reads_as
 
 
@@ -56,10 +57,14 @@ def describe_sheets(
     named = table_names(tables, keys, sheet_name)
     names = F.col("columns_metadata.name")
     rows = F.col("r1") - F.col("r0")
+    titled = named.withColumn("_table_name", sheet_table_name(F.col("clean_name"), file_id))
+    # Sheets of a file whose names normalise equally: the second and later ones get an ordinal.
+    nth = numbered(titled, ["_table_name"], [*[F.col(k) for k in keys], F.col("table_no")], "_nth")
+    ordinal = F.when(F.col("_nth") > 1, F.concat(F.lit("_"), F.col("_nth").cast("string"))).otherwise(F.lit(""))
     # Cells touch from row to row, so no row of a table is empty and the rectangle gives the count.
-    return named.join(wide, [*keys, "table_no"]).select(
+    return nth.join(wide, [*keys, "table_no"]).select(
         *keys, "table_no", F.col("clean_name").alias("sheet_title"),
-        sheet_table_name(F.col("clean_name"), file_id).alias("table_name"),
+        F.concat("_table_name", ordinal).alias("table_name"),
         rows.alias("num_rows"), F.size("columns_metadata").alias("num_columns"),
         F.lit(FAST_CATEGORY).alias("category"), fast_summary(rows, F.size("columns_metadata")).alias("summary"),
         fast_keywords(names).alias("keywords"), "columns_metadata",
@@ -81,5 +86,8 @@ def load_table(
 ) -> DataFrame:
     """One detected table as a typed DataFrame; ``where`` picks it by keys and ``table_no``."""
     schema = {r["col"]: (r["name"], SPARK_TYPES[r["type"]]) for r in columns.where(where).orderBy("col").collect()}
+    names = [name for name, _ in schema.values()]
+    if len(set(names)) < len(names):
+        raise ValueError(f"column names still occur twice: {sorted({n for n in names if names.count(n) > 1})}")
     inside = table_cells(cells, tables.where(where), keys).where("row > r0")
     return cells_to_table(inside, [*keys, "table_no", "row"], schema, "col", value).drop(*keys, "table_no").orderBy("row").drop("row")

@@ -43,7 +43,7 @@ def nearest_many(corpus: DataFrame, vector: str, id_col: str, queries: dict[str,
     corpus is scanned once per block. Zero and null vectors have no distance and
     take no part.
     """
-    ids = list(queries)
+    ids = [n for n, q in queries.items() if any(q)]
     id_type = corpus.schema[id_col].dataType
     schema = T.StructType([
         T.StructField("query_id", T.StringType()), T.StructField(id_col, id_type),
@@ -117,13 +117,12 @@ def semantic_search(
     policies: DataFrame | None = None, role: str | None = None,
 ) -> DataFrame:
     """Sheets more similar than ``threshold``, most similar first; policies apply only when a role is given."""
-    if not 1 <= limit <= 50:
-        raise ValueError("limit must be between 1 and 50")
     if role is not None:
         sheets = visible_sheets(sheets, policies, role)
     similar = sheets.withColumn("similarity", F.lit(1.0) - distance_to(F.col("summary_embedding"), query))
+    # No vector goes through the join.
     return (
-        similar.where(F.col("similarity") > threshold)
+        similar.drop("summary_embedding").where(F.col("similarity") > threshold)
         .join(files.select("file_id", "file_name"), "file_id")
         .orderBy(F.col("similarity").desc(), "sheet_id").limit(limit)
     )
@@ -145,13 +144,15 @@ def metadata_answer(
 def candidate_quality(candidates: DataFrame, cells: DataFrame, keys: list[str], rank: str, value: str) -> DataFrame:
     """``meaningful`` for each candidate result, given the result cells in long form.
 
-    Empty results are not; a single cell must be neither null nor 0; anything larger is.
+    Empty results are not; a single cell must be neither null, NaN nor 0; anything larger is.
     """
     on = [*keys, rank]
-    zero = F.lit("0") if isinstance(cells.schema[value].dataType, T.StringType) else F.lit(0)
-    shape = cells.groupBy(*on).agg(
-        F.count(F.lit(1)).alias("n_cells"), F.count_if(F.col(value) != zero).alias("_filled")
-    )
+    kind = cells.schema[value].dataType
+    zero = F.lit("0") if isinstance(kind, T.StringType) else F.lit(0)
+    filled = F.col(value) != zero
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        filled &= ~F.isnan(value)
+    shape = cells.groupBy(*on).agg(F.count(F.lit(1)).alias("n_cells"), F.count_if(filled).alias("_filled"))
     n = F.coalesce("n_cells", F.lit(0))
     return (
         candidates.join(shape, on, "left")

@@ -134,6 +134,12 @@ def entities_amounts(spark: SparkSession, d: str) -> DataFrame:
     return view(spark, d, "notes_v", heavy=True).select("id", F.array_join(tx.amounts(F.col("t")), "|").alias("found"))
 
 
+@query("entities_no_digits", oracle("commas_v", body=f"SELECT id, array_to_string({entity_sql('t')['amounts']}, '|') AS found FROM commas_v"))
+def entities_no_digits(spark: SparkSession, d: str) -> DataFrame:
+    """Texts with commas and no digit."""
+    return view(spark, d, "commas_v").select("id", F.array_join(tx.amounts(F.col("t")), "|").alias("found"))
+
+
 @query("entities_dates", _entity_oracle("dates"))
 def entities_dates(spark: SparkSession, d: str) -> DataFrame:
     return view(spark, d, "notes_v", heavy=True).select("id", F.array_join(tx.dates(F.col("t")), "|").alias("found"))

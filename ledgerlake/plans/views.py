@@ -116,6 +116,11 @@ SELECT o_orderkey AS id, 'Invoice for Blue River Trading Corp dated ' || SUBSTR(
   ', discount ' || CAST(o_orderkey % 30 AS VARCHAR) || '% due 1/2/2024 (Jan 5, 2024) from Acme Steel Ltd' AS t FROM {orders}
 """
 
+VIEWS["commas_v"] = """
+SELECT c_custkey AS id, c_mktsegment || ' customers, suppliers and cars, price in $, please; usd ,, or INR, or ' ||
+  CASE c_nationkey % 3 WHEN 0 THEN '£ ,' WHEN 1 THEN '€,' ELSE 'nothing' END AS t FROM {customer}
+"""
+
 VIEWS["paras_v"] = """
 SELECT doc_id, REPLACE(text, chr(10), chr(10) || chr(10)) AS t FROM {documents}
 """

@@ -39,10 +39,10 @@ def list_directory(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).drop("content")
 
 
-def read_bytes(spark: SparkSession, path: str, max_size: int = MAX_FILE_SIZE) -> DataFrame:
-    """Whole files up to ``max_size`` bytes; the size filter is pushed into the listing."""
+def read_bytes(spark: SparkSession, path: str, max_size: int | None = None) -> DataFrame:
+    """Whole files, or those up to ``max_size`` bytes; the size filter is pushed into the listing."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return df.where(F.col("length") <= max_size)
+    return df if max_size is None else df.where(F.col("length") <= max_size)
 
 
 def scan_status(files: DataFrame) -> DataFrame:
@@ -84,25 +84,33 @@ def text_status(files: DataFrame) -> DataFrame:
     )
 
 
-def read_text_files(spark: SparkSession, path: str) -> DataFrame:
-    """One row per file: path, length, text, status."""
-    return text_status(read_bytes(spark, path)).select("path", "length", "text", "status")
+def read_text_files(spark: SparkSession, path: str, max_size: int | None = None) -> DataFrame:
+    """One row for every listed file: path, length, text, status; a file over ``max_size`` bytes is FAILED without text."""
+    read = text_status(read_bytes(spark, path, max_size)).select("path", "length", "text", "status")
+    if max_size is None:
+        return read
+    large = list_directory(spark, path).where(F.col("length") > max_size)
+    return read.unionByName(large.select("path", "length", F.lit(None).cast("string").alias("text"), F.lit("FAILED").alias("status")))
 
 
 def content_hash(content: Column) -> Column:
     return F.md5(content)
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
+def read_csv(
+    spark: SparkSession, path: str, schema: T.StructType | str | None = None, multi_line: bool = True
+) -> DataFrame:
     """A CSV table with a header; missing-value texts become null, then types are inferred.
 
-    Pass ``schema`` to skip the inferring pass.
+    Pass ``schema`` to skip the inferring pass. Quoted cells may hold line breaks, so a file is read by one task; pass
+    ``multi_line=False`` for large files without such cells. Files whose headers differ are an error, as their columns would mix.
     """
     def na(c: str) -> Column:
         col = F.col(f"`{c}`")
         return F.when(~col.isin(*NA_TOKENS), col)
 
-    raw = spark.read.option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    options = {"header": True, "quote": '"', "escape": '"', "multiLine": multi_line, "enforceSchema": False}
+    raw = spark.read.options(**options).csv(path)
     text = raw.select(*[na(c).alias(c) for c in raw.columns])
     if schema is None:
         from ..operators.profile import SPARK_TYPES, infer_types
@@ -126,7 +134,6 @@ def csv_to_cells(spark: SparkSession, path: str) -> DataFrame:
         "value", F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("_id"),
     )
-    width = lines.agg(F.max(F.size(F.split("value", ",", -1)))).first()[0] or 1
     before = (
         lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_before", F.coalesce(F.sum("_n").over(
@@ -134,13 +141,15 @@ def csv_to_cells(spark: SparkSession, path: str) -> DataFrame:
         .drop("_n")
     )
     within = Window.partitionBy("file", "block").orderBy("_id")
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)])
     # Row numbers must be those of this read, so they are taken before the join moves rows.
     numbered = lines.withColumn("_i", F.row_number().over(within) - 1).join(before, ["file", "block"])
-    parsed = F.from_csv("value", schema.simpleString()[7:-1].replace(":", " "), {"escape": '"'})
-    cells = numbered.where(F.length("value") > 0).withColumn("_p", parsed).select(
+    # A comma in front of the line lets each field begin with one; lines may be of any width.
+    fields = F.regexp_extract_all(F.concat(F.lit(","), "value"), F.lit(r',("[^"]*+(?:""[^"]*+)*+"|[^,]*+)'), F.lit(1))
+    cells = numbered.where(F.length("value") > 0).select(
         F.sha2("file", 256).alias("file_id"), F.element_at(F.split("file", "/"), -1).alias("sheet"),
         (F.col("_before") + F.col("_i")).cast("bigint").alias("row"),
-        F.posexplode(F.array(*[F.col(f"_p.c{i}") for i in range(width)])).alias("col", "value"),
+        F.posexplode(fields).alias("col", "_field"),
     )
-    return cells.where(~is_blank(F.col("value")))
+    quoted = F.replace(F.substring("_field", F.lit(2), F.length("_field") - 2), F.lit('""'), F.lit('"'))
+    value = F.when(F.startswith("_field", F.lit('"')) & (F.length("_field") > 1), quoted).otherwise(F.col("_field"))
+    return cells.withColumn("value", value).drop("_field").where(~is_blank(F.col("value")))

@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerlake.operators.ingest import ingest, load_table
@@ -41,3 +42,18 @@ def test_ingest(spark):
     assert [tuple(r) for r in one.collect()] == [
         ("north", 1.5, 2, "x", dt.datetime(2024, 1, 5)), ("south", 2.0, 3, "y", dt.datetime(2024, 1, 6)),
         ("north", 4.0, None, "z", dt.datetime(2024, 1, 7))]
+
+
+def test_sheets_whose_names_meet(spark):
+    rows = [(s, r, c, v) for s in ("A b", "a_b") for r, line in enumerate(OTHER) for c, v in enumerate(line.split(","))]
+    df = spark.createDataFrame(rows, "sheet string, row bigint, col int, value string")
+    _, _, sheets = ingest(df, ["sheet"], "sheet", F.lit("ab-cd-ef-0123"))
+    assert {r.sheet: r.table_name for r in sheets.collect()} == {"A b": "sheet_a_b_abcdef01", "a_b": "sheet_a_b_abcdef01_2"}
+
+
+def test_names_that_still_meet_are_an_error(spark):
+    rows = [("S", r, c, v) for r, line in enumerate(["a,a,a_1", "1,2,3"]) for c, v in enumerate(line.split(","))]
+    df = spark.createDataFrame(rows, "sheet string, row bigint, col int, value string")
+    tables, columns, _ = ingest(df, ["sheet"], "sheet", F.lit("ab-cd-ef-0123"))
+    with pytest.raises(ValueError):
+        load_table(df, tables, columns, ["sheet"], F.col("table_no") == 1)

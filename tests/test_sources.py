@@ -62,3 +62,26 @@ def test_csv_grid_rows_count_through_all_splits(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     want = {(n, i, c): v for n in ("a.csv", "b.csv") for i in range(3000) if i % 5 for c, v in ((0, f"v{i}"), (1, str(i)))}
     assert got == want
+
+
+def test_csv_cells_with_line_breaks(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('k,t\n1,"two\nlines, ""quoted"""\n2,x\n')
+    got = fs.read_csv(spark, str(tmp_path)).orderBy("k").collect()
+    assert [tuple(r) for r in got] == [(1, 'two\nlines, "quoted"'), (2, "x")]
+    (tmp_path / "b.csv").write_text("t,k\ny,3\n")
+    with pytest.raises(Exception, match="(?i)header|schema"):
+        fs.read_csv(spark, str(tmp_path), "k int, t string").collect()
+
+
+def test_grid_with_one_wide_line(spark, tmp_path):
+    (tmp_path / "g.csv").write_text('a,"b, ""c""",,d\n' + "," * 20_000 + "end\n\n, ,z\n")
+    got = sorted((r.row, r.col, r.value) for r in fs.csv_to_cells(spark, str(tmp_path)).collect())
+    assert got == [(0, 0, "a"), (0, 1, 'b, "c"'), (0, 3, "d"), (1, 20_000, "end"), (3, 2, "z")]
+
+
+def test_every_listed_file_has_a_status(spark, tmp_path):
+    for name, size in (("a.txt", 3), ("b.txt", 30), ("c.txt", 0)):
+        (tmp_path / name).write_text("x" * size or " ")
+    got = {r.path.rsplit("/", 1)[1]: (r.text, r.status) for r in fs.read_text_files(spark, str(tmp_path), max_size=10).collect()}
+    assert got == {"a.txt": ("xxx", "SUCCESS"), "b.txt": (None, "FAILED"), "c.txt": (" ", "EMPTY")}
+    assert fs.read_text_files(spark, str(tmp_path)).count() == 3
