@@ -35,7 +35,9 @@ def components(edges: DataFrame) -> DataFrame:
     """
     e = cut(edges.where("u <> v").distinct())
     while True:
-        nxt = cut(_small_star(_large_star(e)).distinct())
+        # Two rounds per written table.
+        once = _small_star(_large_star(e)).distinct()
+        nxt = cut(_small_star(_large_star(once)).distinct())
         e = nxt
         # Finished when every node hangs on one root and no root hangs on anything.
         ends = nxt.select("u", F.lit(1).alias("up")).unionByName(nxt.select(F.col("v").alias("u"), F.lit(0).alias("up")))
