@@ -4,10 +4,13 @@ Every document is reduced to the set of its word shingles. Documents of equal se
 class; one member stands for it from there on, so copies, however many, never meet in pairs.
 One hash per shingle fills all bins of a class's signature, and empty bins borrow from full ones
 (Shrivastava, 2017, "Optimal Densification for Fast and Accurate Minwise Hashing"). Classes that
-agree in a band share a bucket. In a bucket, a few members at a time act as centres: each is
-compared, on full sets, with the members that are not yet in its component. A centre leaves
-the bucket afterwards, as all its pairs there are settled. This goes on until every bucket lies within one
-component, so no linked pair of a bucket is lost and pairs inside a component are never made.
+agree in a band share a bucket, and each bucket is a star: its members are compared, on full sets, with one centre.
+
+A star leaves open how those members are linked that are not linked with its centre. The classes of buckets that do not lie within one
+component therefore meet once more, by the rarest shingles that linked sets must share. Again each such
+key has stars, of one centre, then of more, and only pairs of different components whose places in the common order allow the
+similarity are made. A centre leaves its key afterwards, as all its pairs there are settled. This goes on until every key
+lies within one component, so no link between classes of a bucket is lost, and pairs inside a component are never made.
 
 A pair of similarity 0.85 misses all 25 bands of five bins with probability 4e-7, one of 0.8 with 5e-5.
 """
@@ -29,7 +32,7 @@ from . import words as words_module
 from .words import Words, mix, shingle_sets, slices
 
 ROWS, BANDS = 5, 25
-#: Centres per bucket grow by this factor from round to round.
+#: Centres per key grow by this factor from round to round.
 GROWTH = 16
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -103,7 +106,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, size: int, rows: int
 
 
 def _sets(rows: DataFrame, size: int) -> DataFrame:
-    """(node, shingles) of the rows (node, f1, f2, text) whose set has that fingerprint."""
+    """(node, f1, shingles) of the rows (node, f1, f2, text) whose set has that fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
@@ -114,10 +117,11 @@ def _sets(rows: DataFrame, size: int) -> DataFrame:
                     keep.append(i)
                     out.append(s.tobytes())
             yield pa.RecordBatch.from_arrays(
-                [part.column("node").take(pa.array(keep, pa.int64())), pa.array(out, pa.binary())], names=["node", "shingles"]
+                [*part.select(["node", "f1"]).take(pa.array(keep, pa.int64())).columns, pa.array(out, pa.binary())],
+                names=["node", "f1", "shingles"],
             )
 
-    return rows.mapInArrow(run, "node long, shingles binary")
+    return rows.mapInArrow(run, "node long, f1 long, shingles binary")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
@@ -145,39 +149,84 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
     return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long").distinct()
 
 
-def _labels(links: DataFrame) -> DataFrame:
-    return components(links)
+def _rare_first(sets: DataFrame, per_cent: int) -> DataFrame:
+    """(key, node, n, place): the shingles of each set, rarest first, as far as a linked set has to meet one of them.
+
+    Of two linked sets each holds at least ``per_cent`` of the other's size in common, so they meet among the first
+    n - per_cent * n / 100 + 1 of a common order (Chaudhuri, Ganti and Kaushik, 2006, "A Primitive Operator for Similarity Joins").
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, f1, raw in zip(batch.column("node").to_pylist(), batch.column("f1").to_pylist(), batch.column("shingles"), strict=True):
+                h = np.frombuffer(raw.as_buffer(), np.int64)
+                columns = [pa.array(np.full(len(h), x, np.int64)) for x in (node, f1, len(h))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(h)], names=["node", "f1", "n", "key"])
+
+    listed = sets.select("node", "f1", "shingles").mapInArrow(run, "node long, f1 long, n long, key long")
+    used = listed.groupBy("key").agg(F.count(F.lit(1)).alias("used"))
+    placed = listed.join(used, "key").withColumn("place", F.expr("row_number() over (partition by node, f1 order by used, key)"))
+    needed = F.col("n") - F.ceil(F.col("n") * per_cent / 100) + 1
+    return placed.where((F.col("place") <= needed) & (F.col("used") > 1)).select("key", "node", "n", "place")
+
+
+def _open(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The rows (key, node, ...) with the labels of their nodes, of the keys that hold several labels."""
+    if labels is None:
+        left = rows.withColumn("label", F.col("node"))
+    else:
+        left = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    several = left.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
+    return left.join(several.select("key"), "key", "left_semi")
+
+
+class _Links:
+    """Links found so far and the components they make."""
+
+    def __init__(self, sets: DataFrame, per_cent: int):
+        self.sets, self.per_cent = sets, per_cent
+        self.labels: DataFrame | None = None
+
+    def add(self, met: DataFrame) -> None:
+        """Confirm the pairs (node, c)."""
+        pairs = met.select(F.least("node", "c").alias("u"), F.greatest("node", "c").alias("v")).distinct()
+        found = cut(_confirmed(pairs, self.sets, self.per_cent))
+        if found.isEmpty():
+            return
+        if self.labels is not None:
+            before = self.labels.where("node <> label").select(F.col("label").alias("u"), F.col("node").alias("v"))
+            found = found.unionByName(before)
+        self.labels = cut(components(found))
 
 
 def links_of(buckets: DataFrame, sets: DataFrame, per_cent: int, growth: int = GROWTH) -> DataFrame | None:
     """(node, label) of all nodes that are linked with another; None without any link.
 
-    ``buckets`` (key, node) holds no key with one node only. Round after round, the first
-    nodes of each bucket are its centres; see the module's text.
+    ``buckets`` (key, node, n) holds no key with one node only. See the module's text for the two steps.
     """
-    labels, links, centres_per_bucket, done = None, None, 1, None
+    links = _Links(sets, per_cent)
+    centres = buckets.groupBy("key").agg(F.min(F.struct("node", "n")).alias("c")).select("key", "c.node", "c.n").toDF("key", "c", "c_n")
+    sizes = F.least("n", "c_n") * 100 >= F.greatest("n", "c_n") * per_cent
+    links.add(buckets.join(centres, (buckets["key"] == centres["key"]) & (F.col("node") != F.col("c")) & sizes))
+    unsettled = _open(buckets, links.labels).select("node").distinct()
+    rows = cut(_rare_first(sets.join(unsettled, "node", "left_semi"), per_cent))
+    centres_per_key, done = 1, None
     while True:
-        left = buckets if done is None else buckets.join(done, ["key", "node"], "left_anti")
-        if labels is None:
-            left = left.withColumn("label", F.col("node"))
-        else:
-            left = left.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        open_keys = left.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
-        left = cut(left.join(open_keys.select("key"), "key", "left_semi").select("key", "node", "label"))
+        left = rows if done is None else rows.join(done, ["key", "node"], "left_anti")
+        left = cut(_open(left, links.labels).select("key", "node", "n", "place", "label"))
         if left.isEmpty():
-            return labels
+            return links.labels
         # A map-side limit: no task gets more than the first nodes of a key from another.
-        ranked = left.select("key", "node", "label", F.expr("row_number() over (partition by key order by node)").alias("r"))
-        centres = cut(ranked.where(F.col("r") <= centres_per_bucket).drop("r"))
-        met = left.join(centres.select("key", F.col("node").alias("c"), F.col("label").alias("c_label")), "key")
-        pairs = met.where("c_label <> label").select(F.least("node", "c").alias("u"), F.greatest("node", "c").alias("v")).distinct()
-        found = cut(_confirmed(pairs, sets, per_cent))
-        links = found if links is None else links.unionByName(found)
-        if not found.isEmpty():
-            labels = cut(_labels(links))
-            links = labels.where("node <> label").select(F.col("label").alias("u"), F.col("node").alias("v"))
-        buckets, done = left.select("key", "node"), centres.select("key", "node")
-        centres_per_bucket *= growth
+        ranked = left.withColumn("r", F.expr("row_number() over (partition by key order by place, node)"))
+        centres = cut(ranked.where(F.col("r") <= centres_per_key).select(
+            "key", F.col("node").alias("c"), F.col("label").alias("c_label"), F.col("n").alias("c_n"), F.col("place").alias("c_place")
+        ))
+        # At the first shingle that two sets share, what is left of each bounds what they have in common.
+        most = F.least(F.col("n") - F.col("place"), F.col("c_n") - F.col("c_place")) + 1
+        possible = (F.col("label") != F.col("c_label")) & (most * 100 >= (F.col("n") + F.col("c_n") - most) * per_cent)
+        links.add(left.join(centres, (left["key"] == centres["key"]) & possible))
+        rows, done = left.drop("label"), centres.select("key", F.col("c").alias("node")).distinct()
+        centres_per_key *= growth
 
 
 def near_duplicates(
@@ -199,7 +248,7 @@ def near_duplicates(
     classes = cut(
         usable.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("node"), F.any_value("keys").alias("keys"))
     )
-    spread = classes.select("node", F.explode("keys").alias("key")).distinct()
+    spread = classes.select("node", F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
     shared = spread.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     buckets = cut(spread.join(shared, "key", "left_semi"))
     wanted = buckets.select("node").distinct().join(classes.select("node", "f1", "f2"), "node")
