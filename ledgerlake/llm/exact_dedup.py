@@ -22,8 +22,8 @@ def content_hash(text: Column) -> Column:
 
 
 def _salted(df: DataFrame) -> DataFrame:
-    """``df``, once for each salt."""
-    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    """``df``, once for each salt. As it grows with the data, it is never sent whole to all tasks."""
+    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
 
 
 def _salt() -> Column:
