@@ -8,8 +8,10 @@ Planes of high bits are all but constant, so they cost next to nothing.
 
 from __future__ import annotations
 
+import os
 import sys
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -56,27 +58,83 @@ def from_planes(planes: list[bytes], n: int) -> np.ndarray:
     return np.ascontiguousarray(raw).view("<u4").ravel()
 
 
-def word_encoder(path: str) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
-    """An encoder of texts for a tokenizer that drops white space and never looks across it.
+class WordEncoder:
+    """An encoder of texts for a lower-casing tokenizer that drops white space and never looks across it.
 
-    Each distinct run of other characters is encoded once per call; the texts' ids are then put together from these.
+    A task encodes each distinct word once, without the signs at its end, many in one call; the ids of texts are put
+    together from these. Only texts with marks of special tokens are taken word by word as they stand.
     """
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-
-    def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        words = words_module.Words(texts, lower=False)
-        parts = [e.ids for e in tokenizer.encode_batch(words.distinct.to_pylist(), add_special_tokens=False)]
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-        flat = np.fromiter((i for p in parts for i in p), np.int64, int(sizes.sum()))
-        first = np.cumsum(sizes) - sizes
-        each = sizes[words.codes]
-        ends = np.concatenate([[0], np.cumsum(each)])
-        at = np.repeat(first[words.codes] - ends[:-1], each) + np.arange(ends[-1])
-        return flat[at], np.diff(ends[words.starts])
-
-    return encode
+
+    #: Signs that are one part of their own behind a letter, as the tokenizer splits words.
+    SIGNS = ".,;:!?#$%&*|"
+    #: Words a task remembers, and words per call.
+    MOST, JOINED = 1_000_000, 256
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.sizes, self.flat = array("i"), array("i")
+
+    def _remember(self, word: str, ids: list[int]) -> None:
+        self.known[word] = len(self.sizes)
+        self.sizes.append(len(ids))
+        self.flat.extend(ids)
+
+    def _learn(self, words: list[str]) -> None:
+        plain = [w for w in words if w.isalpha()]
+        for low in range(0, len(plain), self.JOINED):
+            part = plain[low : low + self.JOINED]
+            got = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            owner = got.word_ids
+            if not owner or owner[-1] != len(part) - 1:
+                words = [*words, *part]
+                continue
+            ids, at = got.ids, 0
+            counts = np.bincount(owner, minlength=len(part)).tolist()
+            for word, n in zip(part, counts, strict=True):
+                self._remember(word, ids[at : at + n])
+                at += n
+        for word in words:
+            if word not in self.known:
+                self._remember(word, self.tokenizer.encode(word, add_special_tokens=False).ids)
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        special = pc.any(pc.match_substring(texts, "<|")).as_py()
+        words = words_module.Words(texts, lower=not special)
+        if len(self.known) > self.MOST:
+            self._forget()
+        known, parts, new = self.known, [], {}
+        for word in words.distinct.to_pylist():
+            stem = word if special else word.rstrip(self.SIGNS)
+            if not stem or stem == word or not stem[-1].isalnum():
+                stem = word
+            parts.append(stem)
+            parts.append(word[len(stem) :])
+            if stem not in known:
+                new[stem] = None
+        for signs in set(parts[1::2]):
+            if signs not in known:
+                new[signs] = None
+        self._learn(list(new))
+        at = np.fromiter(map(known.__getitem__, parts), np.int64, len(parts))
+        sizes, flat = np.asarray(self.sizes, np.int32), np.asarray(self.flat, np.int32)
+        # Each distinct word is two parts, the second often empty.
+        ids, ends = _gathered(flat, (np.cumsum(sizes) - sizes)[at], sizes[at])
+        first = ends[:-1:2]
+        every, stops = _gathered(ids, first[words.codes], (ends[2::2] - first)[words.codes])
+        return every, np.diff(stops[words.starts])
+
+
+def _gathered(flat: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of ``sizes`` values from ``first``, one after the other, and where each begins (with the total last)."""
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    return flat[np.repeat(first - ends[:-1], sizes) + np.arange(ends[-1])], ends
 
 
 class _Shard:
