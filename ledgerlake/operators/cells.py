@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.clean import is_blank
@@ -20,6 +20,8 @@ from .components import components
 from .ordered import numbered
 
 TILE = 256
+#: Square sides of the grids rectangles are laid out on, in bits.
+SQUARE_BITS = (4, 8, 12, 16, 20)
 
 # Executors get the kernels below with the task and need no installed package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -172,25 +174,42 @@ def detect_tables(
     return numbered(cut(kept), keys, [F.col("pr"), F.col("pc")], "table_no").drop("pr", "pc")
 
 
-def table_cells(cells: DataFrame, tables: DataFrame, keys: list[str], tile: int = 64) -> DataFrame:
+def _level(size) -> Column:
+    """Bits of the smallest square side that is not below ``size``."""
+    out = F.lit(SQUARE_BITS[-1])
+    for bits in reversed(SQUARE_BITS[:-1]):
+        out = F.when(size <= 1 << bits, F.lit(bits)).otherwise(out)
+    return out
+
+
+def squares(tables: DataFrame, keys: list[str]) -> DataFrame:
+    """The grid squares each rectangle reaches: at most four, as its squares are no smaller than itself."""
+    leveled = tables.select(
+        *keys, "table_no", "r0", "r1", "c0", "c1", _level(F.col("r1") - F.col("r0") + 1).alias("_lr"),
+        _level(F.col("c1") - F.col("c0") + 1).alias("_lc"),
+    )
+    down = leveled.withColumn("_tr", F.explode(F.expr("sequence(shiftright(r0, _lr), shiftright(r1, _lr))")))
+    return down.withColumn("_tc", F.explode(F.expr("sequence(shiftright(c0, _lc), shiftright(c1, _lc))")))
+
+
+def table_cells(cells: DataFrame, tables: DataFrame, keys: list[str]) -> DataFrame:
     """All cells inside each table's rectangle (a cell may lie in several).
 
-    Rectangles are laid out on a coarse grid, so the join is by equal grid square
-    and a cell only meets the rectangles that reach its square.
+    Rectangles are laid out on grids of a few fixed square sizes, each on the one that suits it, and a cell looks
+    into its square of every grid in use. The sizes in use, at most 25 pairs, come to the driver.
     """
-    def sq(name: str):
-        return F.floor(F.col(name) / tile)
-
-    spread = (
-        tables.select(*keys, "table_no", "r0", "r1", "c0", "c1",
-                      F.explode(F.sequence(sq("r0"), sq("r1"))).alias("_tr"))
-        .withColumn("_tc", F.explode(F.sequence(sq("c0"), sq("c1"))))
+    spread = squares(tables, keys)
+    used = spread.select("_lr", "_lc").distinct().collect()
+    if not used:
+        used = [(SQUARE_BITS[0], SQUARE_BITS[0])]
+    grids = F.explode(F.array(*[F.struct(F.lit(r).alias("_lr"), F.lit(c).alias("_lc")) for r, c in used]))
+    placed = cells.withColumn("_g", grids).select("*", "_g._lr", "_g._lc").drop("_g").withColumns(
+        {"_tr": F.expr("shiftright(row, _lr)"), "_tc": F.expr("shiftright(col, _lc)")}
     )
-    placed = cells.withColumn("_tr", sq("row")).withColumn("_tc", sq("col"))
     return (
-        placed.join(spread, [*keys, "_tr", "_tc"])
+        placed.join(spread, [*keys, "_lr", "_lc", "_tr", "_tc"])
         .where("row between r0 and r1 and col between c0 and c1")
-        .drop("_tr", "_tc")
+        .drop("_lr", "_lc", "_tr", "_tc")
     )
 
 
@@ -202,6 +221,8 @@ def promote_header(in_tables: DataFrame, keys: list[str], value: str = "value",
     stretch of ``rows`` rows, so a column of any length is joined in bounded pieces.
     """
     on = [*keys, "table_no", "col", "_part"]
+    # Both sides come from it, and finding the cells of tables is the dear part.
+    in_tables = cut(in_tables)
 
     def part(row: str):
         return F.floor((F.col(row) - F.col("r0")) / rows)

@@ -30,7 +30,8 @@ def describe_columns(cells: DataFrame, tables: DataFrame, keys: list[str], value
     cells to headers. Columns with a header but no data are dropped.
     """
     by = [*keys, "table_no", "col"]
-    inside = table_cells(cells.select(*keys, "row", "col", value), tables, keys)
+    # Written once, as both the columns and their samples are taken from it.
+    inside = cut(table_cells(cells.select(*keys, "row", "col", value), tables, keys))
     data = F.when(F.col("row") > F.col("r0"), F.col(value))
     hits = {f"_h{i}": F.count_if(ok) for i, ok in enumerate(reads_as(data))}
     found = inside.groupBy(*by).agg(

@@ -107,10 +107,11 @@ def test_duplicate_cells(spark):
     assert {x[:5] for x in detected(df.unionByName(df))} == {("a", 0, 1, 0, 1)}
 
 
-@pytest.mark.parametrize("tile", [2, 64])
-def test_table_cells_may_share_cells(spark, tile):
+@pytest.mark.parametrize("bits", [(1, 2), c.SQUARE_BITS])
+def test_table_cells_may_share_cells(spark, bits, monkeypatch):
+    monkeypatch.setattr(c, "SQUARE_BITS", bits)
     df = grid(spark, {"ring": SHAPES["ring"]})
-    inside = c.table_cells(df, c.detect_tables(df, KEYS), KEYS, tile)
+    inside = c.table_cells(df, c.detect_tables(df, KEYS), KEYS)
     got = sorted((r.table_no, r.row, r.col) for r in inside.collect())
     want = sorted(
         (no, r, k) for s, r0, r1, c0, c1, _, no in expected({"ring": SHAPES["ring"]})
@@ -119,6 +120,16 @@ def test_table_cells_may_share_cells(spark, tile):
     assert got == want and len(got) > len(SHAPES["ring"])
 
 
+def test_rectangles_reach_four_squares_at_most(spark):
+    # A long diagonal, a tall and a wide rectangle, and rectangles across the borders of squares.
+    boxes = [(0, 99_999, 0, 99_999), (0, 1_000_000, 3, 5), (7, 7, 0, 60_000), (15, 16, 255, 256), (4_095, 4_097, 65_535, 65_537)]
+    tables = spark.createDataFrame([("s", i, *b) for i, b in enumerate(boxes)], "sheet string, table_no int, r0 bigint, r1 bigint, c0 bigint, c1 bigint")
+    assert max(r["count"] for r in c.squares(tables, KEYS).groupBy("table_no").count().collect()) <= 4
+    cells = spark.createDataFrame([("s", r, k) for r, k in ((16, 255), (999_999, 4), (7, 59_999), (4_096, 65_536), (100_000, 100_000), (50, 99_999))], "sheet string, row bigint, col bigint")
+    got = sorted((r.table_no, r.row, r.col) for r in c.table_cells(cells, tables, KEYS).collect())
+    assert got == sorted((i, r.row, r.col) for i, (a, b, x, y) in enumerate(boxes) for r in cells.collect() if a <= r.row <= b and x <= r.col <= y)
+
+
 def test_header_and_typed_table(spark):
     cells = {(2, 1): "Name", (2, 2): "Net", (3, 1): "a", (3, 2): "1.5", (4, 1): "b", (4, 2): "x"}
     df = grid(spark, {"s": cells})
