@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names
 from ..operators import cells as c
+from ..operators import warehouse
 from ..operators.ingest import ingest
 from ..operators.profile import SPARK_TYPES, infer_types_by
 from ..sources.files import csv_to_cells
@@ -180,3 +181,65 @@ FROM titled t JOIN widths w ON w.sheet = t.sheet AND w.table_no = t.table_no
 """))
 def ingest_sheets(spark: SparkSession, d: str) -> DataFrame:
     return _ingested(spark, d)[2].drop("columns_metadata")
+
+
+def _mixed(body: str) -> str:
+    """The same oracle over the mixed grid, with decimals as a type."""
+    whole = "TRY_CAST(CASE WHEN value NOT LIKE '%.%' THEN value END AS BIGINT)"
+    ctes = (DETECT_CTES + INGEST_CTES).replace("grid_v", "mixed_v").replace("TRY_CAST(value AS BIGINT)", whole).replace("AS whole FROM", """AS whole,
+    COUNT(CASE WHEN row > r0 THEN TRY_CAST(value AS DOUBLE) END) AS num FROM""").replace(
+        "'INTEGER' ELSE", "'INTEGER' WHEN num = filled THEN 'DOUBLE PRECISION' ELSE")
+    titled = """,
+titled AS (SELECT sheet, table_no, r0, r1, CASE WHEN COUNT(*) OVER (PARTITION BY sheet) > 1 THEN sheet || '_Table' || CAST(table_no AS VARCHAR)
+  ELSE sheet END AS title FROM tables),
+tabled AS (SELECT *, 'sheet_' || trim(regexp_replace(lower(title), '[^a-z0-9]+', '_', 'g'), '_') || '_' || substr(md5(sheet), 1, 8) AS table_name
+  FROM titled)"""
+    return oracle("mixed_v", recursive=True, body=ctes + titled + body)
+
+
+def _mixed_ingest(spark: SparkSession, d: str):
+    grid = view(spark, d, "mixed_v", heavy=True).select("sheet", F.col("r").alias("row"), F.col("c").alias("col"), "value")
+    return grid, *ingest(grid, KEYS, "sheet", _file_id())
+
+
+def _file_id():
+    return F.md5(F.col("sheet").cast("binary"))
+
+
+@query("ingest_catalog", _mixed("""
+SELECT t.sheet AS file_name, md5(t.sheet) AS file_id, md5(md5(t.sheet) || chr(31) || t.sheet || chr(31) || CAST(t.table_no AS VARCHAR)) AS sheet_id,
+  t.title AS sheet_name, t.table_name, t.r1 - t.r0 AS num_rows, w.columns, 'finance' AS data_domain, 'internal' AS sensitivity_level,
+  CAST(COUNT(*) OVER (PARTITION BY t.sheet) AS INTEGER) AS num_sheets
+FROM tabled t JOIN (SELECT sheet, table_no, string_agg(name || ':' || type, ',' ORDER BY col) AS columns FROM named GROUP BY 1, 2) w
+  ON w.sheet = t.sheet AND w.table_no = t.table_no"""))
+def ingest_catalog(spark: SparkSession, d: str) -> DataFrame:
+    """File and sheet rows of a batch in the catalogue's shapes, appended and read back."""
+    _, _, _, sheets = _mixed_ingest(spark, d)
+    rows = warehouse.sheet_rows(sheets, _file_id(), KEYS, "finance", "internal")
+    files = sheets.select("sheet").distinct().select(
+        _file_id().alias("file_id"), F.col("sheet").alias("file_name"), F.lit(".csv").alias("file_type"), F.lit(1).alias("version"))
+    at = [new_path(spark, n) for n in ("sheets", "files")]
+    rows.write.mode("append").parquet(at[0])
+    rows = spark.read.schema(rows.schema).parquet(at[0])
+    files = warehouse.file_rows(files, rows)
+    files.write.mode("append").parquet(at[1])
+    files = spark.read.schema(files.schema).parquet(at[1])
+    columns = F.array_join(F.transform("columns_metadata", lambda m: F.concat(m["name"], F.lit(":"), m["type"])), ",")
+    return rows.join(files.select("file_id", "file_name", "num_sheets"), "file_id").select(
+        "file_name", "file_id", "sheet_id", "sheet_name", "table_name", "num_rows", columns.alias("columns"), "data_domain",
+        "sensitivity_level", "num_sheets",
+    )
+
+
+@query("ingest_tables", _mixed("""
+SELECT t.table_name, i.row - i.r0 - 1 AS row, n.name, i.value
+FROM inside i JOIN tabled t ON t.sheet = i.sheet AND t.table_no = i.table_no
+JOIN named n ON n.sheet = i.sheet AND n.table_no = i.table_no AND n.col = i.col WHERE i.row > i.r0"""))
+def ingest_tables(spark: SparkSession, d: str) -> DataFrame:
+    """The cells of all data tables of a batch, written in one job and read back."""
+    grid, tables, columns, sheets = _mixed_ingest(spark, d)
+    path = new_path(spark, "data")
+    inside = c.table_cells(c.nonblank(grid), tables, KEYS)
+    warehouse.write_data(warehouse.data_rows(inside, columns, sheets, KEYS), path)
+    stored = spark.read.schema(warehouse.DATA).parquet(path)
+    return stored.select("table_name", "row", F.explode("cells").alias("name", "value"))

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.vectors import embed_text
+from ..operators import warehouse
 from ..operators.profile import paged_file_summary, word_table_summary
+from ..session import new_path
+from ..sources.tables import append_chunks
 from .names import sheet_heads
 from .registry import query
 from .views import oracle, table, view
@@ -179,3 +182,20 @@ def entities_topk(spark: SparkSession, d: str) -> DataFrame:
 def embed(spark: SparkSession, d: str) -> DataFrame:
     vectors = embed_text(table(spark, d, "documents", heavy=True).select("doc_id", "text"), "text", 256)
     return vectors.select("doc_id", F.size("embedding").alias("dim"), "embedding")
+
+
+@query("pdf_chunks", r"""
+WITH pages AS (
+  SELECT doc_id, page_number, regexp_replace(line, '^\s+|\s+$', '', 'g') AS t FROM (
+    SELECT doc_id, unnest(string_split(text, chr(10))) AS line, CAST(unnest(range(1, len(string_split(text, chr(10))) + 1)) AS INTEGER) AS page_number
+    FROM documents)),
+chunks AS (SELECT *, CAST(unnest(range(0, (length(t) + 899) // 900)) AS INTEGER) AS chunk_index FROM pages WHERE t <> '')
+SELECT md5(CAST(doc_id AS VARCHAR) || chr(31) || CAST(page_number AS VARCHAR) || chr(31) || CAST(chunk_index AS VARCHAR)) AS chunk_id,
+  CAST(doc_id AS VARCHAR) AS file_id, 'pdf' AS kind, page_number, chunk_index, substr(t, chunk_index * 900 + 1, 1000) AS chunk_text FROM chunks
+""")
+def pdf_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of all pages in the catalogue's shape, appended and read back."""
+    rows = warehouse.page_chunks(_paged(spark, d), "pages", "doc_id")
+    path = new_path(spark, "chunks")
+    append_chunks(rows, path)
+    return spark.read.schema(rows.schema).parquet(path).drop("entities", "embedding")

@@ -84,6 +84,17 @@ SELECT 'sh' || CAST(CAST(FLOOR(l_orderkey / 30.0) AS BIGINT) AS VARCHAR) AS shee
 FROM {lineitem} GROUP BY 1, 2, 3
 """
 
+# As grid_v, with words for headers, and columns of words, decimals and whole numbers.
+VIEWS["mixed_v"] = """
+SELECT 'Sheet ' || CAST(CAST(FLOOR(l_orderkey / 30.0) AS BIGINT) AS VARCHAR) AS sheet,
+  CAST(l_partkey % 40 AS BIGINT) AS r, CAST(l_suppkey % 12 AS BIGINT) AS c,
+  CASE WHEN l_partkey % 40 % 6 = 0 THEN CASE l_suppkey % 12 % 4 WHEN 0 THEN 'Net Sales' WHEN 1 THEN 'Region' WHEN 2 THEN 'Order' ELSE '2024 Cost' END
+    WHEN l_suppkey % 12 % 3 = 0 THEN CAST(CAST(MAX(l_quantity) AS BIGINT) AS VARCHAR) || '.5'
+    WHEN l_suppkey % 12 % 3 = 1 THEN 'item ' || CAST(CAST(MAX(l_quantity) AS BIGINT) AS VARCHAR)
+    ELSE CAST(CAST(MAX(l_quantity) AS BIGINT) AS VARCHAR) END AS value
+FROM {lineitem} GROUP BY 1, 2, 3, l_partkey % 40 % 6, l_suppkey % 12 % 4, l_suppkey % 12 % 3
+"""
+
 VIEWS["ledger_v"] = """
 SELECT l_suppkey AS k, l_orderkey AS k_small, l_linenumber AS seq, l_partkey AS tie, l_shipdate AS ts,
   CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * (1 - CAST(l_discount AS DECIMAL(4,2))) AS DECIMAL(18,4)) AS revenue,
