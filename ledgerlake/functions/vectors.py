@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, Tokenizer
 from pyspark.ml.functions import vector_to_array
@@ -21,11 +23,25 @@ def cosine_distance(a: Column, b: Column) -> Column:
 
 
 def distance_to(vector: Column, query: list[float]) -> Column:
-    """Cosine distance to one given vector, whose norm is computed once."""
-    norm = sum(x * x for x in query) ** 0.5
-    q = F.array(*[F.lit(float(x)) for x in query])
-    size = F.sqrt(dot(vector, vector)) * F.lit(norm)
-    return F.lit(1.0) - F.try_divide(dot(vector, q), F.nullif(size, F.lit(0.0)))
+    """Cosine distance to one given vector; null for a null or zero vector, one of another length, or a zero query.
+
+    A batch is scored at once. Sums run along each row, so equal vectors get equal distances wherever they lie.
+    """
+    q = np.array(query, np.float64)
+    norm = float(np.sqrt((q * q).sum()))
+
+    @F.pandas_udf("double")
+    def score(vectors: pd.Series) -> pd.Series:
+        out = np.full(len(vectors), np.nan)
+        fit = np.array([v is not None and len(v) == len(q) for v in vectors], bool)
+        if norm and fit.any():
+            rows = np.stack(vectors[fit].to_list()).astype(np.float64)
+            size = np.sqrt((rows * rows).sum(axis=1)) * norm
+            with np.errstate(invalid="ignore", divide="ignore"):
+                out[fit] = np.where(size > 0, 1.0 - (rows * q).sum(axis=1) / size, np.nan)
+        return pd.Series(out)
+
+    return F.nullif(score(vector), F.lit(float("nan")))
 
 
 def confidence(distance: Column) -> Column:
