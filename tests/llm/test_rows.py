@@ -183,7 +183,8 @@ def best_pieces(model, text):
 
 def test_pieces(spark, model):
     texts = [*ODD, *prose(30, 7), "  two  leading", "trailing  ", "new\nline \n", "mixed é漢 ñ ß ", "▁▁x▁"]
-    got = queries.pieces.encoded(frame(spark, [(i, t, "s") for i, t in enumerate(texts)]), model, keep_text=True)
+    got = queries.pieces.encoded(frame(spark, [(i, t, "s") for i, t in enumerate(texts)]), model, keep_text=True, check=True)
+    assert got.where("not round_trip").count() == 0
     ids = {r.doc_id: r.ids for r in got.collect()}
     assert ids == {i: best_pieces(model, t) for i, t in enumerate(texts)}
     back = {r.doc_id: r.decoded for r in pieces.decoded(got, model, ["doc_id"]).collect()}
