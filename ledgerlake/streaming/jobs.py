@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +21,15 @@ VERSIONS = T.StructType([
     T.StructField("batch", T.LongType()),
 ])
 
+LATEST = T.StructType([
+    T.StructField("file_name", T.StringType()),
+    T.StructField("version", T.LongType()),
+    T.StructField("file_hash", T.StringType()),
+    T.StructField("bucket", T.IntegerType()),
+    T.StructField("batch", T.LongType()),
+])
+BUCKETS = 64
+
 
 def text_to_chunks(rows: DataFrame, text: str = "text", key: str = "file_id", by_paragraph: bool = True) -> DataFrame:
     """Chunk rows with entities; the same plan serves a batch and a stream."""
@@ -43,27 +54,41 @@ def read_versions(spark: SparkSession, log: str) -> DataFrame:
     return spark.read.schema(VERSIONS).option("recursiveFileLookup", False).parquet(log)
 
 
-def start_version_stream(arrivals: DataFrame, log: str, checkpoint: str) -> StreamingQuery:
+def _latest(spark: SparkSession, folder: str, buckets: list[int], before: int) -> DataFrame | None:
+    """The latest version of each name in these buckets, as the batches before left it; None if they left nothing.
+
+    Which batch wrote a bucket last follows from the partitions alone; one of them is read per bucket.
+    """
+    stored = spark.read.schema(LATEST).parquet(folder)
+    mine = stored.where(F.col("bucket").isin(buckets) & (F.col("batch") < before))
+    newest = mine.groupBy("bucket").agg(F.max("batch").alias("batch")).collect()
+    if not newest:
+        return None
+    chosen = reduce(lambda a, b: a | b, [(F.col("bucket") == r.bucket) & (F.col("batch") == r.batch) for r in newest])
+    return stored.where(chosen).select("file_name", "version", "file_hash", "bucket")
+
+
+def start_version_stream(arrivals: DataFrame, log: str, checkpoint: str, buckets: int = BUCKETS) -> StreamingQuery:
     """Version the arrivals (file_name, arrival, file_hash) of each micro-batch into ``log``.
 
-    A batch owns one partition of the log. It reads only partitions of earlier
-    batches and overwrites its own, so a batch that runs twice leaves one result.
+    Beside the log, ``<log>_latest`` holds the latest version of each name in buckets of names. A batch reads and rewrites only the
+    buckets its names fall into, so its cost follows the batch and not the log. It owns one partition of both and overwrites its own,
+    so a batch that runs twice leaves one result.
     """
     spark = arrivals.sparkSession
+    folder = f"{log}_latest"
+    bucket = F.pmod(F.xxhash64("file_name"), F.lit(buckets)).cast("int").alias("bucket")
 
     def step(batch: DataFrame, batch_id: int) -> None:
         s = batch.sparkSession
-        stored = None
-        if batch_id > 0:
-            earlier = read_versions(s, log).where(F.col("batch") < batch_id)
-            names = batch.select("file_name").distinct()
-            stored = latest_version(
-                earlier.where("status = 'NEW'").join(names, "file_name", "left_semi")
-                .select("file_name", "version", "file_hash")
-            )
-        assign_versions(batch.select("file_name", "arrival", "file_hash"), stored).write.mode("overwrite").parquet(
-            f"{log}/batch={batch_id}"
-        )
+        new = batch.select("file_name", "arrival", "file_hash")
+        touched = [r.bucket for r in new.select(bucket).distinct().collect()]
+        stored = _latest(s, folder, touched, batch_id) if batch_id > 0 and touched else None
+        known = None if stored is None else stored.drop("bucket")
+        assign_versions(new, known).write.mode("overwrite").parquet(f"{log}/batch={batch_id}")
+        found = s.read.schema(VERSIONS).parquet(f"{log}/batch={batch_id}").where("status = 'NEW'").select("file_name", "version", "file_hash")
+        latest = latest_version(found if known is None else found.unionByName(known))
+        latest.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/batch={batch_id}")
 
     return (
         arrivals.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
