@@ -5,6 +5,8 @@ A word is a longest run of bytes other than 0x20 and 0x09-0x0D. Null text counts
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +30,14 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYT
             stop = max(start + 1, int(np.searchsorted(ends, base + most, "right")))
             yield batch.slice(start, stop - start)
             start = stop
+        trim()
+
+
+def trim() -> None:
+    """Give freed memory back, as workers live on from task to task and from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 class Words:
