@@ -6,7 +6,6 @@ Null texts are empty; rows without an id go through every stage, but can stand f
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,12 +45,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, round_trip, ids: the piece ids of each row, and whether they decode to its text."""
+    import public_tokenizers
+
     model = pieces.Pieces.load(public_tokenizers.path("piece_bpe_32k.model"))
-    coded = pieces.encoded(docs, model, keep_text=True)
-    same = F.col("decoded") == F.translate(F.coalesce("text", F.lit("")), pieces.MARK, " ")
-    return pieces.decoded(coded, model, ["doc_id", "ids", "text"]).select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"), same.alias("round_trip"), "ids"
-    )
+    coded = pieces.encoded(docs, model, check=True)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "round_trip", "ids")
 
 
 STAGES = [

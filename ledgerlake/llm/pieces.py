@@ -26,6 +26,8 @@ MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Bytes of chunks that are solved together; a chunk beyond it goes alone.
 GROUP_BYTES = 1_000_000
+#: Text that is solved at once; some hundred times as much memory is in use meanwhile.
+SLICE_BYTES = 1_000_000
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 cloudpickle.register_pickle_by_value(words_module)
@@ -244,22 +246,35 @@ class Pieces:
         return out
 
 
-def encoded(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
-    """doc_id, ids (with ``keep_text`` also text): one row per row of ``docs``.
+def encoded(
+    docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, check: bool = False
+) -> DataFrame:
+    """doc_id, ids: one row per row of ``docs``; with ``keep_text`` also text, with ``check`` also round_trip.
 
-    Null and empty texts have no ids. A literal marker character counts as a space. Rows are independent of each other, so repeated rows
-    and rows without an id are encoded as any other. Other columns are not read. An empty table gives an empty result.
+    ``round_trip`` tells whether the ids decode to the text again, with literal markers as spaces; it is found where the text is encoded, so
+    neither text nor ids go through a second worker. Null and empty texts have no ids. A literal marker character counts as a space.
+    Rows are independent of each other, so repeated rows and rows without an id are encoded as any other. Other columns are not
+    read. An empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
-            ids, counts = pieces.encode(part.column("text"))
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(ids, pa.int32()))
-            columns = [part.column("doc_id"), lists, *([part.column("text")] if keep_text else [])]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "text"][: len(columns)])
+        for part in slices(batches, "text", SLICE_BYTES):
+            texts = part.column("text")
+            ids, counts = pieces.encode(texts)
+            out = {
+                "doc_id": part.column("doc_id"),
+                "ids": pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(ids, pa.int32())),
+            }
+            if keep_text:
+                out["text"] = texts
+            if check:
+                wanted = pc.replace_substring(pc.fill_null(texts, ""), MARK, " ")
+                out["round_trip"] = pc.equal(pa.array(pieces.decode(ids, counts), pa.string()), wanted)
+            yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(run, "doc_id long, ids array<int>" + (", text string" if keep_text else ""))
+    more = ", text string" * keep_text + ", round_trip boolean" * check
+    return source.mapInArrow(run, "doc_id long, ids array<int>" + more)
 
 
 def decoded(coded: DataFrame, pieces: Pieces, keep: list[str]) -> DataFrame:

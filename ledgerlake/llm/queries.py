@@ -158,11 +158,9 @@ FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.place = g.place GROUP
 
 @query
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``round_trip`` tells whether the decoded ids are the text again, with literal markers as spaces."""
+    """The ids of each text, and whether they decode to it."""
     import public_tokenizers
 
     model = pieces.Pieces.load(public_tokenizers.path("piece_bpe_32k.model"))
-    coded = pieces.encoded(table(spark, sf_dir, "documents"), model, keep_text=True)
-    both = pieces.decoded(coded, model, ["doc_id", "ids", "text"])
-    same = F.col("decoded") == F.translate(F.coalesce("text", F.lit("")), pieces.MARK, " ")
-    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), same.alias("round_trip"), "ids")
+    coded = pieces.encoded(table(spark, sf_dir, "documents"), model, check=True)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "round_trip", "ids")
