@@ -24,9 +24,10 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 from . import words as words_module
-from .words import Words, joined, mix
+from .words import Words, joined, mix, trim
 
-BLOCK_BYTES = 16 << 20
+#: Text of a block; a task holds about twenty times as much while it works on one.
+BLOCK_BYTES = 6 << 20
 ORDER, PRIOR = 2, 300.0
 _END, _BEGIN = np.uint64(0x8F1BBCDCCA62C1D6), np.uint64(0x5A8279996ED9EBA2)
 _ONE = np.uint64(1)
@@ -159,17 +160,20 @@ def scored(
     limits = np.array([(i << 64) // blocks for i in range(blocks + 1)][1:-1], np.uint64)
 
     def asked(table: pa.Table) -> pa.Table:
+        trim()
         grams = Grams(table.column("text").combine_chunks(), order)
         counts = grams.counts(~np.asarray(table.column("held_out").combine_chunks()))
         cuts = [0, *np.searchsorted(grams.keys, limits), len(grams.keys)]
         block = table.column("block")[0].as_py()
-        out = [(block, i, _packed(_differences(grams.keys[a:b])), _packed(counts[a:b])) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
+        parts = [(i, a, b) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
+        out = [(block, i, _packed(_differences(grams.keys[a:b])), _packed(counts[a:b])) for i, a, b in parts]
         kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
         return pa.Table.from_arrays(
             [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["block", "owner", "keys", "counts"]
         )
 
     def answered(table: pa.Table) -> pa.Table:
+        trim()
         sets = [np.cumsum(_unpacked(k.as_py()), dtype=np.uint64) for k in table.column("keys")]
         keys, at = np.unique(np.concatenate(sets), return_inverse=True)
         counts = np.concatenate([_unpacked(c.as_py()) for c in table.column("counts")]).astype(np.int64)
@@ -190,6 +194,7 @@ def scored(
     tokens, distinct = int(whole[0] or 0), int(whole[1] or 0)
 
     def run(texts: pa.Table, replies: pa.Table) -> pa.Table:
+        trim()
         grams = Grams(texts.column("text").combine_chunks(), order)
         parts = sorted(zip(replies.column("owner").to_pylist(), replies.column("counts").to_pylist(), strict=True))
         counts = np.concatenate([_unpacked(c) for _, c in parts]).astype(np.int64)
