@@ -106,7 +106,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, size: int, rows: int
 
 
 def _sets(rows: DataFrame, size: int) -> DataFrame:
-    """(node, f1, shingles) of the rows (node, f1, f2, text) whose set has that fingerprint."""
+    """(node, f1, f2, shingles) of the rows (node, f1, f2, text) whose set has that fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
@@ -117,11 +117,11 @@ def _sets(rows: DataFrame, size: int) -> DataFrame:
                     keep.append(i)
                     out.append(s.tobytes())
             yield pa.RecordBatch.from_arrays(
-                [*part.select(["node", "f1"]).take(pa.array(keep, pa.int64())).columns, pa.array(out, pa.binary())],
-                names=["node", "f1", "shingles"],
+                [*part.select(["node", "f1", "f2"]).take(pa.array(keep, pa.int64())).columns, pa.array(out, pa.binary())],
+                names=["node", "f1", "f2", "shingles"],
             )
 
-    return rows.mapInArrow(run, "node long, f1 long, shingles binary")
+    return rows.mapInArrow(run, "node long, f1 long, f2 long, shingles binary")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
@@ -254,6 +254,9 @@ def near_duplicates(
     wanted = buckets.select("node").distinct().join(classes.select("node", "f1", "f2"), "node")
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text"))
     sets = cut(_sets(texts.join(wanted, "node").select("node", "f1", "f2", "text"), size))
+    # Rows that repeat an id and its set give the set again; places in the common order count each set once.
+    if not sets.groupBy("node", "f1", "f2").count().where("count > 1").isEmpty():
+        sets = cut(sets.dropDuplicates(["node", "f1", "f2"]))
     labels = links_of(buckets, sets, per_cent)
     # Rows of one id with several texts tie the classes of these texts together.
     own = usable.join(classes.drop("keys"), ["f1", "f2", "n_shingles"]).select("doc_id", "node")

@@ -74,6 +74,13 @@ def test_near_duplicates_of_odd_rows(spark):
     assert near_dedup.near_duplicates(frame(spark, [])).count() == 0
 
 
+def test_near_duplicates_of_repeated_rows(spark):
+    """A family that the first star leaves open, with each row given twice."""
+    rows = list(enumerate(family(90, 150, 9, 30, 1)))
+    got = near_dedup.near_duplicates(frame(spark, rows * 2), size=3, per_cent=85).collect()
+    assert len(got) == 180 and {r.doc_id: r.component_id for r in got} == components(rows, 3, 85)
+
+
 def test_default_similarity(spark):
     rows = list(enumerate(family(60, 60, 5, 50, 8)))
     got = near_dedup.near_duplicates(frame(spark, rows)).collect()
