@@ -14,6 +14,7 @@ from ledgerlake.llm.queries import id_crc
 from ledgerlake.session import cut
 
 SCORE = "_quality_score"
+SHA = "_text_sha256"
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,16 +25,27 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of equal texts stays: the one with the smallest id."""
-    found = cut(exact_dedup.exact_duplicates(docs).select("doc_id", "kept"))
-    docs = docs.join(found.where("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
-    twice = found.where("kept").groupBy("doc_id").count().where("count > 1")
-    # Rows that repeat an id and its text are all marked as kept.
-    return docs if twice.isEmpty() else docs.dropDuplicates(["doc_id", "text"])
+    """One row of each group of equal texts stays: the one with the smallest id.
+
+    The decision is for an id and its text: another text of the same id stays if it is kept itself, and a row without an id goes if
+    an equal row has one. Of rows that repeat an id, or its absence, and the text one stays.
+    """
+    columns, text = docs.columns, F.coalesce(F.col("text").cast("string"), F.lit(""))
+    found = cut(exact_dedup.exact_duplicates(docs).select("doc_id", "kept", "text_sha256"))
+    docs = docs.withColumn(SHA, F.sha2(text.cast("binary"), 256))
+    if not found.groupBy("doc_id", "text_sha256").count().where("count > 1").isEmpty():
+        # Copies shrink per task, so that no key of the join below has many rows.
+        docs = docs.dropDuplicates(["doc_id", SHA])
+    gone = found.where("not kept").select(F.col("doc_id").alias("_gone_id"), F.col("text_sha256").alias("_gone_sha")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("_gone_id")) & (F.col(SHA) == F.col("_gone_sha"))
+    return docs.join(gone, same, "left_anti").select(*columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one with the smallest id."""
+    """One document of each group of near copies stays: the one with the smallest id.
+
+    Texts of one id are one document and go or stay together; a row without an id is in no group and stays, as the operator marks it.
+    """
     gone = near_dedup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 

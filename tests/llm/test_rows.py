@@ -255,6 +255,18 @@ def test_token_files(spark, tmp_path, bits):
     assert token_files.documents(empty).count() == 0
 
 
+def test_exact_copies_of_repeated_and_missing_ids(spark):
+    rows = [(3, "a", "s"), (5, "a", "s"), (5, "b", "s"), (None, "a", "s"), (None, "c", "s"), (None, "c", "s"), (None, "d", "s"),
+            (6, "e", "s"), (6, "e", "t"), (7, None, "s"), (7, "", "s"), (None, None, "s")]
+    left = corpus_pipeline.exact_copies(spark, frame(spark, rows), "")
+    assert left.columns == frame(spark, rows).columns
+    got = sorted(((r.doc_id, r.text or "") for r in left.collect()), key=repr)
+    assert got == sorted([(3, "a"), (5, "b"), (None, "c"), (None, "d"), (6, "e"), (7, "")], key=repr)
+    # Without a repeated id nothing but the copies goes.
+    few = [(3, "a", "s"), (5, "a", "s"), (None, "a", "s"), (5, "b", "s")]
+    assert sorted((r.doc_id, r.text) for r in corpus_pipeline.exact_copies(spark, frame(spark, few), "").collect()) == [(3, "a"), (5, "b")]
+
+
 def test_pipeline(spark, tmp_path):
     rnd = random.Random(2)
     good = prose(80, 12)
