@@ -1,6 +1,6 @@
 """Line dedup with DataFrame functions only: winnowing over line hashes.
 
-A text is the sequence of its non-blank lines, each reduced to a hash. In every window of ``min_lines`` lines the smallest hash
+A text is the sequence of its non-blank lines, each reduced to a hash of 128 bits. In every window of ``min_lines`` lines the smallest hash
 (the last of equals) is the window's fingerprint (Schleimer, Wilkerson and Aiken, 2003): two equal runs of so many lines share a
 fingerprint for certain. Only fingerprints met at more than one position matter. Around each of their positions the match is
 extended both ways, as far as the windows that contain it; equal windows meet by the hash of all their lines, and
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import cut
+from .exact_dedup import content_hash
 from .words import WORD
 
 SALTS = 16
@@ -43,7 +44,7 @@ def _lines(texts: DataFrame) -> DataFrame:
     """One row per line of each distinct (id, text): doc_id, body, place, hash, full (not blank), words."""
     rows = texts.select("doc_id", "body", F.posexplode(F.split("text", "\n")).alias("place", "line"))
     words = F.size(F.regexp_extract_all("line", F.lit(WORD), F.lit(0)))
-    rows = rows.select("doc_id", "body", "place", F.xxhash64("line").alias("hash"), words.alias("words"))
+    rows = rows.select("doc_id", "body", "place", content_hash(F.col("line")).alias("hash"), words.alias("words"))
     # Rows that repeat an id and its text give the same lines; one of each stays.
     nth = F.row_number().over(Window.partitionBy(*_DOC, "place").orderBy("hash"))
     return rows.repartition(*_DOC).withColumn("_nth", nth).where("_nth = 1").drop("_nth")
@@ -58,11 +59,12 @@ def repeated_lines(texts: DataFrame, min_lines: int, long_words: int) -> tuple[D
     windows = full.select(
         *_DOC, "place", "hash",
         F.min(F.struct("hash", (-F.col("place")).alias("back"))).over(ahead).alias("least"),
-        F.xxhash64(*[F.lead("hash", i).over(order) for i in range(min_lines)]).alias("run"),
+        content_hash(F.concat(*[F.lead("hash", i).over(order) for i in range(min_lines)])).alias("run"),
         F.collect_list("place").over(ahead).alias("places"),
     ).where(F.size("places") == min_lines)
+    # A fingerprint only chooses the windows to compare, so 64 bits of it do.
     windows = cut(windows.select(
-        *_DOC, "place", "run", "places", F.col("least.hash").alias("fingerprint"), (-F.col("least.back")).alias("at"), _salt()
+        *_DOC, "place", "run", "places", F.xxhash64("least.hash").alias("fingerprint"), (-F.col("least.back")).alias("at"), _salt()
     ))
     marks = windows.groupBy("fingerprint", *_DOC, "at").agg(F.lit(1).alias("_one"))
     met = marks.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fingerprint")
@@ -80,9 +82,9 @@ def without_repeats(
 ) -> DataFrame:
     """doc_id, n_lines, n_deleted, text: one row per row of ``docs``.
 
-    A line goes if it lies in a run of ``min_lines`` consecutive non-blank lines that occur, equal byte for byte, at an earlier place, or if
+    A line goes if it lies in a run of ``min_lines`` consecutive non-blank lines that occur at an earlier place, or if
     it has ``long_words`` words and occurs earlier. Earlier means a smaller id, or a smaller place in the same text. Blank lines never go and do not
-    interrupt a run. Lines end at line feeds; ``n_lines`` counts blank ones too. Null text is empty, and has one blank line.
+    interrupt a run. Lines and runs are equal when 128 bits of hash are. Lines end at line feeds; ``n_lines`` counts blank ones too. Null text is empty, and has one blank line.
     Rows without an id come first. Of several texts of one id the order is that of a hash; rows that repeat an id and its text are one
     document and get the same result. Other columns are not read. An empty table gives an empty result.
     """

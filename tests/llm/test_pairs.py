@@ -138,6 +138,16 @@ def test_line_dedup_of_repeated_rows(spark):
     assert line_dedup.without_repeats(frame(spark, [])).count() == 0
 
 
+def test_line_dedup_of_lines_that_share_64_bits(spark):
+    one, other = "first line no. 1", "bhlzqqupvXaZ&qBI"
+    assert spark.range(1).select(F.xxhash64(F.lit(one)) == F.xxhash64(F.lit(other))).first()[0]
+    rows = [(1, f"{one}\np\nq"), (2, f"{other}\np\nq"), (3, f"{other}\np\nq")]
+    got = line_dedup.without_repeats(frame(spark, rows)).collect()
+    assert {r.doc_id: r.n_deleted for r in got} == {1: 0, 2: 0, 3: 3}
+    alone = line_dedup.without_repeats(frame(spark, [(1, one), (2, other), (3, one)]), long_words=1).collect()
+    assert {r.doc_id: r.n_deleted for r in alone} == {1: 0, 2: 0, 3: 1}
+
+
 def vectors(n, width, seed, top=2.0):
     return np.random.default_rng(seed).normal(0, top, (n, width))
 
