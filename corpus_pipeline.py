@@ -61,7 +61,7 @@ def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     model = pieces.Pieces.load(public_tokenizers.path("piece_bpe_32k.model"))
     coded = pieces.encoded(docs, model, check=True)
-    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "round_trip", "ids")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), (F.col("round_trip") & ~F.col("markers")).alias("round_trip"), "ids")
 
 
 STAGES = [

@@ -249,10 +249,10 @@ class Pieces:
 def encoded(
     docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, check: bool = False
 ) -> DataFrame:
-    """doc_id, ids: one row per row of ``docs``; with ``keep_text`` also text, with ``check`` also round_trip.
+    """doc_id, ids: one row per row of ``docs``; with ``keep_text`` also text, with ``check`` also round_trip and markers.
 
     ``round_trip`` tells whether the ids decode to the text again, with literal markers as spaces; it is found where the text is encoded, so
-    neither text nor ids go through a second worker. Null and empty texts have no ids. A literal marker character counts as a space.
+    neither text nor ids go through a second worker. ``markers`` tells whether the text holds literal markers, which decode to spaces. Null and empty texts have no ids. A literal marker character counts as a space.
     Rows are independent of each other, so repeated rows and rows without an id are encoded as any other. Other columns are not
     read. An empty table gives an empty result.
     """
@@ -268,12 +268,14 @@ def encoded(
             if keep_text:
                 out["text"] = texts
             if check:
-                wanted = pc.replace_substring(pc.fill_null(texts, ""), MARK, " ")
+                given = pc.fill_null(texts, "")
+                wanted = pc.replace_substring(given, MARK, " ")
                 out["round_trip"] = pc.equal(pa.array(pieces.decode(ids, counts), pa.string()), wanted)
+                out["markers"] = pc.match_substring(given, MARK)
             yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    more = ", text string" * keep_text + ", round_trip boolean" * check
+    more = ", text string" * keep_text + ", round_trip boolean, markers boolean" * check
     return source.mapInArrow(run, "doc_id long, ids array<int>" + more)
 
 

@@ -194,6 +194,14 @@ def test_pieces(spark, model):
     assert {r.doc_id: r.decoded for r in pieces.decoded(broken, model, ["doc_id"]).collect()} == {1: "\ufffd", 2: ""}
 
 
+def test_round_trip_of_literal_markers(spark, tmp_path):
+    docs = frame(spark, [(1, "a▁b", "s"), (2, "a b", "s"), (3, None, "s"), (4, "▁", "s")])
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    want = {1: False, 2: True, 3: True, 4: False}
+    assert {r.doc_id: r.round_trip for r in queries.op8_sentencepiece(spark, str(tmp_path)).collect()} == want
+    assert {r.doc_id: r.round_trip for r in corpus_pipeline.to_pieces(spark, docs, "").collect()} == want
+
+
 def test_pieces_are_those_of_the_library(model):
     proto = pytest.importorskip("sentencepiece.sentencepiece_model_pb2")
     import sentencepiece
