@@ -21,19 +21,22 @@ from pyspark.sql import functions as F
 from ..session import cut
 
 BLOCK, QUERY_BLOCK, FIRST_DEPTH = 4096, 1024, 4
-#: Quantised components beyond this are cut to it.
-MOST = 1 << 53
+#: Quantised components from here on do not fit 64 bits and are an error.
+MOST = 1 << 63
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def quantised(vector: Column, scale: float) -> Column:
-    """floor(scale * x) of each component as long; null for a vector that is null or has null or non-finite components."""
+    """floor(scale * x) of each component as long; null for a vector that is null or has null or non-finite components.
+
+    A component that does not fit 64 bits is an error.
+    """
     wide = F.transform(vector, lambda x: x.cast("double"))
     sound = F.forall(wide, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    most = F.lit(float(MOST))
-    whole = F.transform(wide, lambda x: F.greatest(F.least(x * F.lit(float(scale)), most), -most))
-    return F.when(sound, F.transform(whole, lambda x: F.floor(x).cast("long")))
+    whole = F.transform(wide, lambda x: x * F.lit(float(scale)))
+    too_wide = F.raise_error(F.lit("a quantised component does not fit 64 bits"))
+    return F.when(sound, F.transform(whole, lambda x: F.when(F.abs(x) < F.lit(float(MOST)), F.floor(x).cast("long")).otherwise(too_wide)))
 
 
 def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
@@ -46,12 +49,22 @@ def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
 
 
 def _products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Exact integer products; by floating point where its whole numbers are wide enough. Beyond 64 bits they wrap around."""
+    """Exact integer products; by floating point where its whole numbers are wide enough, by Python's where 64 bits may not be."""
     bound = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * q.shape[1]
     if bound < 1 << 53:
         kind = np.float32 if bound < 1 << 24 else np.float64
         return (q.astype(kind) @ x.astype(kind).T).astype(np.int64)
-    return q @ x.T
+    if bound < 1 << 62:
+        return q @ x.T
+    return q.astype(object) @ x.astype(object).T
+
+
+def _narrow(scores: np.ndarray) -> np.ndarray:
+    """The scores as 64-bit integers; one that does not fit is an error."""
+    try:
+        return scores.astype(np.int64)
+    except OverflowError as e:
+        raise OverflowError("a score does not fit 64 bits") from e
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -93,6 +106,7 @@ def threshold_search(
         scored += len(new) * len(open_rows)
         more = _products(q[open_rows], x[new])
         more[q_ids[open_rows][:, None] == ids[new][None, :]] = none
+        more = _narrow(more)
         scores, found = np.hstack([scores, more]), np.hstack([found, np.broadcast_to(ids[new], more.shape)])
         best = _best(scores, found, k)
         scores, found = np.take_along_axis(scores, best, 1), np.take_along_axis(found, best, 1)
@@ -118,7 +132,7 @@ def top_k(
 
     Components are floor(scale * x). A query meets all rows but those of its own id; fewer than k come back if there are no more. Ties go to the
     smaller id. Rows without an id, and vectors that are null or hold null or non-finite components, take no part. Rows that
-    repeat id and vector count once. A shorter vector goes on with zeros. Components are cut to 53 bits and a score beyond 64 bits wraps around.
+    repeat id and vector count once. A shorter vector goes on with zeros. A component, or a score that is looked at, that does not fit 64 bits is an error.
     Other columns are not read. An empty table, or one without queries, gives an empty result.
     """
     rows = vectors.where(F.col(id_col).isNotNull()).select(

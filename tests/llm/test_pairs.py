@@ -182,6 +182,20 @@ def test_top_k(spark):
     assert len(got[480]) == 20 and top_k.top_k(df.where("vec_id in (0, 20, 21)"), F.col("vec_id") == 0).count() == 2
 
 
+def test_top_k_of_wide_components(spark):
+    """Components beyond 2^53 keep their value; what does not fit 64 bits is an error."""
+    rows = [(0, [1.0, 0.0]), (1, [2.0**50, 0.0]), (2, [2.0**49, 0.0]), (3, [2.0**48, 0.0]), (4, [-(2.0**50), 1.0])]
+
+    def found(more):
+        df = spark.createDataFrame([*rows, *more], "vec_id long, embedding array<double>")
+        return [(r.vec_id, r.score) for r in top_k.top_k(df, F.col("vec_id") == 0).orderBy("rank").collect()]
+
+    assert found([]) == [(1, 2**62), (2, 2**61), (3, 2**60), (4, -(2**62))]
+    for wide in (2.0**52, 2.0**60):  # its score, then its component
+        with pytest.raises(Exception, match="does not fit 64 bits"):
+            found([(5, [wide, 0.0])])
+
+
 def test_words_and_slices():
     import pyarrow as pa
 
