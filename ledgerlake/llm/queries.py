@@ -79,7 +79,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path, vocabulary = new_path(spark, "tokens"), public_tokenizers.path("word_bpe_49k.json")
-    chunks = token_files.encoded_chunks(table(spark, sf_dir, "documents"), lambda: token_files.WordEncoder(vocabulary), end_id=2)
+    chunks = token_files.encoded_chunks(table(spark, sf_dir, "documents"), lambda: token_files.shared_encoder(vocabulary), end_id=2)
     token_files.write(chunks, path)
     return token_files.documents(token_files.read(spark, path))
 

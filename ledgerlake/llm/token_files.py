@@ -10,9 +10,11 @@ from __future__ import annotations
 
 import os
 import sys
+import types
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -61,13 +63,13 @@ def from_planes(planes: list[bytes], n: int) -> np.ndarray:
 class WordEncoder:
     """An encoder of texts for a lower-casing tokenizer that drops white space and never looks across it.
 
-    A task encodes each distinct word once, without the signs at its end, many in one call; the ids of texts are put
+    Each distinct word is encoded once, without the signs at its end, many in one call; the ids of texts are put
     together from these. Only texts with marks of special tokens are taken word by word as they stand.
     """
 
     #: Signs that are one part of their own behind a letter, as the tokenizer splits words.
     SIGNS = ".,;:!?#$%&*|"
-    #: Words a task remembers, and words per call.
+    #: Words an encoder remembers, and words per call.
     MOST, JOINED = 1_000_000, 256
 
     def __init__(self, path: str):
@@ -79,58 +81,79 @@ class WordEncoder:
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.sizes, self.flat = array("i"), array("i")
+        # Word number i owns flat[ends[i] : ends[i + 1]]; both grow in place.
+        self.ends, self.flat = array("q", [0]), array("i")
 
-    def _remember(self, word: str, ids: list[int]) -> None:
-        self.known[word] = len(self.sizes)
-        self.sizes.append(len(ids))
+    def _remember(self, words: list[str], sizes: np.ndarray, ids: list[int]) -> None:
+        first = len(self.ends) - 1
+        self.known.update(zip(words, range(first, first + len(words)), strict=True))
+        self.ends.frombytes((np.cumsum(sizes, dtype=np.int64) + self.ends[-1]).tobytes())
         self.flat.extend(ids)
 
     def _learn(self, words: list[str]) -> None:
-        plain = [w for w in words if w.isalpha()]
+        plain, single = [], []
+        for word in words:
+            (plain if word.isalpha() else single).append(word)
         for low in range(0, len(plain), self.JOINED):
             part = plain[low : low + self.JOINED]
             got = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
             owner = got.word_ids
             if not owner or owner[-1] != len(part) - 1:
-                words = [*words, *part]
-                continue
-            ids, at = got.ids, 0
-            counts = np.bincount(owner, minlength=len(part)).tolist()
-            for word, n in zip(part, counts, strict=True):
-                self._remember(word, ids[at : at + n])
-                at += n
-        for word in words:
-            if word not in self.known:
-                self._remember(word, self.tokenizer.encode(word, add_special_tokens=False).ids)
+                single += part
+            else:
+                self._remember(part, np.bincount(owner, minlength=len(part)), got.ids)
+        for word in single:
+            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+            self._remember([word], np.array([len(ids)]), ids)
+
+    def _parts(self, words: pa.Array, special: bool) -> tuple[pa.Array, pa.Array, list[str]]:
+        """The stems of words; which words have signs behind the stem; those signs."""
+        if special:
+            return words, pa.array(np.zeros(len(words), bool)), []
+        stems = pc.utf8_rtrim(words, characters=self.SIGNS)
+        cuts = pc.and_(pc.not_equal(pc.binary_length(stems), pc.binary_length(words)), pc.match_substring_regex(stems, r"[\p{L}\p{N}]$"))
+        whole, left = words.filter(cuts).to_pylist(), stems.filter(cuts).to_pylist()
+        return pc.if_else(cuts, stems, words), cuts, [w[len(s) :] for w, s in zip(whole, left, strict=True)]
+
+    def _numbers(self, words: pa.Array) -> np.ndarray:
+        coded = words.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        found = np.fromiter(map(self.known.get, distinct, repeat(-1)), np.int64, len(distinct))
+        new = np.flatnonzero(found < 0).tolist()
+        if new:
+            new = [distinct[i] for i in new]
+            self._learn(new)
+            found[found < 0] = np.fromiter(map(self.known.__getitem__, new), np.int64, len(new))
+        return found[np.asarray(coded.indices)]
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         special = pc.any(pc.match_substring(texts, "<|")).as_py()
         words = words_module.Words(texts, lower=not special)
         if len(self.known) > self.MOST:
             self._forget()
-        known, parts, new = self.known, [], {}
-        for word in words.distinct.to_pylist():
-            stem = word if special else word.rstrip(self.SIGNS)
-            if not stem or stem == word or not stem[-1].isalnum():
-                stem = word
-            parts.append(stem)
-            parts.append(word[len(stem) :])
-            if stem not in known:
-                new[stem] = None
-        for signs in set(parts[1::2]):
-            if signs not in known:
-                new[signs] = None
-        self._learn(list(new))
-        at = np.fromiter(map(known.__getitem__, parts), np.int64, len(parts))
-        sizes, flat = np.asarray(self.sizes, np.int32), np.asarray(self.flat, np.int32)
-        # Each distinct word is two parts, the second often empty.
-        ids, ends = _gathered(flat, (np.cumsum(sizes) - sizes)[at], sizes[at])
-        first = ends[:-1:2]
-        every, stops = _gathered(ids, first[words.codes], (ends[2::2] - first)[words.codes])
+        stems, cuts, tails = self._parts(words.distinct, special)
+        at = np.zeros((len(stems), 2), np.int64)
+        at[:, 0] = self._numbers(stems)
+        cuts = np.asarray(cuts)
+        at[cuts, 1] = self._numbers(pa.array(tails, pa.string()))
+        # Copies, as an array that is looked at cannot grow.
+        ends, flat = np.array(self.ends, np.int64), np.array(self.flat, np.int32)
+        sizes = ends[at + 1] - ends[at]
+        sizes[~cuts, 1] = 0
+        ids, stops = _gathered(flat, ends[at].ravel(), sizes.ravel())
+        first = stops[:-1:2]
+        every, stops = _gathered(ids, first[words.codes], (stops[2::2] - first)[words.codes])
         return every, np.diff(stops[words.starts])
 
 
+def shared_encoder(path: str) -> WordEncoder:
+    """The encoder of this worker process for the file, which lives on from task to task with the words it remembers."""
+    held = sys.modules.setdefault("_ledgerlake_encoders", types.ModuleType("_ledgerlake_encoders")).__dict__
+    if path not in held:
+        held[path] = WordEncoder(path)
+    return held[path]
+
+
 def _gathered(flat: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The runs of ``sizes`` values from ``first``, one after the other, and where each begins (with the total last)."""
     ends = np.concatenate([[0], np.cumsum(sizes)])
@@ -179,7 +202,7 @@ def encoded_chunks(
 ) -> DataFrame:
     """The chunk rows of all documents in order of their ids.
 
-    ``encoder`` is called once per task and gives a function from texts to (ids, sizes). Null text is empty; each document
+    ``encoder`` is called in each task and gives a function from texts to (ids, sizes). Null text is empty; each document
     is followed by ``end_id``, so an empty one has that id alone. Rows of one id follow each other in order of a hash of
     their text; rows without an id come first.
     """
