@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import sys
+import zlib
 from collections.abc import Callable
 
+import numpy as np
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import new_path
-from . import exact_dedup, line_dedup, lm_score, mixing, near_dedup, pieces, quality, token_files, top_k, url_filter
+from . import exact_dedup, lexical, line_dedup, lm_score, mixing, near_dedup, packing, periodic, pieces, quality, token_files, top_k, url_filter
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -164,3 +170,69 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = pieces.Pieces.load(public_tokenizers.path("piece_bpe_32k.model"))
     coded = pieces.encoded(table(spark, sf_dir, "documents"), model, check=True)
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), (F.col("round_trip") & ~F.col("markers")).alias("round_trip"), "ids")
+
+
+def planted(ids: list[int | None], sizes: np.ndarray) -> np.ndarray:
+    """The word that stands in each word's place: every tenth document by the CRC of its id repeats a stretch from some word to its end."""
+    starts = np.cumsum(sizes) - sizes
+    out = np.arange(int(sizes.sum()))
+    for doc_id, start, n in zip(ids, starts.tolist(), sizes.tolist(), strict=True):
+        crc = 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
+        if crc % 10 == 0 and n:
+            g = crc // 10
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            out[start + a : start + n] = start + a + np.arange(n - a) % p
+    return out
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without an id are taken as they are."""
+    found = periodic.periodic_runs(table(spark, sf_dir, "documents"), rewrite=planted)
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("n"), (-r["start"]).alias("back"), (-r["period"]).alias("short"))))
+    length, period = longest["n"], -longest["short"]
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-longest["back"]).alias("start"), length.alias("length"), period.alias("period"),
+        F.floor(F.lit(1000) * length / period).alias("exponent_milli"), F.sha2(listed.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+@query
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    vocabulary = public_tokenizers.path("word_bpe_49k.json")
+    pieces_ = packing.packed(table(spark, sf_dir, "documents"), lambda: token_files.shared_encoder(vocabulary), end_id=2)
+    return pieces_.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLE["op13_lexical_search"] = r"""
+WITH texts AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+norms AS (
+  SELECT doc_id, terms, 100 - 90 + (90 * len(terms) * sum(CAST(len(terms) > 0 AS BIGINT)) OVER ()) // greatest(1, sum(len(terms)) OVER ()) AS m,
+    sum(CAST(len(terms) > 0 AS BIGINT)) OVER () AS n_docs
+  FROM texts),
+asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+counted AS (
+  SELECT doc_id, m, n_docs, term, count(*) AS tf FROM (SELECT doc_id, m, n_docs, unnest(terms) AS term FROM norms)
+  WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+weighed AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM counted GROUP BY term),
+scored AS (
+  SELECT a.item_id, c.doc_id, CAST(sum(w * ((1000000000 * c.tf) // (1000 * c.tf + 8 * c.m))) AS BIGINT) AS score
+  FROM asked a JOIN counted c ON a.term = c.term JOIN weighed v ON a.term = v.term GROUP BY a.item_id, c.doc_id),
+ranked AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scored WHERE score > 0)
+SELECT * FROM ranked WHERE rank <= 10
+"""

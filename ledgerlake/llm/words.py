@@ -40,6 +40,18 @@ def trim() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+#: ASCII letters lower-cased, digits as they are, all other signs of ASCII a space.
+_FOLD = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256)).lower()
+
+
+def folded(texts: pa.Array) -> pa.Array:
+    """The texts with a space for each sign of ASCII but letters and digits, lower-cased in A-Z, so that words are terms. Null is empty."""
+    texts = pc.fill_null(texts, "")
+    ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    raw = b"" if texts.buffers()[2] is None else texts.buffers()[2].slice(ends[0], ends[-1] - ends[0]).to_pybytes()
+    return pa.StringArray.from_buffers(len(texts), pa.py_buffer(ends - ends[0]), pa.py_buffer(raw.translate(_FOLD)))
+
+
 class Words:
     """The words of an array of texts.
 

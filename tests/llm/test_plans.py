@@ -31,7 +31,7 @@ def test_native_plans(spark, name):
 
 def test_registration():
     numbers = [int(re.match(r"op(\d+)_", q)[1]) for q in queries.QUERIES]
-    assert sorted(numbers) == list(range(1, 11))
+    assert sorted(numbers) == list(range(1, 14))
     assert set(queries.QUERIES) | {"pipeline"} <= set(entry.queries()) and set(queries.ORACLE) <= set(entry.oracle_sql())
     assert len(corpus_pipeline.STAGES) == 5
 
