@@ -24,11 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ordered import Ordered
-from ..session import new_path
+from ..session import cut, new_path
 from . import words as words_module
 from .words import slices
 
 WINDOW = 4096
+#: Rows of (source, part) that are sent to all tasks, some 10 MB.
+BROADCAST_ROWS = 100_000
 #: The arithmetic is exact up to so many tokens.
 MOST_TOKENS = 1 << 50
 
@@ -157,7 +159,9 @@ def packed(
                 pa.array(w), pa.array(offset), raw,
             ], names=["doc_id", "source", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
 
-    queues = _queues(table, total, window)
+    queues = cut(_queues(table, total, window))
+    # Few rows go to all tasks, so that the ids stay where they are; with more parts and sources they meet by a join.
+    queues = F.broadcast(queues) if queues.count() <= BROADCAST_ROWS else queues.hint("merge")
     met = table.join(queues, F.col("source").eqNullSafe(F.col("q_source")) & (F.col("part") == F.col("q_part")))
     at = (F.col("q_before") + F.col("earlier") - F.col("low")).alias("at")
     return met.select("doc_id", "source", "n", "ids", at, "low", "high").mapInArrow(run, PIECE_SCHEMA)

@@ -111,10 +111,11 @@ def pack_rows():
     return rows + [(900 + i, "x y", f"tiny{i}") for i in range(30)] + [(3, "again", "mid"), (3, "again", "mid"), (None, "none", "tiny0")]
 
 
-@pytest.mark.parametrize(("window", "parts"), [(4096, 3), (64, 5), (7, 1)])
-def test_packing(spark, window, parts):
+@pytest.mark.parametrize(("window", "parts", "sent"), [(4096, 3, 100_000), (64, 5, 0), (7, 1, 100_000)])
+def test_packing(spark, monkeypatch, window, parts, sent):
     from tokenizers import Tokenizer
 
+    monkeypatch.setattr(packing, "BROADCAST_ROWS", sent)
     path = public_tokenizers.path("word_bpe_49k.json")
     rows, tokenizer = pack_rows(), Tokenizer.from_file(path)
     got = packing.packed(frame(spark, rows, parts), lambda: token_files.WordEncoder(path), 2, window).collect()
