@@ -58,14 +58,25 @@ def word_table_name(index: Column, file_id: Column) -> Column:
 
 
 def dedup_names(df: DataFrame, table: list[str], position: str, name: str, out: str = "final_name") -> DataFrame:
-    """The n-th repeat of a name within a table gets the suffix ``_n``."""
-    d = numbered(df, [*table, name], [F.col(position)], "_nth")
-    repeat = F.col("_nth") - 1
-    return d.withColumn(
-        out, F.when(repeat == 0, F.col(name)).otherwise(F.concat_ws("_", F.col(name), repeat.cast("string")))
-    ).drop("_nth")
+    """The n-th repeat of a name within a table gets the n-th suffix ``_k``, k from 1, whose result is not a name of the table itself.
+
+    Two names with suffixes never meet, as the last suffix tells the name before it; so all results of a table differ.
+    """
+    base, number = (F.regexp_extract(name, r"^(.*)_([1-9][0-9]{0,8})$", g) for g in (1, 2))
+    taken = df.select(*[F.col(t).alias(f"_t_{t}") for t in table], base.alias("_base"), number.alias("_number")).where("_number <> ''")
+    taken = taken.groupBy(*[f"_t_{t}" for t in table], "_base").agg(F.array_sort(F.collect_set(F.col("_number").cast("int"))).alias("_taken"))
+    same = F.col(name) == F.col("_base")
+    for t in table:
+        same &= F.col(t).eqNullSafe(F.col(f"_t_{t}"))
+    d = numbered(df, [*table, name], [F.col(position)], "_nth").join(taken, same, "left")
+    repeat = (F.col("_nth") - 1).cast("int")
+    free = F.when(F.col("_taken").isNull(), repeat).otherwise(
+        F.aggregate("_taken", repeat, lambda k, used: F.when(used <= k, k + 1).otherwise(k))
+    )
+    final = F.when(F.col("_nth") == 1, F.col(name)).otherwise(F.concat_ws("_", F.col(name), free.cast("string")))
+    return d.withColumn(out, final).select(*df.columns, out)
 
 
 def name_collisions(df: DataFrame, table: list[str], name: str = "final_name") -> DataFrame:
-    """Names still used twice in one table after suffixing; must be empty before a table is built."""
+    """Names used twice in one table; empty for the results of ``dedup_names``."""
     return df.groupBy(*table, name).count().where("count > 1")

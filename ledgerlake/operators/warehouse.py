@@ -1,8 +1,8 @@
 """Writing what ingestion finds: catalogue rows, data tables and chunks, in the shapes of ``schemas``.
 
-The data tables of a batch are one Parquet table, partitioned by table name, with the cells of a row as a map
-from column name to text. One job writes all of them, however many there are; a reader names a table, which prunes
-all others, and gets its typed columns from the catalogue.
+The data tables of a batch are one Parquet table with the cells of a row as a map from column name to text, however many tables there
+are. It is clustered: rows lie in hash buckets of table names, sorted by table and row. A reader names a table, which prunes all other
+buckets by their folder and all other files and row groups by their statistics, and gets its typed columns from the catalogue.
 """
 
 from __future__ import annotations
@@ -15,7 +15,9 @@ from ..functions.text import chunk_rows, entities, fixed_chunks, pages_to_rows,
 from ..schemas import CHUNKS, FILES, SHEETS
 from .profile import SPARK_TYPES, csv_file_keywords, csv_file_summary
 
-DATA = "table_name string, row long, cells map<string,string>"
+DATA = "table_name string, row long, cells map<string,string>, bucket int"
+#: Folders that the tables of a store are dealt into.
+BUCKETS = 64
 
 
 def stable_id(*parts: Column | str) -> Column:
@@ -62,14 +64,32 @@ def data_rows(inside: DataFrame, columns: DataFrame, sheets: DataFrame, keys: li
     )
 
 
-def write_data(rows: DataFrame, path: str) -> None:
-    """All tables in one job. Rows of a table may be written by many tasks."""
-    rows.select("table_name", "row", "cells").write.mode("append").partitionBy("table_name").parquet(path)
+def _bucket(table_name: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(table_name), F.lit(buckets)).cast("int")
 
 
-def read_data(spark: SparkSession, path: str, table_name: str, columns: list[tuple[str, str]]) -> DataFrame:
+def write_data(rows: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """All tables in one job, appended to the store.
+
+    Adaptive execution sizes the parts: small buckets share a task and large ones, which may hold one large table, are
+    split, so a batch adds some files per bucket and never one per table.
+    """
+    placed = rows.select("table_name", "row", "cells", _bucket(F.col("table_name"), buckets).alias("bucket"))
+    sorted_rows = placed.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "table_name", "row")
+    sorted_rows.write.mode("append").partitionBy("bucket").parquet(path)
+
+
+def read_rows(spark: SparkSession, path: str, table_name: str | None = None, buckets: int = BUCKETS) -> DataFrame:
+    """(table_name, row, cells) of one table, or of all; ``buckets`` as the store was written."""
+    rows = spark.read.schema(DATA).parquet(path)
+    if table_name is not None:
+        rows = rows.where((F.col("bucket") == _bucket(F.lit(table_name), buckets)) & (F.col("table_name") == table_name))
+    return rows.drop("bucket")
+
+
+def read_data(spark: SparkSession, path: str, table_name: str, columns: list[tuple[str, str]], buckets: int = BUCKETS) -> DataFrame:
     """One table as typed columns from (name, type) pairs of the catalogue."""
-    rows = spark.read.schema(DATA).parquet(path).where(F.col("table_name") == table_name)
+    rows = read_rows(spark, path, table_name, buckets)
     return rows.select(*[F.try_element_at("cells", F.lit(n)).try_cast(SPARK_TYPES[t]).alias(n) for n, t in columns])
 
 

@@ -241,5 +241,4 @@ def ingest_tables(spark: SparkSession, d: str) -> DataFrame:
     path = new_path(spark, "data")
     inside = c.table_cells(c.nonblank(grid), tables, KEYS)
     warehouse.write_data(warehouse.data_rows(inside, columns, sheets, KEYS), path)
-    stored = spark.read.schema(warehouse.DATA).parquet(path)
-    return stored.select("table_name", "row", F.explode("cells").alias("name", "value"))
+    return warehouse.read_rows(spark, path).select("table_name", "row", F.explode("cells").alias("name", "value"))

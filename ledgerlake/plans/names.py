@@ -46,10 +46,15 @@ def norm_name_word(spark: SparkSession, d: str) -> DataFrame:
     return view(spark, d, "headers_v").select("id", names.normalize_name_word(F.col("name")).alias("norm"))
 
 
-@query("dedup_names", oracle("headers_v", body=f"""
-SELECT table_id, id, norm, CASE WHEN nth = 0 THEN norm ELSE norm || '_' || CAST(nth AS VARCHAR) END AS final_name FROM (
-  SELECT table_id, id, norm, ROW_NUMBER() OVER (PARTITION BY table_id, norm ORDER BY id) - 1 AS nth
-  FROM (SELECT table_id, id, {name_sql('name')} AS norm FROM headers_v))
+@query("dedup_names", oracle("headers_v", body=rf"""
+WITH normed AS (SELECT table_id, id, norm, ROW_NUMBER() OVER (PARTITION BY table_id, norm ORDER BY id) - 1 AS nth
+  FROM (SELECT table_id, id, {name_sql('name')} AS norm FROM headers_v)),
+used AS (SELECT DISTINCT table_id, norm FROM normed),
+numbers AS (SELECT table_id, norm, unnest(range(1, 100)) AS k FROM used),
+free AS (SELECT table_id, norm, k, ROW_NUMBER() OVER (PARTITION BY table_id, norm ORDER BY k) AS nth
+  FROM numbers n WHERE NOT EXISTS (SELECT 1 FROM used u WHERE u.table_id = n.table_id AND u.norm = n.norm || '_' || CAST(n.k AS VARCHAR)))
+SELECT n.table_id, n.id, n.norm, CASE WHEN n.nth = 0 THEN n.norm ELSE n.norm || '_' || CAST(f.k AS VARCHAR) END AS final_name
+FROM normed n LEFT JOIN free f ON f.table_id = n.table_id AND f.norm = n.norm AND f.nth = n.nth
 """))
 def dedup_names(spark: SparkSession, d: str) -> DataFrame:
     named = view(spark, d, "headers_v").select("table_id", "id", names.normalize_name(F.col("name")).alias("norm"))

@@ -154,9 +154,9 @@ SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'Which file has ' WHEN 1 THEN '
 """
 
 VIEWS["headers_v"] = """
-SELECT p_partkey AS id, CAST(FLOOR(p_partkey / 40.0) AS BIGINT) AS table_id, CASE p_partkey % 7 WHEN 0 THEN ''
-  WHEN 1 THEN 'Order' WHEN 2 THEN '2024 ' || p_name
-  WHEN 3 THEN p_brand || ' (' || p_type || ')' WHEN 4 THEN '__' || p_name || '__' WHEN 5 THEN NULL ELSE '###' END AS name
+SELECT p_partkey AS id, CAST(FLOOR(p_partkey / 40.0) AS BIGINT) AS table_id,
+  CASE WHEN p_partkey % 20 = 3 THEN 'Unnamed 2' WHEN p_partkey % 40 = 5 THEN 'unnamed-4' ELSE CASE p_partkey % 7 WHEN 0 THEN '' WHEN 1 THEN 'Order' WHEN 2 THEN '2024 ' || p_name
+  WHEN 3 THEN p_brand || ' (' || p_type || ')' WHEN 4 THEN '__' || p_name || '__' WHEN 5 THEN NULL ELSE '###' END END AS name
   FROM {part}
 """
 

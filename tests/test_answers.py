@@ -59,7 +59,7 @@ def test_data_tables(spark, tmp_path):
     one = read_data(spark, str(tmp_path / "d"), "t1", [("a", "INTEGER"), ("b", "TEXT")])
     assert sorted(map(tuple, one.collect()), key=repr) == [(1, "x"), (None, None)]
     assert read_data(spark, str(tmp_path / "d"), "t2", [("c", "DOUBLE PRECISION")]).first().c == 2.5
-    assert "PartitionFilters: [isnotnull(table_name" in one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in one._jdf.queryExecution().executedPlan().toString()
 
 
 def test_text_chunks(spark):

@@ -1,8 +1,10 @@
 import datetime as dt
 
-import pytest
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
+from ledgerlake.operators import warehouse
+from ledgerlake.operators.cells import table_cells
 from ledgerlake.operators.ingest import ingest, load_table
 
 SHEET = [
@@ -51,9 +53,35 @@ def test_sheets_whose_names_meet(spark):
     assert {r.sheet: r.table_name for r in sheets.collect()} == {"A b": "sheet_a_b_abcdef01", "a_b": "sheet_a_b_abcdef01_2"}
 
 
-def test_names_that_still_meet_are_an_error(spark):
-    rows = [("S", r, c, v) for r, line in enumerate(["a,a,a_1", "1,2,3"]) for c, v in enumerate(line.split(","))]
+def test_headers_that_look_like_suffixed_ones(spark):
+    rows = [(s, r, c, v) for s in ("S", "T") for r, line in enumerate(["a,a,a_1", "1,2,3"]) for c, v in enumerate(line.split(","))]
     df = spark.createDataFrame(rows, "sheet string, row bigint, col int, value string")
-    tables, columns, _ = ingest(df, ["sheet"], "sheet", F.lit("ab-cd-ef-0123"))
-    with pytest.raises(ValueError):
-        load_table(df, tables, columns, ["sheet"], F.col("table_no") == 1)
+    tables, columns, sheets = ingest(df, ["sheet"], "sheet", F.lit("ab-cd-ef-0123"))
+    one = load_table(df, tables, columns, ["sheet"], (F.col("sheet") == "S") & (F.col("table_no") == 1))
+    assert one.columns == ["a", "a_2", "a_1"] and [tuple(r) for r in one.collect()] == [(1, 2, 3)]
+    # A sheet like this does not end the batch.
+    stored = warehouse.data_rows(table_cells(df, tables, ["sheet"]), columns, sheets, ["sheet"]).collect()
+    assert [r.cells for r in stored] == [{"a": "1", "a_2": "2", "a_1": "3"}] * 2
+
+
+def test_one_table_of_a_store_scans_few_row_groups(spark, tmp_path):
+    many = spark.range(20_000).select(
+        F.concat(F.lit("t"), F.floor(F.col("id") / 20).cast("string")).alias("table_name"), (F.col("id") % 20).alias("row"),
+        F.create_map(F.lit("a"), F.col("id").cast("string")).alias("cells"))
+    large = spark.range(50_000).select(F.lit("large").alias("table_name"), F.col("id").alias("row"), F.create_map(F.lit("a"), F.col("id").cast("string")).alias("cells"))
+    path = str(tmp_path / "store")
+    for batch in (many, large):
+        warehouse.write_data(batch, path)
+    files = list((tmp_path / "store").rglob("*.parquet"))
+    assert len(files) < 3 * warehouse.BUCKETS
+    one = warehouse.read_data(spark, path, "t77", [("a", "INTEGER")])
+    assert sorted(r.a for r in one.collect()) == list(range(1540, 1560))
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan and "EqualTo(table_name,t77)" in plan
+    folders = {f.parent.name for f in files}
+    scanned = {r.f.split("/")[-2] for r in warehouse.read_rows(spark, path, "t77").select(F.input_file_name().alias("f")).distinct().collect()}
+    assert len(folders) > 50 and len(scanned) == 1
+    # Tables lie one after the other in a file, so statistics tell them apart.
+    mine = [f for f in files if f.parent.name in scanned]
+    assert all(pq.read_table(f)["table_name"].to_pylist() == sorted(pq.read_table(f)["table_name"].to_pylist()) for f in mine)
+    assert warehouse.read_rows(spark, path).count() == 70_000

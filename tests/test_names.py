@@ -29,11 +29,14 @@ def test_word_names(spark):
         "none", "col_", "col_2024_sales", "order", "a_b"]
 
 
-def test_dedup_keeps_the_single_pass_rule(spark):
-    df = spark.createDataFrame([(1, 0, "a"), (1, 1, "a"), (1, 2, "a_1"), (2, 0, "a")], "t int, p int, n string")
-    out = names.dedup_names(df, ["t"], "p", "n").orderBy("t", "p")
-    assert [r.final_name for r in out.collect()] == ["a", "a_1", "a_1", "a"]
-    assert [(r.t, r.final_name) for r in names.name_collisions(out, ["t"]).collect()] == [(1, "a_1")]
+def test_suffixes_pass_over_names_of_the_table(spark):
+    rows = ["a", "a", "a_1", "a", "a_3", "a_1", "a", "b_1", "b", "b", "a_1_1", "a_1"]
+    df = spark.createDataFrame([(1, p, n) for p, n in enumerate(rows)] + [(2, 0, "a"), (2, 1, "a"), (None, 0, "c"), (None, 1, "c_1"), (None, 2, "c")], "t int, p int, n string")
+    out = names.dedup_names(df, ["t"], "p", "n")
+    got = {(r.t, r.p): r.final_name for r in out.collect()}
+    assert [got[1, p] for p in range(len(rows))] == ["a", "a_2", "a_1", "a_4", "a_3", "a_1_2", "a_5", "b_1", "b", "b_2", "a_1_1", "a_1_3"]
+    assert [got[2, p] for p in range(2)] == ["a", "a_1"] and [got[None, p] for p in range(3)] == ["c", "c_1", "c_2"]
+    assert names.name_collisions(out, ["t"]).count() == 0
 
 
 def test_dedup_with_a_large_group(spark, tiny_groups):
