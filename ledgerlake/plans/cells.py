@@ -139,6 +139,23 @@ def src_cells(spark: SparkSession, d: str) -> DataFrame:
     return cells.where("col > 0").join(keys, ["file_id", "row"]).select("key", "col", "value")
 
 
+@query("src_cells_multiline", """
+WITH t AS (SELECT CAST(p_partkey AS VARCHAR) AS key, p_partkey % 3 AS kind, p_name, p_brand, p_type FROM part)
+SELECT key, 1 AS col, p_name || chr(10) || '"' || p_brand || '",' || chr(10) AS value FROM t WHERE kind > 0
+UNION ALL SELECT key, 1, p_name FROM t WHERE kind = 0 UNION ALL SELECT key, 3, p_type || CASE kind WHEN 2 THEN chr(10) || key ELSE '' END FROM t
+""")
+def src_cells_multiline(spark: SparkSession, d: str) -> DataFrame:
+    """Grids whose cells hold line breaks, commas and quotes, written as CSV lines and read back; the first cell names the record."""
+    path = new_path(spark, "grids-lines")
+    kind = F.col("p_partkey") % 3
+    first = F.when(kind > 0, F.concat(F.lit('"'), "p_name", F.lit('\n""'), "p_brand", F.lit('"",\n"'))).otherwise(F.col("p_name"))
+    last = F.when(kind == 2, F.concat(F.lit('"'), "p_type", F.lit("\n"), F.col("p_partkey").cast("string"), F.lit('"'))).otherwise(F.col("p_type"))
+    table(spark, d, "part").select(F.concat_ws(",", F.col("p_partkey").cast("string"), first, F.lit(""), last).alias("value")).write.text(path)
+    cells = csv_to_cells(spark, path)
+    keys = cells.where("col = 0").select("file_id", "row", F.col("value").alias("key"))
+    return cells.where("col > 0").join(keys, ["file_id", "row"]).select("key", "col", "value")
+
+
 INGEST_CTES = f""",
 columns AS (SELECT sheet, table_no, col, MAX(CASE WHEN row = r0 THEN value END) AS original_name,
     COUNT(CASE WHEN row > r0 THEN value END) AS filled,

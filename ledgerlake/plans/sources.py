@@ -23,6 +23,19 @@ def src_csv(spark: SparkSession, d: str) -> DataFrame:
     return fs.read_csv(spark, path)
 
 
+@query("src_csv_multiline", """
+SELECT doc_id, CASE WHEN text NOT IN ('NA', 'None', 'null') THEN text END AS text, source FROM (
+  SELECT doc_id, trim(replace(text, chr(13), ' ')) AS text, source FROM documents) WHERE text <> ''
+""")
+def src_csv_multiline(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of many lines written as one column of a CSV table, read back."""
+    path = new_path(spark, "csv-lines")
+    text = F.trim(F.replace("text", F.lit("\r"), F.lit(" "))).alias("text")
+    docs = table(spark, d, "documents", heavy=True).select("doc_id", text, "source").where("text <> ''")
+    docs.write.option("escape", '"').csv(path, header=True)
+    return fs.read_csv(spark, path, "doc_id long, text string, source string")
+
+
 def _contents(spark: SparkSession, d: str) -> DataFrame:
     """Document files in the form the binary reader gives; some blank, some in a single-byte encoding."""
     doc = F.col("doc_id")

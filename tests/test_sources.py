@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,3 +87,79 @@ def test_every_listed_file_has_a_status(spark, tmp_path):
     got = {r.path.rsplit("/", 1)[1]: (r.text, r.status) for r in fs.read_text_files(spark, str(tmp_path), max_size=10).collect()}
     assert got == {"a.txt": ("xxx", "SUCCESS"), "b.txt": (None, "FAILED"), "c.txt": (" ", "EMPTY")}
     assert fs.read_text_files(spark, str(tmp_path)).count() == 3
+
+
+def plain_records(text):
+    """Cells of a CSV text by one pass over its characters."""
+    rows, cells, cell, quoted, i = [], [], "", False, 0
+    text = text.replace("\r\n", "\n")
+    while i < len(text):
+        c = text[i]
+        if quoted:
+            if c == '"' and text[i + 1 : i + 2] == '"':
+                cell, i = cell + c, i + 1
+            elif c == '"':
+                quoted = False
+                while i + 1 < len(text) and text[i + 1] not in ",\n":
+                    i += 1
+            else:
+                cell += c
+        elif c == '"' and (i == 0 or text[i - 1] in ",\n"):
+            quoted = True
+        elif c == ",":
+            cells, cell = [*cells, cell], ""
+        elif c == "\n":
+            rows, cells, cell = [*rows, [*cells, cell]], [], ""
+        else:
+            cell += c
+        i += 1
+    return [*rows, [*cells, cell]] if cells or cell else rows
+
+
+@pytest.mark.parametrize("split", [40, 700, 1 << 20])
+def test_records_of_several_lines_in_split_files(spark, tmp_path, split):
+    rnd = random.Random(split)
+    pool = ["a", "", 'say "x"', "two\nlines", "a,b", '5" pipe', "\n", "three\n\nlines, \"q\"\n", "ü漢", '"']
+    texts = {}
+    for name in ("a.csv", "b.csv", "c.csv"):
+        rows = [[rnd.choice(pool) for _ in range(rnd.randrange(1, 5))] for _ in range(150)]
+        cell = lambda v: '"' + v.replace('"', '""') + '"' if set(v) & set(',\n') or v[:1] == '"' or rnd.random() < 0.3 else v
+        texts[name] = ("\r\n" if name == "b.csv" else "\n").join(",".join(map(cell, r)) for r in rows) + "\n"
+        (tmp_path / name).write_bytes(texts[name].encode())
+    (tmp_path / "stray.csv").write_text('x,"open\ny,z\n')
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+    try:
+        cells = fs.csv_to_cells(spark, str(tmp_path))
+        assert split > 1000 or cells.rdd.getNumPartitions() > 1
+        got = grid_of(cells)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    want = {(n, r, c): v for n, t in texts.items() for r, row in enumerate(plain_records(t)) for c, v in enumerate(row) if v.strip()}
+    assert {k: v for k, v in got.items() if k[0] != "stray.csv"} == want
+    assert {k[1:]: v for k, v in got.items() if k[0] == "stray.csv"} == {(0, 0): "x", (0, 1): '"open', (1, 0): "y", (1, 1): "z"}
+
+
+def test_one_large_file_is_read_by_many_tasks(spark, tmp_path):
+    with open(tmp_path / "t.csv", "w") as f:
+        f.write("k,t\n")
+        f.writelines(f'{i},"line {i}\nnext ""{i}"""\n' for i in range(60_000))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200000")
+    try:
+        lines = spark.read.text(str(tmp_path))
+        assert lines.rdd.getNumPartitions() > 8
+        df = fs.read_csv(spark, str(tmp_path))
+        assert df.agg(F.count("*"), F.sum("k"), F.count_if(F.col("t") == F.concat(F.lit("line "), "k", F.lit('\nnext "'), "k", F.lit('"')))).first() == (60_000, 60_000 * 59_999 // 2, 60_000)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_a_cell_of_many_doubled_quotes(spark, tmp_path):
+    (tmp_path / "q.csv").write_text('a,"' + '""x' * 3000 + '"\n"' + '""\n' * 2000 + '",b\n')
+    got = {(r.row, r.col): r.value for r in fs.csv_to_cells(spark, str(tmp_path)).collect()}
+    assert got == {(0, 0): "a", (0, 1): '"x' * 3000, (1, 0): '"\n' * 2000, (1, 1): "b"}
+
+
+def test_csv_columns_without_a_name(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("\ufeffa,,A\n1,2\n\n3,4,5,6\n")
+    df = fs.read_csv(spark, str(tmp_path))
+    assert df.columns == ["a0", "_c1", "A2"] and sorted(map(tuple, df.collect()), key=str) == [(1, 2, None), (3, 4, 5)]
