@@ -4,7 +4,9 @@ Each round links every node's larger neighbours to its smallest neighbour, then
 every node and its smaller neighbours to the smallest one (Kiveris et al., 2014,
 "Connected Components in MapReduce and Beyond"). The number of rounds grows with
 the logarithm of the component size, not with its diameter, and a round only
-takes minima and equi-joins, never a whole neighbourhood in one place.
+takes minima and equi-joins, never a whole neighbourhood in one place: a node's
+edges are dealt over salts, and its smallest neighbour is told to each salt that
+has some of them, so the root of the largest component is no hot key.
 """
 
 from __future__ import annotations
@@ -15,17 +17,27 @@ from pyspark.sql import functions as F
 from ..session import cut
 
 
+SALTS = 32
+
+
+def _with_smallest(e: DataFrame) -> DataFrame:
+    """Edges (u, v) with ``m``, the smallest v of their u."""
+    salted = e.select("u", "v", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int").alias("salt"))
+    parts = salted.groupBy("u", "salt").agg(F.min("v").alias("part"))
+    told = parts.select("u", "salt").join(parts.groupBy("u").agg(F.min("part").alias("m")), "u")
+    return salted.join(told, ["u", "salt"]).select("u", "v", "m")
+
+
 def _large_star(e: DataFrame) -> DataFrame:
     both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    m = F.least("u", "m")
+    return _with_smallest(both).where((F.col("v") > F.col("u")) & (F.col("v") != m)).select(F.col("v").alias("u"), m.alias("v"))
 
 
 def _small_star(e: DataFrame) -> DataFrame:
     down = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    low = down.groupBy("u").agg(F.min("v").alias("m"))
-    linked = down.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return linked.unionByName(low.select("u", F.col("m").alias("v")))
+    # The edge to the smallest neighbour stays, the others hang on it from then on.
+    return _with_smallest(down).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
 
 
 def components(edges: DataFrame) -> DataFrame:

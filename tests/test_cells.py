@@ -1,9 +1,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerlake.operators import cells as c
-from ledgerlake.operators.components import components
+from ledgerlake.operators.components import _with_smallest, components
 
 KEYS = ["sheet"]
 
@@ -175,3 +176,12 @@ def test_one_python_step_only(spark):
     inside = c.table_cells(df, c.detect_tables(df, KEYS), KEYS)
     assert "Cartesian" not in inside._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in inside._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_star_of_many_edges_has_no_hot_task(spark):
+    star = spark.range(1, 1_000_001).select(F.lit(0).cast("long").alias("u"), F.col("id").alias("v"))
+    joined = _with_smallest(star.repartition(8))
+    tasks = sorted(r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect())
+    assert sum(tasks) == 1_000_000 and tasks[-1] <= 2 * tasks[len(tasks) // 2] and len(tasks) > 1
+    labels = components(star)
+    assert labels.agg(F.count("*"), F.max("label")).first() == (1_000_001, 0)
