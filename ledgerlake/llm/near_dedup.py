@@ -32,6 +32,8 @@ from . import words as words_module
 from .words import Words, mix, shingle_sets, slices
 
 ROWS, BANDS = 5, 25
+#: The rows of a key are dealt over so many tasks by their nodes.
+SALTS = 32
 #: Centres per key grow by this factor from round to round.
 GROWTH = 16
 
@@ -39,6 +41,19 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 cloudpickle.register_pickle_by_value(words_module)
 
 
+def _salted(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+
+
+def _told(rows: DataFrame, facts: DataFrame) -> DataFrame:
+    """Salted rows (key, salt, node, ...) with the facts of their key, those without facts left out.
+
+    Facts go to the salts that a key has, so the rows of a key that a family of near copies or a line of boilerplate
+    fills never meet in one task.
+    """
+    return rows.join(rows.select("key", "salt").distinct().join(facts, "key"), ["key", "salt"])
+
+
 def densified(shingles: np.ndarray, bins: int) -> np.ndarray:
     """The one-permutation signature of a non-empty sorted set of 64-bit hashes.
 
@@ -165,19 +180,19 @@ def _rare_first(sets: DataFrame, per_cent: int) -> DataFrame:
 
     listed = sets.select("node", "f1", "shingles").mapInArrow(run, "node long, f1 long, n long, key long")
     used = listed.groupBy("key").agg(F.count(F.lit(1)).alias("used"))
-    placed = listed.join(used, "key").withColumn("place", F.expr("row_number() over (partition by node, f1 order by used, key)"))
+    placed = _told(_salted(listed), used).withColumn("place", F.expr("row_number() over (partition by node, f1 order by used, key)"))
     needed = F.col("n") - F.ceil(F.col("n") * per_cent / 100) + 1
-    return placed.where((F.col("place") <= needed) & (F.col("used") > 1)).select("key", "node", "n", "place")
+    return placed.where((F.col("place") <= needed) & (F.col("used") > 1)).select("key", "salt", "node", "n", "place")
 
 
 def _open(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """The rows (key, node, ...) with the labels of their nodes, of the keys that hold several labels."""
+    """The salted rows (key, salt, node, ...) with the labels of their nodes, of the keys that hold several labels."""
     if labels is None:
         left = rows.withColumn("label", F.col("node"))
     else:
         left = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     several = left.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
-    return left.join(several.select("key"), "key", "left_semi")
+    return _told(left, several.select("key"))
 
 
 class _Links:
@@ -202,29 +217,30 @@ class _Links:
 def links_of(buckets: DataFrame, sets: DataFrame, per_cent: int, growth: int = GROWTH) -> DataFrame | None:
     """(node, label) of all nodes that are linked with another; None without any link.
 
-    ``buckets`` (key, node, n) holds no key with one node only. See the module's text for the two steps.
+    ``buckets`` (key, salt, node, n) holds no key with one node only. See the module's text for the two steps.
     """
     links = _Links(sets, per_cent)
     centres = buckets.groupBy("key").agg(F.min(F.struct("node", "n")).alias("c")).select("key", "c.node", "c.n").toDF("key", "c", "c_n")
     sizes = F.least("n", "c_n") * 100 >= F.greatest("n", "c_n") * per_cent
-    links.add(buckets.join(centres, (buckets["key"] == centres["key"]) & (F.col("node") != F.col("c")) & sizes))
+    links.add(_told(buckets, centres).where((F.col("node") != F.col("c")) & sizes))
     unsettled = _open(buckets, links.labels).select("node").distinct()
     rows = cut(_rare_first(sets.join(unsettled, "node", "left_semi"), per_cent))
     centres_per_key, done = 1, None
     while True:
         left = rows if done is None else rows.join(done, ["key", "node"], "left_anti")
-        left = cut(_open(left, links.labels).select("key", "node", "n", "place", "label"))
+        left = cut(_open(left, links.labels).select("key", "salt", "node", "n", "place", "label"))
         if left.isEmpty():
             return links.labels
-        # A map-side limit: no task gets more than the first nodes of a key from another.
-        ranked = left.withColumn("r", F.expr("row_number() over (partition by key order by place, node)"))
+        # A limit per salt goes before that of the key, so no task gets all nodes of a key.
+        few = left.withColumn("r", F.expr("row_number() over (partition by key, salt order by place, node)")).where(F.col("r") <= centres_per_key)
+        ranked = few.withColumn("r", F.expr("row_number() over (partition by key order by place, node)"))
         centres = cut(ranked.where(F.col("r") <= centres_per_key).select(
             "key", F.col("node").alias("c"), F.col("label").alias("c_label"), F.col("n").alias("c_n"), F.col("place").alias("c_place")
         ))
         # At the first shingle that two sets share, what is left of each bounds what they have in common.
         most = F.least(F.col("n") - F.col("place"), F.col("c_n") - F.col("c_place")) + 1
         possible = (F.col("label") != F.col("c_label")) & (most * 100 >= (F.col("n") + F.col("c_n") - most) * per_cent)
-        links.add(left.join(centres, (left["key"] == centres["key"]) & possible))
+        links.add(_told(left, centres).where(possible))
         rows, done = left.drop("label"), centres.select("key", F.col("c").alias("node")).distinct()
         centres_per_key *= growth
 
@@ -248,9 +264,9 @@ def near_duplicates(
     classes = cut(
         usable.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("node"), F.any_value("keys").alias("keys"))
     )
-    spread = classes.select("node", F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
+    spread = _salted(classes.select("node", F.col("n_shingles").alias("n"), F.explode("keys").alias("key")))
     shared = spread.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    buckets = cut(spread.join(shared, "key", "left_semi"))
+    buckets = cut(_told(spread, shared))
     wanted = buckets.select("node").distinct().join(classes.select("node", "f1", "f2"), "node")
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text"))
     sets = cut(_sets(texts.join(wanted, "node").select("node", "f1", "f2", "text"), size))

@@ -148,14 +148,18 @@ lines AS (SELECT doc_id, unnest(parts) AS line, unnest(range(len(parts))) AS pla
 full_lines AS (
   SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words, row_number() OVER (PARTITION BY doc_id ORDER BY place) AS nth
   FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
-runs AS (
-  SELECT doc_id, nth, line || chr(10) || lead(line) OVER d || chr(10) || lead(line, 2) OVER d AS run
+ahead AS (
+  SELECT doc_id, nth, line, words, lead(line) OVER d AS second, lead(line, 2) OVER d AS third, words + lead(words) OVER d AS words_of_two
   FROM full_lines WINDOW d AS (PARTITION BY doc_id ORDER BY nth)),
-later AS (SELECT doc_id, nth FROM runs WHERE run IS NOT NULL QUALIFY row_number() OVER (PARTITION BY run ORDER BY doc_id, nth) > 1),
-alone AS (SELECT doc_id, nth FROM full_lines WHERE words >= 50 QUALIFY row_number() OVER (PARTITION BY line ORDER BY doc_id, nth) > 1),
+-- Three lines are a run, and so are two or one with fifty words.
+runs AS (
+  SELECT doc_id, nth, 3 AS n, line || chr(10) || second || chr(10) || third AS run FROM ahead WHERE third IS NOT NULL
+  UNION ALL SELECT doc_id, nth, 2, line || chr(10) || second FROM ahead WHERE words_of_two >= 50
+  UNION ALL SELECT doc_id, nth, 1, line FROM ahead WHERE words >= 50),
+later AS (SELECT doc_id, nth, n FROM runs QUALIFY row_number() OVER (PARTITION BY n, run ORDER BY doc_id, nth) > 1),
 gone AS (
   SELECT DISTINCT f.doc_id, f.place FROM full_lines f
-  JOIN (SELECT doc_id, nth + unnest([0, 1, 2]) AS nth FROM later UNION SELECT doc_id, nth FROM alone) r ON f.doc_id = r.doc_id AND f.nth = r.nth)
+  JOIN (SELECT doc_id, nth + unnest(range(n)) AS nth FROM later) r ON f.doc_id = r.doc_id AND f.nth = r.nth)
 SELECT l.doc_id, CAST(count(*) AS INTEGER) AS n_lines, CAST(count(g.place) AS INTEGER) AS n_deleted,
   coalesce(string_agg(l.line, chr(10) ORDER BY l.place) FILTER (g.place IS NULL), '') AS text
 FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.place = g.place GROUP BY l.doc_id

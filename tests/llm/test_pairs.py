@@ -138,13 +138,51 @@ def test_line_dedup_of_repeated_rows(spark):
     assert line_dedup.without_repeats(frame(spark, [])).count() == 0
 
 
+def test_line_dedup_of_passages(spark):
+    def words(tag, n):
+        return " ".join(f"{tag}{i}" for i in range(n))
+
+    two, long = f"{words('a', 30)}\n{words('b', 25)}", words("c", 60)
+    rows = [
+        (1, f"start\n{two}\nend one"), (2, f"{words('a', 30)}\n\n{words('b', 25)}\nother"), (3, f"{long}\nshort line"), (4, f"x\nshort line\n{long}"),
+        (5, f"{words('a', 30)}\nalone"), (6, f"{words('b', 25)}\n{words('a', 30)}"), (7, "p q\nr s\nt u"), (8, "zero\np q\nr s\nt u\nv"), (9, "p q\nr s"),
+        *[(20 + i, f"own {i}\nshort line\nmine {i}") for i in range(30)], *[(60 + i, two) for i in range(40)],
+    ]
+    got = {r.doc_id: (r.n_deleted, r.text) for r in line_dedup.without_repeats(frame(spark, rows)).collect()}
+    assert got[1][0] == got[3][0] == 0 and got[2] == (2, "\nother") and got[4] == (1, "x\nshort line")
+    # Lines that are no passage stay, also where they recur in many documents.
+    assert got[5][0] == got[6][0] == got[9][0] == 0 and all(got[20 + i][0] == 0 for i in range(30))
+    assert got[8] == (3, "zero\nv") and all(got[60 + i] == (2, "") for i in range(40))
+
+
+def test_no_later_passage_stays(spark):
+    """Every run of lines that stays and makes a passage, of however many lines, is met for the first time."""
+    rnd = random.Random(9)
+    stock = [f"{i} " * rnd.choice([3, 12, 20, 28, 55]) for i in range(12)]
+    rows = [(i, "\n".join(rnd.choice(stock) for _ in range(rnd.randrange(1, 9)))) for i in range(120)]
+    kept, seen = {r.doc_id: r for r in line_dedup.without_repeats(frame(spark, rows)).collect()}, set()
+    gone = 0
+    for i, text in rows:
+        lines = text.split("\n")
+        late, sizes = set(), [len(x.split()) for x in lines]
+        runs = [(a, b) for a in range(len(lines)) for b in range(a + 1, len(lines) + 1) if b - a >= 3 or sum(sizes[a:b]) >= 50]
+        for a, b in sorted(runs, key=lambda r: (r[0], r[1] - r[0])):
+            run = tuple(lines[a:b])
+            if run in seen:
+                late |= set(range(a, b))
+            seen.add(run)
+        gone += len(late)
+        assert kept[i].text == "\n".join(x for j, x in enumerate(lines) if j not in late) and kept[i].n_deleted == len(late)
+    assert gone > 50
+
+
 def test_line_dedup_of_lines_that_share_64_bits(spark):
     one, other = "first line no. 1", "bhlzqqupvXaZ&qBI"
     assert spark.range(1).select(F.xxhash64(F.lit(one)) == F.xxhash64(F.lit(other))).first()[0]
     rows = [(1, f"{one}\np\nq"), (2, f"{other}\np\nq"), (3, f"{other}\np\nq")]
     got = line_dedup.without_repeats(frame(spark, rows)).collect()
     assert {r.doc_id: r.n_deleted for r in got} == {1: 0, 2: 0, 3: 3}
-    alone = line_dedup.without_repeats(frame(spark, [(1, one), (2, other), (3, one)]), long_words=1).collect()
+    alone = line_dedup.without_repeats(frame(spark, [(1, one), (2, other), (3, one)]), passage_words=1).collect()
     assert {r.doc_id: r.n_deleted for r in alone} == {1: 0, 2: 0, 3: 1}
 
 
