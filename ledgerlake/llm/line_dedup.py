@@ -52,8 +52,13 @@ def _windows(full: DataFrame, min_lines: int, passage_words: int) -> DataFrame:
         part = F.slice("ahead", 1, n)
         least = F.array_min(F.transform(part, lambda x: F.struct(x["hash"].alias("hash"), (-x["place"]).alias("back"))))
         enough = F.col("ahead")[n - 1]["hash"].isNotNull()
+        words = reduce(lambda a, b: a + b, [F.col("ahead")[i]["words"] for i in range(n)])
         if n < min_lines:
-            enough &= F.aggregate(part, F.lit(0), lambda sum_, x: sum_ + x["words"]) >= passage_words
+            enough &= words >= passage_words
+        if n > 1:
+            # A window whose first and last lines both are in a passage of one line less goes with these two.
+            rest = [words - F.col("ahead")[i]["words"] >= passage_words for i in (0, n - 1)]
+            enough &= ~(rest[0] & rest[1])
         found.append(F.when(enough, F.struct(
             F.lit(n).alias("n"), content_hash(F.concat(*[F.col("ahead")[i]["hash"] for i in range(n)])).alias("run"),
             # A fingerprint only chooses the windows to compare, so 64 bits of it do.
