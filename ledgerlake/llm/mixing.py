@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 
 from ..operators.ordered import Ordered, numbered
 from ..session import cut
-from .words import WORD
+from .words import WORD, row_key, whole_row
 
 WEIGHTS = (3, 1, 2)
+#: Copies of a row that one task makes; those of rows that repeat very often are dealt over many.
+CHUNK = 1_000
 
 
 def word_count(text: Column) -> Column:
@@ -53,6 +55,17 @@ def offset(source: Column, seed: int) -> Column:
     return F.conv(digits, 16, 10).cast("double") / F.lit(float(1 << 32))
 
 
+def _counted(sized: DataFrame, ties: list[str], weights: tuple[int, ...], share: float, cap: float, seed: int) -> DataFrame:
+    """``sized`` (doc_id, source, size, ties) with source_size, target and copies."""
+    placed = Ordered(sized, ["source"], [F.col("size"), F.col("doc_id"), *map(F.col, ties)]).number("i").done()
+    goal = targets(placed.select("source", "size"), weights, share, cap).withColumnRenamed("source", "_source")
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    start = offset(F.col("source"), seed)
+    joined = placed.join(goal, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    taken = F.floor(F.col("i") * rate + start) - F.floor((F.col("i") - 1) * rate + start)
+    return joined.withColumn("copies", taken.cast("long"))
+
+
 def copies(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, cap: float = 2.0, seed: int = 0,
@@ -60,34 +73,42 @@ def copies(
     """doc_id, source, size, source_size, target, copies: one row per row of ``docs``.
 
     ``size`` is the number of words, 0 for a null or empty text. Null is a source of its own. Documents of a source are ordered by size,
-    then id; which of several rows of one id, source and size comes first is left open, as it makes no difference to the rows returned.
-    Rows without an id come first. A source without words has target 0. An empty table gives an empty result.
+    then id, then a hash of the text; rows without an id come first of their size. A source without words has target 0.
+    An empty table gives an empty result.
     """
     sized = docs.select(
-        F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size")
+        F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"),
+        F.xxhash64(text_col).alias("tie"),
     )
-    placed = Ordered(sized, ["source"], [F.col("size"), F.col("doc_id")]).number("i").done()
-    goal = targets(placed.select("source", "size"), weights, share, cap).withColumnRenamed("source", "_source")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    start = offset(F.col("source"), seed)
-    joined = placed.join(goal, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    taken = F.floor(F.col("i") * rate + start) - F.floor((F.col("i") - 1) * rate + start)
-    return joined.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("copies"))
-
-
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The rows of ``docs``, each as often as it is taken; columns stay as they are."""
-    counted = copies(docs, id_col, text_col, source_col, **options)
-    same = ["_id", "_source", "_size"]
-    nth = F.expr(f"row_number() over (partition by {', '.join(same)} order by _order)")
-    left = docs.withColumns({
-        "_id": F.coalesce(F.col(id_col).cast("string"), F.lit("~")), "_source": F.coalesce(F.concat(F.lit("s"), F.col(source_col)), F.lit("")),
-        "_size": word_count(F.col(text_col)), "_order": F.lit(0),
-    }).withColumn("_nth", nth)
-    right = counted.select(
-        F.coalesce(F.col("doc_id").cast("string"), F.lit("~")).alias("_id"),
-        F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("")).alias("_source"), F.col("size").alias("_size"),
-        F.col("copies").alias("_order"),
-    ).withColumn("_nth", nth).withColumnRenamed("_order", "_copies")
-    out = left.join(right.where("_copies > 0"), [*same, "_nth"])
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    counted = _counted(sized, ["tie"], weights, share, cap, seed)
+    return counted.select("doc_id", "source", "size", "source_size", "target", "copies")
+
+
+def mixed(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, cap: float = 2.0, seed: int = 0,
+) -> DataFrame:
+    """The rows of ``docs``, each as often as it is taken; columns stay as they are, whatever their names.
+
+    Rows meet their copies by a hash of all columns. Rows that are equal in all of them are interchangeable, so they are taken once and made as
+    often as all of them together are taken.
+    """
+    keyed = docs.select(
+        F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"),
+        *row_key(docs), whole_row(docs).alias("row"),
+    )
+    key = ["key_1", "key_2"]
+    counted = _counted(keyed.drop("row"), key, weights, share, cap, seed)
+    sums = cut(counted.groupBy(*key).agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows")))
+    rows, repeated = keyed.select(*key, "row"), not sums.where("rows > 1").isEmpty()
+    if repeated:
+        rows = rows.groupBy(*key).agg(F.any_value("row").alias("row"))
+    met = rows.join(sums.where("copies > 0"), key)
+    nth = F.explode(F.sequence(F.lit(1).cast("long"), F.least("copies", F.lit(CHUNK)))).alias("nth")
+    out = met.where(F.col("copies") <= CHUNK).select("row", nth)
+    if repeated:
+        parts = met.where(F.col("copies") > CHUNK).select(
+            *key, "row", "copies", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(copies - 1) div {CHUNK}"))).alias("part"))
+        left = parts.repartition(*key, "part").withColumn("copies", F.col("copies") - F.col("part") * CHUNK)
+        out = out.unionByName(left.select("row", nth))
+    return out.select("row.*")

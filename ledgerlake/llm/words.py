@@ -13,6 +13,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SLICE_BYTES = 4_000_000
 WORD = r"[^\x20\x09-\x0D]+"
@@ -115,3 +118,16 @@ def shingle_sets(words: Words, size: int) -> Iterator[np.ndarray]:
             yield mix(whole + np.uint64(n))
         else:
             yield hashed[:0]
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct, so that no name of theirs meets one of an operator."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def row_key(df: DataFrame) -> list[Column]:
+    """128 bits that equal rows share, in columns key_1 and key_2."""
+    plain = [F.to_json(f"`{f.name}`") if isinstance(f.dataType, (T.MapType, T.VariantType)) else F.col(f"`{f.name}`") for f in df.schema]
+    # Which columns are null is hashed too, as a null leaves a hash as it is.
+    nulls = F.concat(*[F.col(f"`{c}`").isNull().cast("string") for c in df.columns])
+    return [F.xxhash64(F.lit(i), nulls, *plain).alias(f"key_{i}") for i in (1, 2)]

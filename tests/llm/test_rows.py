@@ -278,6 +278,35 @@ def test_exact_copies_of_repeated_and_missing_ids(spark):
     assert sorted((r.doc_id, r.text) for r in corpus_pipeline.exact_copies(spark, frame(spark, few), "").collect()) == [(3, "a"), (5, "b")]
 
 
+USED = ["_id", "_source", "_order", "_nth", "_size", "_copies", "_copy", "_text_sha256", "_gone_id", "_gone_sha", "_quality_score", "row", "sha", "key_1",
+        "key_2", "copies", "size", "nth", "part", "gone_id", "label", "kept", "a.b"]
+
+
+def test_stages_leave_columns_of_any_name_alone(spark, tmp_path):
+    rows = [(i, t, f"s{i % 3}") for i, t in enumerate([*prose(60, 12), *prose(60, 12)[:15]])] + [(None, f"no id {i % 5}", None) for i in range(40)]
+    docs = frame(spark, rows).select("doc_id", "text", "source", *[F.lit(f"own {c}").alias(c) for c in USED])
+    spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(60)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        left = corpus_pipeline.cut(out)
+        assert left.count() > 0
+        assert left.select(*[F.col(f"`{c}`") for c in USED]).distinct().collect() == [tuple(f"own {c}" for c in USED)]
+    got = corpus_pipeline.exact_copies(spark, docs, str(tmp_path))
+    assert got.where("doc_id is null").count() == 5 and got.where("doc_id is not null").count() == 60
+
+
+@pytest.mark.parametrize("chunk", [3, 1000])
+def test_mixing_of_rows_that_repeat_without_an_id(spark, monkeypatch, chunk):
+    monkeypatch.setattr(mixing, "CHUNK", chunk)
+    rows = [(None, "a b c", "s")] * 300 + [(None, f"d e{i % 7}", "s") for i in range(100)] + [(i, "f g", "t") for i in range(50)]
+    docs = frame(spark, rows).repartition(3)
+    taken = sum(r.copies * r.n for r in mixing.copies(docs).groupBy("copies").agg(F.count("*").alias("n")).collect())
+    out = mixing.mixed(docs)
+    assert out.count() == taken and out.where("text = 'a b c'").count() in range(300, 601)
+    assert sorted(r.text for r in mixing.mixed(docs).collect()) == sorted(r.text for r in out.collect())
+
+
 def test_pipeline(spark, tmp_path):
     rnd = random.Random(2)
     good = prose(80, 12)
