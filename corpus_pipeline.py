@@ -11,34 +11,35 @@ from pyspark.sql import functions as F
 
 from ledgerlake.llm import exact_dedup, mixing, near_dedup, pieces, quality
 from ledgerlake.llm.queries import id_crc
+from ledgerlake.llm.words import row_key, whole_row
 from ledgerlake.session import cut
 
-SCORE = "_quality_score"
-SHA = "_text_sha256"
-
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts. It is fitted on the labelled two thirds that are not held out."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("id"), F.col("quality").alias("label"))
     model = quality.model_of(docs, labels, id_crc() % 3 == 1)
-    return quality.with_scores(docs, model, SCORE).where(F.col(SCORE) >= 0.5).drop(SCORE)
+    # Columns go by place, so that no name of theirs meets that of the score.
+    numbered = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    scored = quality.with_scores(numbered, model, "score", f"c{docs.columns.index('text')}")
+    return scored.where("score >= 0.5").drop("score").toDF(*docs.columns)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts stays: the one with the smallest id.
 
     The decision is for an id and its text: another text of the same id stays if it is kept itself, and a row without an id goes if
-    an equal row has one. Of rows that repeat an id, or its absence, and the text one stays.
+    an equal row has one. Of rows that repeat an id, or its absence, and the text one stays: that of the smallest hash of all columns.
     """
-    columns, text = docs.columns, F.coalesce(F.col("text").cast("string"), F.lit(""))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     found = cut(exact_dedup.exact_duplicates(docs).select("doc_id", "kept", "text_sha256"))
-    docs = docs.withColumn(SHA, F.sha2(text.cast("binary"), 256))
+    rows = docs.select("doc_id", F.sha2(text.cast("binary"), 256).alias("sha"), *row_key(docs), whole_row(docs).alias("row"))
     if not found.groupBy("doc_id", "text_sha256").count().where("count > 1").isEmpty():
         # Copies shrink per task, so that no key of the join below has many rows.
-        docs = docs.dropDuplicates(["doc_id", SHA])
-    gone = found.where("not kept").select(F.col("doc_id").alias("_gone_id"), F.col("text_sha256").alias("_gone_sha")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("_gone_id")) & (F.col(SHA) == F.col("_gone_sha"))
-    return docs.join(gone, same, "left_anti").select(*columns)
+        rows = rows.groupBy("doc_id", "sha").agg(F.min_by("row", F.struct("key_1", "key_2")).alias("row"))
+    gone = found.where("not kept").select(F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_sha")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("sha") == F.col("gone_sha"))
+    return rows.join(gone, same, "left_anti").select("row.*")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +48,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Texts of one id are one document and go or stay together; a row without an id is in no group and stays, as the operator marks it.
     """
     gone = near_dedup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
