@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql import types as T
 
 from ..functions.names import dedup_names, normalize_name, sheet_table_name
 from ..session import cut
@@ -13,14 +18,45 @@ from .ordered import numbered
 from .profile import SPARK_TYPES, TYPE_LADDER, column_role, fast_keywords, fast_summary, FAST_CATEGORY, pick_type, reads_as
 
 
+#: Rows that a task holds before it passes them on.
+HELD_ROWS = 200_000
+
+# Executors get the kernel below with the task and need no installed package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
+def _firsts(rows: pd.DataFrame, by: list[str], row: str, value: str, n: int) -> pd.DataFrame:
+    """The rows of the first ``n`` distinct values per ``by``."""
+    rows = rows.sort_values(row, kind="stable").drop_duplicates([*by, value])
+    return rows[rows.groupby(by, dropna=False, sort=False).cumcount() < n]
+
+
 def first_samples(data: DataFrame, by: list[str], row: str, value: str, n: int = 3) -> DataFrame:
-    """The first ``n`` distinct values per ``by`` in row order; each task keeps ``n`` per column."""
-    firsts = data.groupBy(*by, value).agg(F.min(row).alias("_first"))
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy("_first"))
-    return firsts.withColumn("_rank", rank).where(F.col("_rank") <= n).groupBy(*by).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_rank", F.col(value).alias("v")))), lambda s: s["v"])
-        .alias("samples")
-    )
+    """The first ``n`` distinct values per ``by`` in row order.
+
+    A value that is among the first of all is among the first of its task, so a task passes on ``n`` rows per column and
+    values are never exchanged.
+    """
+    def reduced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in batches:
+            held = _firsts(batch if held is None else pd.concat([held, batch]), by, row, value, n)
+            if len(held) > HELD_ROWS:
+                yield held
+                held = None
+        if held is not None:
+            yield held
+
+    rows = data.select(*by, row, value)
+    few = rows.mapInPandas(reduced, rows.schema)
+    found = F.array_sort(F.collect_list(F.struct(F.col(row).alias("row"), F.col(value).alias("value"))))
+
+    def more(firsts: Column, x: Column) -> Column:
+        new = (F.size(firsts) < n) & ~F.array_contains(firsts, x["value"])
+        return F.when(new, F.array_append(firsts, x["value"])).otherwise(firsts)
+
+    none = F.array().cast(T.ArrayType(rows.schema[value].dataType))
+    return few.groupBy(*by).agg(found.alias("_found")).select(*by, F.aggregate("_found", none, more).alias("samples"))
 
 
 def describe_columns(cells: DataFrame, tables: DataFrame, keys: list[str], value: str = "value") -> DataFrame:

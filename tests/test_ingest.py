@@ -1,11 +1,14 @@
 import datetime as dt
+import random
+import re
 
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from ledgerlake.operators import warehouse
 from ledgerlake.operators.cells import table_cells
-from ledgerlake.operators.ingest import ingest, load_table
+from ledgerlake.operators import ingest as ingest_module
+from ledgerlake.operators.ingest import first_samples, ingest, load_table
 
 SHEET = [
     "Region,Net Sales,Net Sales,,Order,Empty",
@@ -85,3 +88,20 @@ def test_one_table_of_a_store_scans_few_row_groups(spark, tmp_path):
     mine = [f for f in files if f.parent.name in scanned]
     assert all(pq.read_table(f)["table_name"].to_pylist() == sorted(pq.read_table(f)["table_name"].to_pylist()) for f in mine)
     assert warehouse.read_rows(spark, path).count() == 70_000
+
+
+def test_samples_are_found_without_an_exchange_of_values(spark, monkeypatch):
+    monkeypatch.setattr(ingest_module, "HELD_ROWS", 5)
+    rnd = random.Random(3)
+    rows = [(rnd.choice("pq") if rnd.random() < 0.9 else None, rnd.randrange(3), r, rnd.choice(["same"] * 20 + list("abcdef"))) for r in range(2000)]
+    rnd.shuffle(rows)
+    data = spark.createDataFrame(rows, "sheet string, col int, row long, value string").repartition(5)
+    out = first_samples(data, ["sheet", "col"], "row", "value")
+    want = {}
+    for s, c, _, v in sorted(rows, key=lambda r: r[2]):
+        found = want.setdefault((s, c), [])
+        if v not in found and len(found) < 3:
+            found.append(v)
+    assert {(r.sheet, r.col): r.samples for r in out.collect()} == want
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert all("value" not in x for x in re.findall(r"hashpartitioning\([^)]*\)", plan))
