@@ -2,7 +2,8 @@
 
 The rows are range-partitioned by key and order together, which cuts a large key into
 many blocks of a bounded number of rows. Work happens per block, and only one summary
-row per (key, block) is carried across blocks. The plan is the same at every size.
+row per (key, block) is carried across blocks. Rows that fit one block altogether
+need none: then no key can have more, and windows over the keys do.
 """
 
 from __future__ import annotations
@@ -24,14 +25,19 @@ _ROW_BITS = 33
 class Ordered:
     """Rows of ``df`` in a total order within ``keys``; ``order`` must be unique per key.
 
-    ``df`` is written once, as range partitioning samples its input before it deals it out.
+    ``df`` is written once, as its size decides on the plan and range partitioning samples its input before it deals it out.
+    ``blocked`` deals out few rows too, where later work per row is dear.
     """
 
-    def __init__(self, df: DataFrame, keys: list[str], order: list[Column]):
+    def __init__(self, df: DataFrame, keys: list[str], order: list[Column], blocked: bool = False):
         self.keys, self.order = keys, order
         conf = df.sparkSession.conf
         rows = cut(df)
         blocks = math.ceil(rows.count() / int(conf.get(BLOCK_ROWS_CONF, str(BLOCK_ROWS))))
+        self.one_block = blocks <= 1 and not blocked
+        if self.one_block:
+            self.df = rows
+            return
         blocks = max(blocks, int(conf.get("spark.sql.shuffle.partitions")))
         by = [*[F.col(k) for k in keys], *order]
         placed = rows.repartitionByRange(blocks, *by).sortWithinPartitions(*by)
@@ -46,6 +52,8 @@ class Ordered:
         return [*self.keys, "_block"]
 
     def _window(self):
+        if self.one_block:
+            return Window.partitionBy(*self.keys).orderBy(*self.order)
         return Window.partitionBy(*self._part()).orderBy("_place")
 
     def _across(self):
@@ -60,6 +68,9 @@ class Ordered:
 
     def number(self, out: str) -> Ordered:
         """``out`` = row number from 1 within the key: a row's place in its block tells it without a sort or window."""
+        if self.one_block:
+            self.df = self.df.withColumn(out, F.row_number().over(self._window()).cast("long"))
+            return self
         before = self._across().rowsBetween(Window.unboundedPreceding, -1)
         summary = (
             self.df.groupBy(*self._part()).agg(F.min("_place").alias("_low"), F.count(F.lit(1)).alias("_rows"))
@@ -71,6 +82,9 @@ class Ordered:
     def lag(self, name: str, out: str) -> Ordered:
         """``out`` = value of ``name`` in the previous row of the key, null on the first."""
         w = self._window()
+        if self.one_block:
+            self.df = self.df.withColumn(out, F.lag(name).over(w))
+            return self
         summary = (
             self.df.groupBy(*self._part())
             .agg(F.max_by(F.struct(F.col(name).alias("v")), "_place").alias("_tail"))
@@ -87,6 +101,9 @@ class Ordered:
     def running_sum(self, value: Column, out: str) -> Ordered:
         """``out`` = sum of ``value`` over the key's rows up to and including this one."""
         frame = self._window().rowsBetween(Window.unboundedPreceding, 0)
+        if self.one_block:
+            self.df = self.df.withColumn(out, F.sum(value).over(frame))
+            return self
         before = self._across().rowsBetween(Window.unboundedPreceding, -1)
         summary = (
             self.df.groupBy(*self._part()).agg(F.sum(value).alias("_sum"))
