@@ -57,7 +57,7 @@ def offset(source: Column, seed: int) -> Column:
 
 def _counted(sized: DataFrame, ties: list[str], weights: tuple[int, ...], share: float, cap: float, seed: int) -> DataFrame:
     """``sized`` (doc_id, source, size, ties) with source_size, target and copies."""
-    placed = Ordered(sized, ["source"], [F.col("size"), F.col("doc_id"), *map(F.col, ties)]).number("i").done()
+    placed = Ordered(sized, ["source"], [F.col("size"), F.col("doc_id"), *map(F.col, ties)], blocked=True).number("i").done()
     goal = targets(placed.select("source", "size"), weights, share, cap).withColumnRenamed("source", "_source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     start = offset(F.col("source"), seed)
