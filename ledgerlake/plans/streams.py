@@ -38,4 +38,4 @@ def stream_versions(spark: SparkSession, d: str) -> DataFrame:
         F.md5("event_type").alias("file_hash"),
     )
     jobs.start_version_stream(arrivals, f"{base}/log", f"{base}/state").awaitTermination()
-    return jobs.read_versions(spark, f"{base}/log").drop("batch")
+    return jobs.read_versions(spark, f"{base}/log")

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import sys
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.text import chunk_rows, entities, fixed_chunks, paragraph_chunk_rows
-from ..operators.catalog import assign_versions, latest_version
 
 VERSIONS = T.StructType([
     T.StructField("file_name", T.StringType()),
@@ -18,17 +22,12 @@ VERSIONS = T.StructType([
     T.StructField("file_hash", T.StringType()),
     T.StructField("status", T.StringType()),
     T.StructField("version", T.LongType()),
-    T.StructField("batch", T.LongType()),
 ])
+#: What is kept of a name: its latest version and content.
+_LATEST = "version long, file_hash string"
 
-LATEST = T.StructType([
-    T.StructField("file_name", T.StringType()),
-    T.StructField("version", T.LongType()),
-    T.StructField("file_hash", T.StringType()),
-    T.StructField("bucket", T.IntegerType()),
-    T.StructField("batch", T.LongType()),
-])
-BUCKETS = 64
+# Executors get the kernel below with the task and need no installed package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def text_to_chunks(rows: DataFrame, text: str = "text", key: str = "file_id", by_paragraph: bool = True) -> DataFrame:
@@ -51,46 +50,37 @@ def start_chunk_stream(
 
 
 def read_versions(spark: SparkSession, log: str) -> DataFrame:
-    return spark.read.schema(VERSIONS).option("recursiveFileLookup", False).parquet(log)
-
-
-def _latest(spark: SparkSession, folder: str, buckets: list[int], before: int) -> DataFrame | None:
-    """The latest version of each name in these buckets, as the batches before left it; None if they left nothing.
-
-    Which batch wrote a bucket last follows from the partitions alone; one of them is read per bucket.
-    """
-    stored = spark.read.schema(LATEST).parquet(folder)
-    mine = stored.where(F.col("bucket").isin(buckets) & (F.col("batch") < before))
-    newest = mine.groupBy("bucket").agg(F.max("batch").alias("batch")).collect()
-    if not newest:
-        return None
-    chosen = reduce(lambda a, b: a | b, [(F.col("bucket") == r.bucket) & (F.col("batch") == r.batch) for r in newest])
-    return stored.where(chosen).select("file_name", "version", "file_hash", "bucket")
-
-
-def start_version_stream(arrivals: DataFrame, log: str, checkpoint: str, buckets: int = BUCKETS) -> StreamingQuery:
-    """Version the arrivals (file_name, arrival, file_hash) of each micro-batch into ``log``.
-
-    Beside the log, ``<log>_latest`` holds the latest version of each name in buckets of names. A batch reads and rewrites only the
-    buckets its names fall into, so its cost follows the batch and not the log. It owns one partition of both and overwrites its own,
-    so a batch that runs twice leaves one result.
+    return spark.read.schema(VERSIONS).parquet(log)
+
+
+def _versioned(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Status and version of a name's arrivals in a micro-batch, by the rule of ``assign_versions``."""
+    rows = pd.concat(list(batches)).sort_values("arrival", kind="stable")
+    version, latest = state.get if state.exists else (0, None)
+    content = rows["file_hash"].astype(object).where(rows["file_hash"].notna(), None)
+    before = content.shift()
+    before.iloc[0] = latest
+    before = before.where(before.notna(), None)
+    new = ~((content == before) | (content.isna() & before.isna()))
+    versions = version + new.cumsum()
+    state.update((int(versions.iloc[-1]), content.iloc[-1]))
+    yield pd.DataFrame({
+        "file_name": key[0], "arrival": rows["arrival"], "file_hash": content,
+        "status": np.where(new, "NEW", "DUPLICATE"), "version": versions.astype("int64"),
+    })
+
+
+def start_version_stream(arrivals: DataFrame, log: str, checkpoint: str) -> StreamingQuery:
+    """Version the arrivals (file_name, arrival, file_hash) of each micro-batch into ``log`` and stop when the input is used up.
+
+    The latest version of each name is keyed state in the checkpoint. A batch reads and writes the state of its own names only, so its cost
+    follows the batch and neither the log nor the names seen before; a batch that runs twice leaves one result. A task sorts
+    the arrivals that one name has in a micro-batch, which the source's limits per trigger bound.
     """
-    spark = arrivals.sparkSession
-    folder = f"{log}_latest"
-    bucket = F.pmod(F.xxhash64("file_name"), F.lit(buckets)).cast("int").alias("bucket")
-
-    def step(batch: DataFrame, batch_id: int) -> None:
-        s = batch.sparkSession
-        new = batch.select("file_name", "arrival", "file_hash")
-        touched = [r.bucket for r in new.select(bucket).distinct().collect()]
-        stored = _latest(s, folder, touched, batch_id) if batch_id > 0 and touched else None
-        known = None if stored is None else stored.drop("bucket")
-        assign_versions(new, known).write.mode("overwrite").parquet(f"{log}/batch={batch_id}")
-        found = s.read.schema(VERSIONS).parquet(f"{log}/batch={batch_id}").where("status = 'NEW'").select("file_name", "version", "file_hash")
-        latest = latest_version(found if known is None else found.unionByName(known))
-        latest.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/batch={batch_id}")
-
+    rows = arrivals.select("file_name", F.col("arrival").cast("long").alias("arrival"), "file_hash")
+    versions = rows.groupBy("file_name").applyInPandasWithState(_versioned, VERSIONS, _LATEST, "append", GroupStateTimeout.NoTimeout)
     return (
-        arrivals.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+        versions.writeStream.format("parquet").outputMode("append")
+        .option("path", log).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )
