@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 import sys
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import reduce
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -75,20 +77,21 @@ def chunk_rows(df: DataFrame, chunks: Column, keep: list[str]) -> DataFrame:
 
 
 def _packed(text: str, size: int, overlap: int) -> Iterator[str]:
-    """Paragraphs of one text packed into chunks; ``words`` are those of the open chunk."""
-    chunk, words = "", []
-    for paragraph in map(str.strip, _BLANK_LINES.split(text)):
-        if not paragraph:
-            continue
-        if chunk and len(chunk) + len(paragraph) > size:
-            yield chunk
-            if len(words) > overlap:
-                words = words[-overlap:]
-                chunk = " ".join(words)
-        chunk = f"{chunk}\n\n{paragraph}" if chunk else paragraph
-        words += paragraph.split()
-    if chunk:
+    """Paragraphs of one text packed into chunks, each opening with the last words of the one before it.
+
+    Where a chunk ends follows from sums of the paragraphs' lengths, so it is looked up and its text is cut once.
+    """
+    found = [p for p in (part.strip() for part in _BLANK_LINES.split(text)) if p]
+    ends = list(accumulate((len(p) + 2 for p in found), initial=0))
+    head, first = [], 0
+    while first < len(found):
+        # Paragraph ``last`` is the first that no longer fits; a break of two signs goes before each but the opening one.
+        taken = sum(len(h) + 2 for h in head)
+        last = max(first + 1, bisect_right(ends, size + 4 + ends[first] - taken) - 1)
+        chunk = "\n\n".join(head + found[first:last])
         yield chunk
+        tail = chunk.split()
+        head, first = [" ".join(tail[-overlap:]) if len(tail) > overlap else chunk], last
 
 
 def paragraph_chunk_rows(

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..schemas import POLICIES, POLICY_SEED
 from ..session import spread
 
 TABLES = (
@@ -55,12 +56,10 @@ SELECT 'c' || CAST(doc_id AS VARCHAR) AS chunk_id,
 FROM {documents}
 """
 
-VIEWS["policies_v"] = """
-SELECT * FROM (VALUES ('CEO','finance','confidential',true,true,true), ('CEO','hr','confidential',true,true,true),
-  ('Finance_Manager','finance','confidential',true,true,true), ('Finance_Manager','hr','confidential',false,false,false),
-  ('Analyst','finance','confidential',true,true,false), ('Employee','finance','internal',true,true,false))
-  AS t(role,data_domain,sensitivity_level,allowed,allow_aggregation,allow_raw_rows)
-"""
+VIEWS["policies_v"] = "SELECT * FROM (VALUES {}) AS t({})".format(
+    ", ".join("({})".format(", ".join(str(v).lower() if isinstance(v, bool) else f"'{v}'" for v in row)) for row in POLICY_SEED),
+    ", ".join(POLICIES.names),
+)
 
 VIEWS["grants_v"] = """
 SELECT 'role_' || CAST(c_nationkey AS VARCHAR) AS role, lower(c_mktsegment) AS data_domain,
