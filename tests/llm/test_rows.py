@@ -1,5 +1,6 @@
 """URL filter, mixing, language model, classifier, pieces, token files and the pipeline."""
 
+import itertools
 import math
 import random
 import re
@@ -51,12 +52,57 @@ def test_urls(spark):
         1: "net/", 2: "example.net/en/", 3: "example.com/de/", 4: "org/fr/", 11: "net/"} | dict.fromkeys((5, 6, 7, 8, 9, 10, 12, 13, 14))
     assert {i: by[i]["verdict"] for i in (1, 2, 3, 4, 6, 7, 11)} == {1: "block", 2: "allow", 3: "block", 4: "allow", 6: "allow", 7: "allow", 11: "block"}
     assert all(by[i]["verdict"] == ("block" if i < 160 else "allow") for i in bad)
-    assert by[300]["verdict"] == by[None]["verdict"] == "block" and "spam.biz" in by[300]["mined"]
+    assert by[300]["verdict"] == by[None]["verdict"] == "block" and "spam" in by[300]["mined"]
     none = url_filter.judged(pages, labels.limit(0), queries.URL_RULES)
     assert none.where("rule is null and verdict <> 'allow'").count() == 0
     assert url_filter.judged(pages.limit(0), labels, queries.URL_RULES).count() == 0
 
 
+def test_tokens_of_all_parts(spark):
+    urls = {"http://m.Spam-Farm.a.example.com:80/x/Y/x/p.html?b=1&a=2&b=3#f": {
+        "scheme=http", "label=m", "label=spam-farm", "label=a", "label=example", "label=com", "domain=example.com", "host=m.spam-farm.a.example.com:80", "segment=x",
+        "segment=Y", "segment=p.html", "depth=4", "kind=html", "name=a", "name=b", "fragment=yes"}, "no scheme": set(), None: set(), "x://": {"scheme=x", "host=", "depth=0"}}
+    rows = spark.createDataFrame([(u,) for u in urls], "url string").select("url", url_filter.tokens(F.col("url")).alias("t")).collect()
+    assert {r.url: set(r.t) for r in rows} == urls and all(len(r.t) == len(set(r.t)) and r.t == sorted(r.t) for r in rows)
+
+
+def test_mined_rules_are_those_of_plain_counting(spark):
+    rnd = random.Random(8)
+    pages = []
+    for _ in range(400):
+        have = {t for t in "abcdefg" if rnd.random() < 0.45}
+        bad = {"a", "b"} <= have or "g" in have and rnd.random() < 0.8 or rnd.random() < 0.1
+        pages.append((sorted(have), bad))
+    found = url_filter.mine(spark.createDataFrame(pages, "tokens array<string>, bad boolean"), 0.05, 0.7, 10, 1.5).collect()
+    real = [(set(t), b) for t, b in pages if t]
+    base, rules = sum(b for _, b in real) / len(real), {}
+    for size in range(1, 8):
+        for items in itertools.combinations("abcdefg", size):
+            fits = [b for t, b in real if t >= set(items)]
+            hits = sum(fits)
+            if hits >= max(10, 0.05 * len(real)) and hits / len(fits) >= max(0.7, 1.5 * base) and not any(set(r) < set(items) for r in rules):
+                rules[items] = hits / len(fits)
+    assert {tuple(r["items"]): pytest.approx(r.confidence) for r in found} == rules and ("a", "b") in rules and len(rules) > 1
+    # Baskets of few tokens hold the most telling ones.
+    few = url_filter.mine(spark.createDataFrame(pages, "tokens array<string>, bad boolean"), 0.05, 0.7, 10, 1.5, basket=1).collect()
+    assert {tuple(r["items"]) for r in few} <= {("a",), ("b",), ("c",), ("d",), ("e",), ("f",), ("g",)}
+
+
+def test_rules_find_labels_inside_hosts_and_paths(spark):
+    rnd = random.Random(6)
+    rows = []
+    for i in range(600):
+        label, mid = rnd.choice(["fine", "casino-win", "other"]), rnd.choice(["ads", "news", "blog"])
+        url = f"https://{rnd.choice(['m', 'www', 'shop'])}.{label}.x{i % 40}.org/{mid}/p{i}.html"
+        rows.append((i, url, label == "casino-win" or mid == "ads"))
+    pages = spark.createDataFrame([(i, u) for i, u, _ in rows], "page_id long, url string")
+    labels = spark.createDataFrame([(i, b) for i, _, b in rows if i % 3], "id long, bad boolean")
+    got = {r.page_id: r for r in url_filter.judged(pages, labels, []).collect()}
+    # Pages that were not labelled are judged as well as those that were.
+    assert all((got[i].verdict == "block") == b for i, _, b in rows)
+    assert {m for r in got.values() if r.mined for m in [r.mined]} <= {"label=casino-win", "segment=ads"}
+
+
 def mix_rows():
     rnd = random.Random(3)
     rows = [(i, "w " * rnd.randrange(0, 40), rnd.choice(["big", "big", "big", "é", "a", None])) for i in range(400)]
