@@ -1,10 +1,12 @@
 """Exact search for the largest inner products by the threshold algorithm (Fagin, Lotem and Naor, 2001).
 
-Vectors are dealt into blocks and so are queries; each pair of blocks is one unit of work, whose size does not grow with the tables. In a unit
-every dimension has a list of the vectors sorted by their component. All lists are read downwards together, from the end that
-suits the sign of the query's component; each vector met is scored in full, for all queries that are still open at
+Vectors lie in blocks by falling norm and queries in blocks too; each pair of blocks is one unit of work, whose size does not grow with the
+tables. All queries meet the first block, of the largest norms. The kth score they find there is a floor that goes with them: of each other
+block only its largest and smallest component per dimension is looked at first, and a block in which no query of a query block can reach its floor is
+never read by them. In a unit every dimension has a list of the vectors sorted by their component. All lists are read downwards together, from
+the end that suits the sign of the query's component; each vector met is scored in full, for all queries that are still open at
 once. No unseen vector can score more than the query's product with the components at the current depth, so a query is closed
-as soon as its kth result is above that. The units' results are merged by query.
+as soon as that is below its floor or its kth result. The units' results are merged by query.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from pyspark.sql import functions as F
 from ..session import cut
 
 BLOCK, QUERY_BLOCK, FIRST_DEPTH = 4096, 1024, 4
+#: Blocks whose extremes are held at a time.
+SUMMARY_BLOCK = 4096
 #: Quantised components from here on do not fit 64 bits and are an error.
 MOST = 1 << 63
 
@@ -84,13 +88,17 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 
 def threshold_search(
-    q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, first_depth: int = FIRST_DEPTH
+    q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, first_depth: int = FIRST_DEPTH, floors: np.ndarray | None = None
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """(query row, id, score) of each query's best k among ``x`` apart from its own id, and how many vectors were scored."""
+    """(query row, id, score) of each query's best k among ``x`` apart from its own id, and how many vectors were scored.
+
+    A query with a floor wants only what reaches it; what comes back may hold more.
+    """
     n, lists = len(x), np.argsort(x, axis=0, kind="stable")
     seen, open_rows = np.zeros(n, bool), np.arange(len(q))
     scores, found = np.empty((len(q), 0), np.int64), np.empty((len(q), 0), np.int64)
     none = np.iinfo(np.int64).min
+    floors = np.full(len(q), none) if floors is None else floors
     done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     depth, scored = 0, 0
 
@@ -117,7 +125,10 @@ def threshold_search(
         own = q[open_rows]
         bound = _products(np.maximum(own, 0), top[None, :])[:, 0] + _products(np.minimum(own, 0), bottom[None, :])[:, 0]
         # Equal is not enough: an unseen vector of the same score may have a smaller id.
-        full = (scores.min(axis=1, initial=np.iinfo(np.int64).max) > bound) if scores.shape[1] == k else np.zeros(len(own), bool)
+        full = bound < floors[open_rows]
+        if scores.shape[1] == k:
+            full |= scores.min(axis=1, initial=np.iinfo(np.int64).max) > bound
+        full = full.astype(bool)
         close(open_rows[full], np.flatnonzero(full))
         open_rows, scores, found = open_rows[~full], scores[~full], found[~full]
     rows, names, values = (np.concatenate(c) if done else np.empty(0, np.int64) for c in (zip(*done) if done else ([], [], [])))
@@ -139,27 +150,70 @@ def top_k(
         F.col(id_col).cast("long").alias("vec_id"), quantised(F.col(vector_col), scale).alias("v"), F.coalesce(queries, F.lit(False)).alias("is_query")
     )
     rows = cut(rows.where("v is not null").distinct())
-    counts = rows.agg(F.count(F.lit(1)), F.count(F.when(F.col("is_query"), 1))).first()
-    blocks, query_blocks = (max(1, math.ceil(c / size)) for c, size in zip(counts, (block, query_block), strict=True))
-    own = F.xxhash64("vec_id")
-    part = F.pmod(own, F.lit(blocks)).cast("int")
-    query_part = F.pmod(F.xxhash64(own), F.lit(query_blocks)).cast("int")
+    n, n_queries, width = rows.agg(F.count(F.lit(1)), F.count_if("is_query"), F.max(F.size("v"))).first()
+    blocks, query_blocks = (max(1, math.ceil(c / size)) for c, size in zip((n, n_queries), (block, query_block), strict=True))
+    width = width or 0
 
     def each(n: int) -> Column:
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
-    left = rows.select("vec_id", "v", part.alias("b")).withColumn("qb", each(query_blocks))
-    right = rows.where("is_query").select("vec_id", "v", query_part.alias("qb")).withColumn("b", each(blocks))
+    # A part of the rows in order of norm is cut into blocks where it lies.
+    norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    parts = rows.select("vec_id", "v", (-norm).alias("small")).repartitionByRange(math.ceil(blocks / 64), "small", "vec_id")
+    place = F.monotonically_increasing_id()
+    in_part = F.floor(place.bitwiseAND(F.lit((1 << 33) - 1)) / F.lit(block)).cast("long")
+    placed = parts.sortWithinPartitions("small", "vec_id").withColumn("b", F.shiftleft(F.shiftright(place, 33), 20) + in_part)
+    placed = cut(placed.select("vec_id", "v", "b"))
+    first = placed.agg(F.min("b")).first()[0] or 0
+    query_part = F.pmod(F.xxhash64(F.xxhash64("vec_id")), F.lit(query_blocks)).cast("int")
+    asked = rows.where("is_query").select("vec_id", "v", query_part.alias("qb"))
+    names = ["query_id", "vec_id", "score"]
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
-        names = ["query_id", "vec_id", "score"]
         if not a.num_rows or not b.num_rows:
             return pa.Table.from_arrays([pa.array([], pa.int64())] * 3, names=names)
-        width = max(int(np.diff(np.asarray(t.column("v").combine_chunks().offsets)).max()) for t in (a, b))
         ids, q_ids = (np.asarray(t.column("vec_id"), np.int64) for t in (a, b))
-        at, found, scores, _ = threshold_search(q_ids, _matrix(b.column("v"), width), ids, _matrix(a.column("v"), width), k)
-        return pa.Table.from_arrays([pa.array(q_ids[at]), pa.array(found), pa.array(scores)], names=names)
-
-    met = left.groupBy("b", "qb").cogroup(right.groupBy("b", "qb")).applyInArrow(run, "query_id long, vec_id long, score long")
+        floors = np.asarray(b.column("floor").combine_chunks(), np.int64)
+        at, found, scores, _ = threshold_search(q_ids, _matrix(b.column("v"), width), ids, _matrix(a.column("v"), width), k, floors=floors)
+        high = scores >= floors[at]
+        return pa.Table.from_arrays([pa.array(q_ids[at[high]]), pa.array(found[high]), pa.array(scores[high])], names=names)
+
+    def met(left: DataFrame, right: DataFrame) -> DataFrame:
+        return left.groupBy("b", "qb").cogroup(right.groupBy("b", "qb")).applyInArrow(run, "query_id long, vec_id long, score long")
+
+    none = F.lit(np.iinfo(np.int64).min).cast("long")
+    opening = placed.where(F.col("b") == first).withColumn("qb", each(query_blocks))
+    begun = cut(_first(met(opening, asked.withColumns({"b": F.lit(first).cast("long"), "floor": none})), k))
+    if blocks == 1:
+        return begun
+    floors = begun.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("floor"))
+    asked = cut(asked.join(floors, "vec_id", "left").withColumn("floor", F.coalesce("floor", none)))
+
+    def extremes(a: pa.Table) -> pa.Table:
+        x = _matrix(a.column("v"), width)
+        return pa.Table.from_arrays([a.column("b").slice(0, 1), *[pa.array([f(x, axis=0)]) for f in (np.max, np.min)]], names=["b", "high", "low"])
+
+    def reached(a: pa.Table, b: pa.Table) -> pa.Table:
+        """The blocks in which some query may reach its floor."""
+        if not a.num_rows or not b.num_rows:
+            return pa.Table.from_arrays([pa.array([], pa.int64()), pa.array([], pa.int32())], names=["b", "qb"])
+        high, low, q = _matrix(a.column("high"), width), _matrix(a.column("low"), width), _matrix(b.column("v"), width)
+        bound = _products(np.maximum(q, 0), high) + _products(np.minimum(q, 0), low)
+        need = (bound >= np.asarray(b.column("floor").combine_chunks(), np.int64)[:, None]).any(axis=0).astype(bool)
+        found = a.column("b").combine_chunks().filter(pa.array(need))
+        return pa.Table.from_arrays([found, pa.array([b.column("qb")[0].as_py()] * len(found), pa.int32())], names=["b", "qb"])
+
+    rest = placed.where(F.col("b") != first)
+    summaries = rest.groupBy("b").applyInArrow(extremes, "b long, high array<long>, low array<long>")
+    held = max(1, math.ceil(blocks / SUMMARY_BLOCK))
+    chunk = F.pmod(F.xxhash64("b"), F.lit(held)).cast("int")
+    left = summaries.withColumn("chunk", chunk).withColumn("qb", each(query_blocks))
+    right = asked.withColumn("chunk", each(held))
+    pairs = cut(left.groupBy("chunk", "qb").cogroup(right.groupBy("chunk", "qb")).applyInArrow(reached, "b long, qb int"))
+    more = met(rest.join(pairs, "b"), asked.join(pairs, "qb"))
+    return _first(begun.drop("rank").unionByName(more), k)
+
+
+def _first(met: DataFrame, k: int) -> DataFrame:
     ranked = met.withColumn("rank", F.expr("row_number() over (partition by query_id order by score desc, vec_id)"))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -220,6 +220,24 @@ def test_top_k(spark):
     assert len(got[480]) == 20 and top_k.top_k(df.where("vec_id in (0, 20, 21)"), F.col("vec_id") == 0).count() == 2
 
 
+def test_blocks_below_the_floor_are_not_read(spark, monkeypatch):
+    seen = []
+    x = vectors(1200, 6, 4) * np.random.default_rng(2).pareto(0.8, (1200, 1))
+    q = np.floor(64 * x).astype(np.int64)
+    order = np.argsort(-(q.astype(float) ** 2).sum(axis=1), kind="stable")
+    floors = np.sort(q[::60] @ q[order[:100]].T, axis=1)[:, -5]
+    for low in range(100, 1200, 100):
+        block = q[order[low : low + 100]]
+        *_, scored = top_k.threshold_search(np.arange(0, 1200, 60), q[::60], order[low : low + 100], block, 5, floors=floors)
+        seen.append(scored / (20 * 100))
+    assert np.mean(seen) < 0.6 and seen[-1] < seen[0]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in top_k.top_k(df, F.col("vec_id") % 60 == 0, k=5, block=100, query_block=4).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert got == {i: [(j, -s) for s, j in sorted((-int(q[i] @ v), j) for j, v in enumerate(q) if j != i)[:5]] for i in range(0, 1200, 60)}
+
+
 def test_top_k_of_wide_components(spark):
     """Components beyond 2^53 keep their value; what does not fit 64 bits is an error."""
     rows = [(0, [1.0, 0.0]), (1, [2.0**50, 0.0]), (2, [2.0**49, 0.0]), (3, [2.0**48, 0.0]), (4, [-(2.0**50), 1.0])]
