@@ -20,6 +20,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ordered import Ordered
 from ..session import cut
 
 BLOCK, QUERY_BLOCK, FIRST_DEPTH = 4096, 1024, 4
@@ -157,14 +158,10 @@ def top_k(
     def each(n: int) -> Column:
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
-    # A part of the rows in order of norm is cut into blocks where it lies.
     norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    parts = rows.select("vec_id", "v", (-norm).alias("small")).repartitionByRange(math.ceil(blocks / 64), "small", "vec_id")
-    place = F.monotonically_increasing_id()
-    in_part = F.floor(place.bitwiseAND(F.lit((1 << 33) - 1)) / F.lit(block)).cast("long")
-    placed = parts.sortWithinPartitions("small", "vec_id").withColumn("b", F.shiftleft(F.shiftright(place, 33), 20) + in_part)
-    placed = cut(placed.select("vec_id", "v", "b"))
-    first = placed.agg(F.min("b")).first()[0] or 0
+    ordered = Ordered(rows.select("vec_id", "v", (-norm).alias("small")), [], [F.col("small"), F.col("vec_id")], blocked=True).number("n").done()
+    placed = cut(ordered.select("vec_id", "v", F.expr(f"cast((n - 1) div {block} as long)").alias("b")))
+    first = 0
     query_part = F.pmod(F.xxhash64(F.xxhash64("vec_id")), F.lit(query_blocks)).cast("int")
     asked = rows.where("is_query").select("vec_id", "v", query_part.alias("qb"))
     names = ["query_id", "vec_id", "score"]
