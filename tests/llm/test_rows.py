@@ -195,6 +195,40 @@ def test_quality(spark):
     assert quality.classified(frame(spark, []), labels, F.lit(False)).count() == 0
 
 
+def test_fit_is_that_of_plain_least_squares(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 2, (300, len(quality.STATISTICS)))
+    y = (np.sin(x[:, 0]) + 0.3 * rng.normal(size=300) > 0).astype(float)
+    rows = spark.createDataFrame([(a.tolist(), int(b)) for a, b in zip(x, y, strict=True)], "x array<double>, label int").repartition(5)
+    model = quality.fit(rows, features=40, width=4.0, penalty=1e-3)
+    assert np.allclose(model.mean, x.mean(0)) and np.allclose(model.deviation, x.std(0))
+    z = np.clip((x - x.mean(0)) / x.std(0), -8, 8)
+    f = np.hstack([np.cos(z @ model.weights + model.shifts), z, np.ones((300, 1))])
+    # Ridge as least squares with one more row per weight.
+    root = math.sqrt(1e-3 * 300 / 10)
+    want = np.linalg.lstsq(np.vstack([f, root * np.eye(f.shape[1])]), np.concatenate([y, np.zeros(f.shape[1])]), rcond=None)[0]
+    assert np.allclose(model.ridge, want, atol=1e-6)
+    # Isotonic levels by the formula of largest least means over the bins of raw scores.
+    raw = np.clip(f @ want, -0.5, 1.5)
+    bins = np.minimum(((raw + 0.5) / 2 * quality.BINS).astype(int), quality.BINS - 1)
+    used = np.unique(bins)
+    good, count = (np.array([v[bins == b].sum() for b in used]) for v in (y, np.ones(300)))
+    level = [max(min(good[a : b + 1].sum() / count[a : b + 1].sum() for b in range(i, len(used))) for a in range(i + 1)) for i in range(len(used))]
+    middle = [raw[bins == b].mean() for b in used]
+    pools = sorted(set(level))
+    at = [sum(m * c for m, c, v in zip(middle, count, level, strict=True) if v == p) / sum(c for c, v in zip(count, level, strict=True) if v == p) for p in pools]
+    assert np.allclose(model.scores(x), np.clip(np.interp(raw, at, pools), 0, 1), atol=1e-6)
+
+
+def test_features_stand_for_a_gaussian_kernel():
+    rng = np.random.default_rng(1)
+    d, n = len(quality.STATISTICS), 20_000
+    model = quality.Model(np.zeros(d), np.ones(d), rng.normal(0, 1 / 4.0, (d, n)), rng.uniform(0, 2 * np.pi, n), np.zeros(n), np.zeros(1), np.zeros(1))
+    a, b = rng.normal(0, 1, (2, 30, d))
+    got = 2 / n * (model.features(a)[:, :n] * model.features(b)[:, :n]).sum(1)
+    assert np.allclose(got, np.exp(-((a - b) ** 2).sum(1) / (2 * 4.0**2)), atol=0.04)
+
+
 def test_pools():
     at, level = quality.pooled(np.arange(5.0), np.array([0, 3, 1, 0, 4]), np.array([4, 4, 4, 0, 4]))
     assert at.tolist() == [0.0, 1.5, 4.0] and level.tolist() == [0.0, 0.5, 1.0]
