@@ -231,9 +231,11 @@ def links_of(buckets: DataFrame, sets: DataFrame, per_cent: int, growth: int = G
         left = cut(_open(left, links.labels).select("key", "salt", "node", "n", "place", "label"))
         if left.isEmpty():
             return links.labels
-        # A limit per salt goes before that of the key, so no task gets all nodes of a key.
-        few = left.withColumn("r", F.expr("row_number() over (partition by key, salt order by place, node)")).where(F.col("r") <= centres_per_key)
-        ranked = few.withColumn("r", F.expr("row_number() over (partition by key order by place, node)"))
+        # Few centres are the first of a key among the first of each salt; of many, each salt has its share, so no task ranks a whole key.
+        share = centres_per_key // SALTS or centres_per_key
+        ranked = left.withColumn("r", F.expr("row_number() over (partition by key, salt order by place, node)")).where(F.col("r") <= share)
+        if share == centres_per_key:
+            ranked = ranked.withColumn("r", F.expr("row_number() over (partition by key order by place, node)"))
         centres = cut(ranked.where(F.col("r") <= centres_per_key).select(
             "key", F.col("node").alias("c"), F.col("label").alias("c_label"), F.col("n").alias("c_n"), F.col("place").alias("c_place")
         ))
