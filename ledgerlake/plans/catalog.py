@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import sheet_table_name
 from ..operators import catalog as cat
+from ..operators.buckets import BucketStore, delete_files
 from ..operators.profile import csv_file_keywords, csv_file_summary
 from ..session import new_path
 from ..sources.files import extension
@@ -15,6 +16,13 @@ from .registry import query
 from .views import oracle, table, view
 
 
+def _store(spark: SparkSession, rows: DataFrame, key: str) -> BucketStore:
+    """``rows`` as a stored table in buckets of ``key``."""
+    store = BucketStore(spark, new_path(spark, "store"), rows.schema, key)
+    store.append(rows)
+    return store
+
+
 def _day(name: str):
     return F.date_format(name, "yyyy-MM-dd")
 
@@ -131,6 +139,41 @@ def cascade_delete(spark: SparkSession, d: str) -> DataFrame:
         part(c, "chunk", "chunk_id")).unionByName(part(drops, "drop", "table_name"))
 
 
+_UPDATED = """
+SELECT sheet_id, file_id, CASE WHEN vec % 50 = 0 THEN 'New ' || sheet_name ELSE category END AS category,
+  CASE WHEN vec % 150 = 0 THEN 'updated' ELSE keywords END AS keywords
+FROM (SELECT *, CAST(substr(sheet_id, 2) AS BIGINT) AS vec FROM sheets_v)
+"""
+
+
+@query("catalog_update_stored", oracle("sheets_v", body=_UPDATED))
+def catalog_update_stored(spark: SparkSession, d: str) -> DataFrame:
+    """Every fiftieth sheet changes where it is stored; buckets without a change keep their files."""
+    sheets = view(spark, d, "sheets_v").select("sheet_id", "file_id", "sheet_name", "category", "keywords")
+    store = _store(spark, sheets, "file_id")
+    vec = F.substring("sheet_id", 2, 20).cast("bigint")
+    store.update(sheets.where(vec % 50 == 0).select(
+        "sheet_id", F.concat(F.lit("New "), "sheet_name").alias("category"), F.when(vec % 150 == 0, "updated").alias("keywords"),
+    ), "sheet_id")
+    return store.read().drop("sheet_name")
+
+
+@query("cascade_delete_stored", oracle("files_v", "sheets_v", "chunks_v", body="""
+WITH gone AS (SELECT file_id FROM files_v WHERE num_sheets = 3)
+SELECT 'file' AS kind, file_id AS id FROM files_v WHERE file_id NOT IN (SELECT file_id FROM gone)
+UNION ALL SELECT 'sheet', sheet_id FROM sheets_v WHERE file_id NOT IN (SELECT file_id FROM gone)
+UNION ALL SELECT 'chunk', chunk_id FROM chunks_v WHERE file_id NOT IN (SELECT file_id FROM gone)
+"""))
+def cascade_delete_stored(spark: SparkSession, d: str) -> DataFrame:
+    """Files of three sheets go from the stored catalogue with all that depends on them."""
+    ids = {"file": "file_id", "sheet": "sheet_id", "chunk": "chunk_id"}
+    files = view(spark, d, "files_v")
+    stores = {k: _store(spark, view(spark, d, f"{k}s_v").select(*dict.fromkeys(["file_id", i])), "file_id") for k, i in ids.items()}
+    delete_files(stores["file"], stores["sheet"], stores["chunk"], files.where("num_sheets = 3").select("file_id"))
+    parts = [stores[k].read().select(F.lit(k).alias("kind"), F.col(i).alias("id")) for k, i in ids.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query("validate_catalog", oracle("files_v", "sheets_v", "chunks_v", "policies_v", body="""
 SELECT (SELECT COUNT(*) FROM files_v) AS files_count, (SELECT COUNT(*) FROM sheets_v) AS sheets_count,
   (SELECT COUNT(*) FROM sheets_v WHERE file_id NOT IN (SELECT file_id FROM files_v)) AS orphan_sheets,
