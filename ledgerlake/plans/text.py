@@ -184,6 +184,63 @@ def embed(spark: SparkSession, d: str) -> DataFrame:
     return vectors.select("doc_id", F.size("embedding").alias("dim"), "embedding")
 
 
+_LOW = "4294967295"
+_SPACES = r"' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+def _rotated(x: str, n: int) -> str:
+    return f"((({x} << {n}) | ({x} >> {32 - n})) & {_LOW})"
+
+
+def _times(x: str, n: int) -> str:
+    return f"(({x} * {n}::UBIGINT) & {_LOW})"
+
+
+def _mixed(words: str) -> str:
+    """Each word of a list times one constant, rotated, times the other."""
+    first = f"list_transform({words}, lambda x: {_times('x', 0xCC9E2D51)})"
+    return f"list_transform(list_transform({first}, lambda x: {_rotated('x', 15)}), lambda x: {_times('x', 0x1B873593)})"
+
+
+def _shaken(x: str, by: int) -> str:
+    return f"xor({x}, {x} >> {by})"
+
+
+# Murmur3 of 32 bits with seed 42 over the UTF-8 bytes of each distinct word; its low byte is the place of the word in 256.
+_HASH_CTES = f"""
+WITH said AS (SELECT doc_id, unnest(CASE WHEN t = '' THEN [''] WHEN rtrim(t, {_SPACES}) = '' THEN CAST([] AS VARCHAR[])
+    ELSE regexp_split_to_array(rtrim(t, {_SPACES}), '[ \\t\\n\\x0B\\f\\r]') END) AS w
+  FROM (SELECT doc_id, lower(COALESCE(text, '')) AS t FROM documents)),
+bytes AS (SELECT w, list_transform(range(0, strlen(w)), lambda i: CAST(instr('0123456789ABCDEF', h[2 * i + 1]) * 16
+    + instr('0123456789ABCDEF', h[2 * i + 2]) - 17 AS UBIGINT)) AS b FROM (SELECT DISTINCT w, hex(encode(w)) AS h FROM said)),
+words AS (SELECT w, len(b) AS n, list_transform(range(0, len(b) // 4), lambda i: b[4 * i + 1] + (b[4 * i + 2] << 8)
+    + (b[4 * i + 3] << 16) + (b[4 * i + 4] << 24)) AS k, COALESCE(b[len(b) // 4 * 4 + 1], 0) + (COALESCE(b[len(b) // 4 * 4 + 2], 0) << 8)
+    + (COALESCE(b[len(b) // 4 * 4 + 3], 0) << 16) AS rest FROM bytes),
+mixed AS (SELECT w, n, {_mixed('k')} AS k, {_mixed('[rest]')}[1] AS rest FROM words),
+body AS (SELECT w, n, rest, list_reduce(list_concat([42::UBIGINT], k), lambda h, x:
+    ({_rotated('xor(h, x)', 13)} * 5 + 3864292196) & {_LOW}) AS h FROM mixed),
+e1 AS (SELECT w, xor(xor(h, rest), CAST(n AS UBIGINT)) AS h FROM body),
+e2 AS (SELECT w, {_times(_shaken('h', 16), 0x85EBCA6B)} AS h FROM e1),
+e3 AS (SELECT w, {_times(_shaken('h', 13), 0xC2B2AE35)} AS h FROM e2),
+places AS (SELECT w, CAST({_shaken('h', 16)} & 255 AS INTEGER) AS place FROM e3),
+counts AS (SELECT doc_id, place, COUNT(*) AS tf FROM said JOIN places USING (w) GROUP BY 1, 2),
+idf AS (SELECT place, ln(((SELECT COUNT(*) FROM documents) + 1.0::DOUBLE) / (COUNT(*) + 1.0::DOUBLE)) AS idf FROM counts GROUP BY 1),
+weighed AS (SELECT doc_id, place, tf * idf AS x FROM counts JOIN idf USING (place)),
+unit AS (SELECT doc_id, place, CAST(x / sqrt(SUM(x * x) OVER (PARTITION BY doc_id)) AS FLOAT) AS x FROM weighed WHERE x <> 0)
+"""
+
+
+@query("embed_text_weights", _HASH_CTES + """
+SELECT doc_id, place, CAST(round(CAST(x AS DOUBLE) * 10000) AS BIGINT) AS weight FROM unit
+WHERE round(CAST(x AS DOUBLE) * 10000) <> 0 AND doc_id IN (SELECT doc_id FROM documents WHERE trim(text) <> '')
+""")
+def embed_weights(spark: SparkSession, d: str) -> DataFrame:
+    """The components of the vectors of all documents that are not 0, in units of 0.0001."""
+    vectors = embed_text(table(spark, d, "documents", heavy=True).select("doc_id", "text"), "text", 256)
+    parts = vectors.select("doc_id", F.posexplode("embedding").alias("place", "x"))
+    return parts.select("doc_id", "place", F.round(F.col("x").cast("double") * 10000).cast("long").alias("weight")).where("weight <> 0")
+
+
 @query("pdf_chunks", r"""
 WITH pages AS (
   SELECT doc_id, page_number, regexp_replace(line, '^\s+|\s+$', '', 'g') AS t FROM (
