@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vectors import wrong_dims
-from ..operators import answers
+from ..operators import answers, clusters
 from ..operators import policy as p
 from ..operators import retrieval as r
+from ..session import new_path
 from .registry import query
 from .views import oracle, table, view
 
@@ -39,12 +40,23 @@ def _request(spark: SparkSession, d: str) -> list[float]:
     return list(_mean_vectors(spark, d, [])[0]["v"])
 
 
-@query("vector_topk", MEAN_CTES + f"""
+_TOPK = MEAN_CTES + f"""
 SELECT query_id, vec_id, ROUND(distance, 6) AS distance, CAST(rank AS INTEGER) AS rank FROM (
   SELECT CAST(qs.label AS VARCHAR) AS query_id, e.vec_id, {_DIST.format(a='e.embedding', b='qs.v')} AS distance,
     ROW_NUMBER() OVER (PARTITION BY qs.label ORDER BY {_DIST.format(a='e.embedding', b='qs.v')}, e.vec_id) AS rank
   FROM embeddings e, qs) WHERE rank <= 5
-""")
+"""
+
+
+@query("vector_topk_clustered", _TOPK)
+def vector_topk_clustered(spark: SparkSession, d: str) -> DataFrame:
+    """The same rows as ``vector_topk`` from stored clusters."""
+    queries = {str(row["label"]): list(row["v"]) for row in _mean_vectors(spark, d, ["label"])}
+    made = clusters.build(table(spark, d, "embeddings"), "embedding", "vec_id", new_path(spark, "vectors"), 64)
+    return made.nearest(queries, 5).withColumn("distance", F.round("distance", 6))
+
+
+@query("vector_topk", _TOPK)
 def vector_topk(spark: SparkSession, d: str) -> DataFrame:
     queries = {str(row["label"]): list(row["v"]) for row in _mean_vectors(spark, d, ["label"])}
     out = r.nearest_many(table(spark, d, "embeddings"), "embedding", "vec_id", queries, 5)
