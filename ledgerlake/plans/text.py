@@ -169,10 +169,19 @@ def entities_all(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", "chunk_index", *[F.array_join(f"e.{k}", "|").alias(k) for k in tx.ENTITY_KINDS])
 
 
-@query("entities_topk", oracle("notes_v", body="SELECT kind, value, COUNT(*) AS n FROM ("
-       + " UNION ALL ".join(f"SELECT '{k}' AS kind, unnest({sql}) AS value FROM notes_v"
-                            for k, sql in entity_sql("t").items())
-       + ") GROUP BY 1, 2 ORDER BY n DESC, kind, value LIMIT 100"))
+_TOP_ENTITIES = oracle("notes_v", body="SELECT kind, value, COUNT(*) AS n FROM ("
+                       + " UNION ALL ".join(f"SELECT '{k}' AS kind, unnest({sql}) AS value FROM notes_v"
+                                            for k, sql in entity_sql("t").items())
+                       + ") GROUP BY 1, 2 ORDER BY n DESC, kind, value LIMIT 100")
+
+
+@query("entities_topk_sketched", _TOP_ENTITIES)
+def entities_topk_sketched(spark: SparkSession, d: str) -> DataFrame:
+    """The same rows as ``entities_topk`` from the candidates of a sketch."""
+    return tx.top_entities(view(spark, d, "notes_v", heavy=True).select(tx.entities(F.col("t")).alias("entities")), 100)
+
+
+@query("entities_topk", _TOP_ENTITIES)
 def entities_topk(spark: SparkSession, d: str) -> DataFrame:
     found = view(spark, d, "notes_v", heavy=True).select(tx.entities(F.col("t")).alias("entities"))
     return tx.entity_counts(found).orderBy(F.col("n").desc(), "kind", "value").limit(100)

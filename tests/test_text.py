@@ -1,5 +1,6 @@
 import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -115,3 +116,32 @@ def test_embed_text(spark):
         assert len(got[i]) == 64 and abs(sum(x * x for x in got[i]) - 1) < 1e-5
     near = lambda a, b: sum(x * y for x, y in zip(got[a], got[b]))
     assert near(1, 4) > near(1, 5)
+
+
+def _hits(spark, values):
+    """One row of entities per value, as amounts."""
+    made = spark.createDataFrame([(v,) for v in values], "v string").repartition(6)
+    none = F.array().cast("array<string>")
+    return made.select(F.struct(F.array("v").alias("amounts"), none.alias("dates"), none.alias("percentages"), none.alias("companies")).alias("entities"))
+
+
+@pytest.mark.parametrize("tracked", [64, 256, 4096])
+@pytest.mark.parametrize("case", ["few heavy", "many rare", "ties", "none"])
+def test_top_entities_are_exact(spark, case, tracked):
+    rnd = random.Random(4)
+    values = {
+        # Ten values hold most hits; of thousands of rare ones the sketch keeps some only.
+        "few heavy": [f"h{rnd.randrange(10)}" for _ in range(8000)] + [f"r{rnd.randrange(3000)}" for _ in range(3000)],
+        "many rare": [f"r{rnd.randrange(4000)}" for _ in range(6000)],
+        "ties": [f"t{i % 50}" for i in range(1000)],
+        "none": [],
+    }[case]
+    df = _hits(spark, values)
+    want = sorted(Counter(values).items(), key=lambda x: (-x[1], x[0]))
+    for limit in (5, 200):
+        top = tx.top_entities(df, limit, tracked=tracked)
+        assert [(r.value, r.n) for r in top.collect()] == want[:limit]
+        # Proved answers read what was counted; the others count all values.
+        exact = "Aggregate" in top._jdf.queryExecution().executedPlan().toString()
+        if case == "few heavy":
+            assert exact == (tracked == 64 or (tracked == 256 and limit == 200))
