@@ -22,6 +22,8 @@ from .ordered import numbered
 TILE = 256
 #: Square sides of the grids rectangles are laid out on, in bits.
 SQUARE_BITS = (4, 8, 12, 16, 20)
+#: Rows of a stripe, in bits. Stripes part the cells of a large square, so that one large table is many join keys.
+STRIPE_BITS = 16
 
 # Executors get the kernels below with the task and need no installed package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -183,7 +185,10 @@ def _level(size) -> Column:
 
 
 def squares(tables: DataFrame, keys: list[str]) -> DataFrame:
-    """The grid squares each rectangle reaches: at most four, as its squares are no smaller than itself."""
+    """The grid squares each rectangle reaches: at most four, as its squares are no smaller than itself.
+
+    Only a side beyond the largest square, of 2^20, reaches more: two and one for each 2^20 of its length.
+    """
     leveled = tables.select(
         *keys, "table_no", "r0", "r1", "c0", "c1", _level(F.col("r1") - F.col("r0") + 1).alias("_lr"),
         _level(F.col("c1") - F.col("c0") + 1).alias("_lc"),
@@ -196,20 +201,22 @@ def table_cells(cells: DataFrame, tables: DataFrame, keys: list[str]) -> DataFra
     """All cells inside each table's rectangle (a cell may lie in several).
 
     Rectangles are laid out on grids of a few fixed square sizes, each on the one that suits it, and a cell looks
-    into its square of every grid in use. The sizes in use, at most 25 pairs, come to the driver.
+    into its square of every grid in use. The sizes in use, at most 25 pairs, come to the driver. Large squares are
+    cut into stripes of rows, so the cells of a table of any length meet it under many keys.
     """
-    spread = squares(tables, keys)
+    stripes = f"sequence(shiftright(greatest(r0, shiftleft(_tr, _lr)), {STRIPE_BITS}), shiftright(least(r1, shiftleft(_tr + 1, _lr) - 1), {STRIPE_BITS}))"
+    spread = squares(tables, keys).withColumn("_stripe", F.explode(F.expr(stripes)))
     used = spread.select("_lr", "_lc").distinct().collect()
     if not used:
         used = [(SQUARE_BITS[0], SQUARE_BITS[0])]
     grids = F.explode(F.array(*[F.struct(F.lit(r).alias("_lr"), F.lit(c).alias("_lc")) for r, c in used]))
     placed = cells.withColumn("_g", grids).select("*", "_g._lr", "_g._lc").drop("_g").withColumns(
-        {"_tr": F.expr("shiftright(row, _lr)"), "_tc": F.expr("shiftright(col, _lc)")}
+        {"_tr": F.expr("shiftright(row, _lr)"), "_tc": F.expr("shiftright(col, _lc)"), "_stripe": F.expr(f"shiftright(row, {STRIPE_BITS})")}
     )
     return (
-        placed.join(spread, [*keys, "_lr", "_lc", "_tr", "_tc"])
+        placed.join(spread, [*keys, "_lr", "_lc", "_tr", "_tc", "_stripe"])
         .where("row between r0 and r1 and col between c0 and c1")
-        .drop("_lr", "_lc", "_tr", "_tc")
+        .drop("_lr", "_lc", "_tr", "_tc", "_stripe")
     )
 
 

@@ -131,6 +131,16 @@ def test_rectangles_reach_four_squares_at_most(spark):
     assert got == sorted((i, r.row, r.col) for i, (a, b, x, y) in enumerate(boxes) for r in cells.collect() if a <= r.row <= b and x <= r.col <= y)
 
 
+@pytest.mark.parametrize("stripe", [1, 3, 16])
+def test_stripes_of_large_squares(spark, stripe, monkeypatch):
+    monkeypatch.setattr(c, "STRIPE_BITS", stripe)
+    boxes = [(0, 40, 0, 2), (5, 5, 1, 9), (17, 300, 4, 6), (250, 251, 0, 300)]
+    tables = spark.createDataFrame([("s", i, *b) for i, b in enumerate(boxes)], "sheet string, table_no int, r0 bigint, r1 bigint, c0 bigint, c1 bigint")
+    cells = spark.range(320).selectExpr("'s' as sheet", "id as row", "explode(sequence(0, 12)) as col").withColumn("col", F.col("col").cast("long"))
+    got = sorted((r.table_no, r.row, r.col) for r in c.table_cells(cells, tables, KEYS).collect())
+    assert got == sorted((i, r, k) for i, (a, b, x, y) in enumerate(boxes) for r in range(320) for k in range(13) if a <= r <= b and x <= k <= y)
+
+
 def test_header_and_typed_table(spark):
     cells = {(2, 1): "Name", (2, 2): "Net", (3, 1): "a", (3, 2): "1.5", (4, 1): "b", (4, 2): "x"}
     df = grid(spark, {"s": cells})
