@@ -2,9 +2,9 @@
 
 The tokens of a URL are its scheme, every label of its host, its domain and whole host, every path segment, the depth and file extension
 of the path, every query parameter's name and whether it has a fragment. FP-growth mines combinations of tokens from labelled pages that no given
-rule decides. Tokens too rare for any rule are left out first; of the rest a page takes those into its basket that are most telling by themselves,
-a bounded number, as combinations grow with its power. Combinations that imply the bad label with enough support, confidence and lift and
-contain no smaller such combination become rules. An inverted index lists each rule under its rarest token; a URL looks up all its tokens
+rule decides. Tokens too rare for any rule are left out first. Where a page has many of the rest, combinations grow with the power of their number, so
+they are then mined level by level, without those that a part of theirs already settles. Combinations that imply the bad label with enough support,
+confidence and lift and contain no smaller such combination become rules. An inverted index lists each rule under its rarest token; a URL looks up all its tokens
 and then tests the whole of each rule found.
 """
 
@@ -20,7 +20,7 @@ from ..session import cut
 
 BAD = "=bad"
 SALTS = 16
-#: How much more often than any page a page that a rule fits must be bad; and tokens of a page that rules are mined from.
+#: How much more often than any page a page that a rule fits must be bad; and tokens of a page up to which all their combinations are mined at once.
 MIN_LIFT, BASKET = 1.5, 12
 
 
@@ -85,10 +85,44 @@ def tokens(url: Column) -> Column:
     return F.when(_rest(url).isNull(), F.array().cast("array<string>")).otherwise(found)
 
 
+def _by_levels(baskets: DataFrame, n: int, need: Column, is_rule: Column) -> DataFrame:
+    """The smallest rules (items, confidence) from ``baskets`` (items, bad) of any length, by combinations of one more token at a time.
+
+    A combination goes on if ``need`` bad pages have it, if it is no rule, and if fewer pages have it than have any of its parts: else that part
+    stands for the same pages, and for the same rules. All parts of one that goes on do so too, so none is missed.
+    """
+    groups = baskets.groupBy("items").agg(F.count(F.lit(1)).alias("pages"), F.count_if("bad").alias("hits"))
+    groups = cut(groups.withColumn("basket", F.monotonically_increasing_id()))
+    met = groups.select("basket", "pages", "hits", F.explode("items").alias("token")).select("basket", "pages", "hits", F.array("token").alias("set"))
+    rules, live, size = None, None, 1
+    while True:
+        sets = cut(met.groupBy("set").agg(F.sum("pages").alias("pages"), F.sum("hits").alias("hits")).where(F.col("hits") >= need))
+        if live is not None:
+            parts = sets.select("set", F.posexplode("set").alias("_at", "_token")).select(
+                "set", F.expr("filter(set, (x, i) -> i <> _at)").alias("part"))
+            known = parts.join(live.select(F.col("set").alias("part"), F.col("pages").alias("_of")), "part")
+            least = known.groupBy("set").agg(F.count(F.lit(1)).alias("_known"), F.min("_of").alias("_of")).where(F.col("_known") == size)
+            sets = cut(sets.join(least, "set").where("pages < _of").select("set", "pages", "hits"))
+        found = sets.where(is_rule).select(F.col("set").alias("items"), (F.col("hits") / F.col("pages")).alias("confidence"))
+        rules = found if rules is None else rules.unionByName(found)
+        live = sets.where(~is_rule & (F.col("pages") < n))
+        if live.isEmpty():
+            return cut(rules)
+        ends = met.join(live.select("set"), "set", "left_semi").select(
+            "basket", "pages", "hits", F.slice("set", 1, size - 1).alias("start"), F.element_at("set", size).alias("last"))
+        more = ends.select("basket", "start", F.col("last").alias("_next"))
+        longer = ends.join(more, ["basket", "start"]).where("last < _next")
+        met = cut(longer.select("basket", "pages", "hits", F.concat("start", F.array("last", "_next")).alias("set")))
+        size += 1
+
+
 def mine(
-    labelled: DataFrame, min_support: float, min_confidence: float, min_pages: int, min_lift: float = MIN_LIFT, basket: int = BASKET
+    labelled: DataFrame, min_support: float, min_confidence: float, min_pages: int, min_lift: float = MIN_LIFT, basket: int | None = None
 ) -> DataFrame:
-    """(items, confidence) from rows (tokens, bad): the smallest token combinations that imply the bad label."""
+    """(items, confidence) from rows (tokens, bad): the smallest token combinations that imply the bad label.
+
+    All of them, whatever the number of tokens of a page; with ``basket`` only those of the so many most telling tokens of each page.
+    """
     rows = cut(labelled.where(F.size("tokens") > 0).select("tokens", "bad", F.monotonically_increasing_id().alias("row")))
     n, bad = rows.agg(F.count(F.lit(1)), F.count_if("bad")).first()
     if n < min_pages:
@@ -100,12 +134,16 @@ def mine(
     # tokens per page / support such tokens, whatever the number of pages.
     often = uses.where(F.col("hits") >= F.ceil(F.lit(support * n) - F.lit(1e-9))).select("token", "rate")
     telling = F.array_sort(F.collect_list(F.struct((-F.col("rate")).alias("rate"), "token")))
-    chosen = each.join(F.broadcast(often), "token").groupBy("row", "bad").agg(F.slice(telling, 1, basket)["token"].alias("items"))
-    baskets = cut(chosen.select(F.when(F.col("bad"), F.array_append("items", F.lit(BAD))).otherwise(F.col("items")).alias("items")))
+    taken = F.array_sort(F.collect_set("token")) if basket is None else F.slice(telling, 1, basket)["token"]
+    chosen = cut(each.join(F.broadcast(often), "token").groupBy("row", "bad").agg(taken.alias("items")))
     # Pages without such a token count among all pages, so supports are taken over these.
-    m = baskets.count()
+    m, longest = chosen.agg(F.count(F.lit(1)), F.max(F.size("items"))).first()
     if not m:
         return rows.where(F.lit(False)).select(F.col("tokens").alias("items"), F.lit(0.0).alias("confidence"))
+    if basket is None and longest > BASKET:
+        rate = F.col("hits") / F.col("pages")
+        return _by_levels(chosen, n, F.ceil(F.lit(support * n) - F.lit(1e-9)), (rate >= min_confidence) & (rate * n >= min_lift * bad))
+    baskets = chosen.select(F.when(F.col("bad"), F.array_append("items", F.lit(BAD))).otherwise(F.col("items")).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min(1.0, support * n / m), minConfidence=min_confidence).fit(baskets)
     found = model.associationRules.where((F.col("consequent") == F.array(F.lit(BAD))) & (F.col("confidence") * n >= min_lift * bad))
     found = cut(found.select(F.array_sort("antecedent").alias("items"), "confidence"))

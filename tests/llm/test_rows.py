@@ -88,6 +88,25 @@ def test_mined_rules_are_those_of_plain_counting(spark):
     assert {tuple(r["items"]) for r in few} <= {("a",), ("b",), ("c",), ("d",), ("e",), ("f",), ("g",)}
 
 
+def test_rules_of_pages_with_many_tokens_are_whole(spark, monkeypatch):
+    rnd = random.Random(9)
+    # Fourteen tokens are more telling by themselves than a and b, which tell a page as bad only together.
+    pages = []
+    for _ in range(400):
+        have = set(rnd.choices(["ab", "a", "b", ""], [3, 8, 8, 1])[0])
+        bad = have == {"a", "b"} or rnd.random() < 0.05
+        pages.append((sorted(have | {f"t{i:02}" for i in range(14) if rnd.random() < (0.99 if bad else 0.25)}), bad))
+    labelled = spark.createDataFrame(pages, "tokens array<string>, bad boolean")
+    found = {tuple(r["items"]): r.confidence for r in url_filter.mine(labelled, 0.05, 0.8, 10, 1.5).collect()}
+    fits = [b for t, b in pages if {"a", "b"} <= set(t)]
+    assert found[("a", "b")] == pytest.approx(sum(fits) / len(fits))
+    # By levels or at once, the rules are the same.
+    few = labelled.select(F.filter("tokens", lambda t: (t < "t06")).alias("tokens"), "bad")
+    whole = {tuple(r["items"]): pytest.approx(r.confidence) for r in url_filter.mine(few, 0.05, 0.6, 10, 1.2).collect()}
+    monkeypatch.setattr(url_filter, "BASKET", 1)
+    assert {tuple(r["items"]): r.confidence for r in url_filter.mine(few, 0.05, 0.6, 10, 1.2).collect()} == whole and len(whole) > 0
+
+
 def test_rules_find_labels_inside_hosts_and_paths(spark):
     rnd = random.Random(6)
     rows = []
