@@ -63,18 +63,18 @@ def dedup_names(df: DataFrame, table: list[str], position: str, name: str, out:
     Two names with suffixes never meet, as the last suffix tells the name before it; so all results of a table differ.
     """
     base, number = (F.regexp_extract(name, r"^(.*)_([1-9][0-9]{0,8})$", g) for g in (1, 2))
-    taken = df.select(*[F.col(t).alias(f"_t_{t}") for t in table], base.alias("_base"), number.alias("_number")).where("_number <> ''")
-    taken = taken.groupBy(*[f"_t_{t}" for t in table], "_base").agg(F.array_sort(F.collect_set(F.col("_number").cast("int"))).alias("_taken"))
-    same = F.col(name) == F.col("_base")
-    for t in table:
-        same &= F.col(t).eqNullSafe(F.col(f"_t_{t}"))
-    d = numbered(df, [*table, name], [F.col(position)], "_nth").join(taken, same, "left")
+    # One value for the table, in which nulls are equal, so that numbering and join deal rows out by the same key.
+    rest = [c for c in df.columns if c not in table]
+    rows = df.select(F.struct(*table, F.lit(None).cast("int").alias("_any")).alias("_in"), *rest)
+    taken = rows.select("_in", base.alias("_base"), number.alias("_number")).where("_number <> ''")
+    taken = taken.groupBy("_in", F.col("_base").alias(name)).agg(F.array_sort(F.collect_set(F.col("_number").cast("int"))).alias("_taken"))
+    d = numbered(rows, ["_in", name], [F.col(position)], "_nth").join(taken, ["_in", name], "left")
     repeat = (F.col("_nth") - 1).cast("int")
     free = F.when(F.col("_taken").isNull(), repeat).otherwise(
         F.aggregate("_taken", repeat, lambda k, used: F.when(used <= k, k + 1).otherwise(k))
     )
     final = F.when(F.col("_nth") == 1, F.col(name)).otherwise(F.concat_ws("_", F.col(name), free.cast("string")))
-    return d.withColumn(out, final).select(*df.columns, out)
+    return d.withColumn(out, final).select(*[F.col(f"_in.{c}") if c in table else F.col(c) for c in df.columns], out)
 
 
 def name_collisions(df: DataFrame, table: list[str], name: str = "final_name") -> DataFrame:

@@ -71,8 +71,12 @@ def _group_starts(pdf: pd.DataFrame, on: list[str]) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _tile_boxes(pdf: pd.DataFrame, keys: list[str], on: list[str], tile: int, borders: bool) -> pd.DataFrame:
-    """Components of all whole tiles in ``pdf``: one row each, and if asked one row per border cell."""
+def _tile_boxes(pdf: pd.DataFrame, keys: list[str], on: list[str], tile: int, borders: bool, min_area: int) -> pd.DataFrame:
+    """Components of all whole tiles in ``pdf``: one row each, and if asked one row per border cell.
+
+    Without these a tile is a whole sheet: components below ``min_area`` are left out and ``table_no`` counts the others of a sheet
+    by their first cells.
+    """
     starts = _group_starts(pdf, on)
     group = np.zeros(len(pdf), dtype=np.int64)
     group[starts] = 1
@@ -89,7 +93,9 @@ def _tile_boxes(pdf: pd.DataFrame, keys: list[str], on: list[str], tile: int, bo
         c0=np.minimum.reduceat(col[order], at), c1=np.maximum.reduceat(col[order], at), n_cells=n,
     )
     if not borders:
-        return boxes
+        large = ((boxes["r1"] - boxes["r0"] + 1) * (boxes["c1"] - boxes["c0"] + 1) >= min_area).to_numpy()
+        sheet = pd.Series(group[first][large])
+        return boxes[large].assign(table_no=sheet.groupby(sheet).cumcount().to_numpy() + 1)
     edge = np.flatnonzero((lr == 0) | (lr == tile - 1) | (lc == 0) | (lc == tile - 1))
     cells = pdf[keys].iloc[edge].assign(
         pr=row[label[edge]], pc=col[label[edge]], r0=row[edge], r1=row[edge], c0=col[edge], c1=col[edge], n_cells=0,
@@ -97,16 +103,16 @@ def _tile_boxes(pdf: pd.DataFrame, keys: list[str], on: list[str], tile: int, bo
     return pd.concat([boxes, cells])
 
 
-def _tile_groups(cells: DataFrame, keys: list[str], tile: int, borders: bool) -> DataFrame:
+def _tile_groups(cells: DataFrame, keys: list[str], tile: int, borders: bool, min_area: int = 1) -> DataFrame:
     """Components within each tile: ``keys, pr, pc`` (first cell), the rectangle and ``n_cells``.
 
-    Border cells follow as rows with ``n_cells = 0``. The one Python step: rows come
+    Border cells follow as rows with ``n_cells = 0``; without them, that is for sheets of one tile, components have a ``table_no``. The one Python step: rows come
     sorted by sheet and tile, many tiles are labelled at once, and only the last,
     unfinished tile (at most ``tile * tile`` cells) waits for the next batch.
     """
     on = [*keys, "_tr", "_tc"]
     fields = [f"`{k}` {cells.schema[k].dataType.simpleString()}" for k in keys]
-    numbers = [f"{c} bigint" for c in ("pr", "pc", "r0", "r1", "c0", "c1", "n_cells")]
+    numbers = [f"{c} bigint" for c in ("pr", "pc", "r0", "r1", "c0", "c1", "n_cells", *([] if borders else ["table_no"]))]
 
     def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
@@ -117,9 +123,9 @@ def _tile_groups(cells: DataFrame, keys: list[str], tile: int, borders: bool) ->
             last = _group_starts(pdf, on)[-1]
             rest = pdf.iloc[last:].reset_index(drop=True)
             if last:
-                yield _tile_boxes(pdf.iloc[:last], keys, on, tile, borders)
+                yield _tile_boxes(pdf.iloc[:last], keys, on, tile, borders, min_area)
         if rest is not None:
-            yield _tile_boxes(rest, keys, on, tile, borders)
+            yield _tile_boxes(rest, keys, on, tile, borders, min_area)
 
     placed = cells.select(
         *keys, F.col("row").cast("bigint"), F.col("col").cast("bigint"),
@@ -157,23 +163,24 @@ def detect_tables(
     lr, lc = F.floor(F.col("row") / tile), F.floor(F.col("col") / tile)
     extent = cells.agg(F.min(lr), F.max(lr), F.min(lc), F.max(lc)).first()
     one_tile = extent[0] == extent[1] and extent[2] == extent[3]
-    groups = _tile_groups(cells, keys, tile, not one_tile)
-    if not one_tile:
-        groups = cut(groups)
-        label = components(_tile_edges(groups.where("n_cells = 0"), keys))
-        groups = (
-            groups.where("n_cells > 0").withColumn("node", F.struct(*keys, "pr", "pc")).join(label, "node", "left")
-            .withColumn("root", F.coalesce("label", "node"))
-            .groupBy("root").agg(
-                F.min("r0").alias("r0"), F.max("r1").alias("r1"),
-                F.min("c0").alias("c0"), F.max("c1").alias("c1"), F.sum("n_cells").alias("n_cells"),
-            )
-            .select("root.*", "r0", "r1", "c0", "c1", "n_cells")
+    if one_tile:
+        found = _tile_groups(cells, keys, tile, False, min_area).drop("pr", "pc")
+        return cut(found) if number else found.drop("table_no")
+    groups = cut(_tile_groups(cells, keys, tile, True))
+    label = components(_tile_edges(groups.where("n_cells = 0"), keys))
+    groups = (
+        groups.where("n_cells > 0").withColumn("node", F.struct(*keys, "pr", "pc")).join(label, "node", "left")
+        .withColumn("root", F.coalesce("label", "node"))
+        .groupBy("root").agg(
+            F.min("r0").alias("r0"), F.max("r1").alias("r1"),
+            F.min("c0").alias("c0"), F.max("c1").alias("c1"), F.sum("n_cells").alias("n_cells"),
         )
+        .select("root.*", "r0", "r1", "c0", "c1", "n_cells")
+    )
     kept = groups.where((F.col("r1") - F.col("r0") + 1) * (F.col("c1") - F.col("c0") + 1) >= min_area)
     if not number:
         return kept.drop("pr", "pc")
-    return numbered(cut(kept), keys, [F.col("pr"), F.col("pc")], "table_no").drop("pr", "pc")
+    return numbered(kept, keys, [F.col("pr"), F.col("pc")], "table_no").drop("pr", "pc")
 
 
 def _level(size) -> Column:
@@ -187,12 +194,16 @@ def _level(size) -> Column:
 def squares(tables: DataFrame, keys: list[str]) -> DataFrame:
     """The grid squares each rectangle reaches: at most four, as its squares are no smaller than itself.
 
-    Only a side beyond the largest square, of 2^20, reaches more: two and one for each 2^20 of its length.
+    Only a side beyond the largest square, of 2^20, reaches more: two and one for each 2^20 of its length. And rectangles that fit
+    the second square lie on the grid of the first, so that cells look into one grid for all of them. Such a rectangle of h x w reaches
+    (h / 16 + 2) * (w / 16 + 2) squares at most, which is less than five more than its h or w cells or more that touch.
     """
     leveled = tables.select(
         *keys, "table_no", "r0", "r1", "c0", "c1", _level(F.col("r1") - F.col("r0") + 1).alias("_lr"),
         _level(F.col("c1") - F.col("c0") + 1).alias("_lc"),
     )
+    small = F.greatest("_lr", "_lc") <= SQUARE_BITS[1]
+    leveled = leveled.withColumns({x: F.when(small, F.lit(SQUARE_BITS[0])).otherwise(F.col(x)) for x in ("_lr", "_lc")})
     down = leveled.withColumn("_tr", F.explode(F.expr("sequence(shiftright(r0, _lr), shiftright(r1, _lr))")))
     return down.withColumn("_tc", F.explode(F.expr("sequence(shiftright(c0, _lc), shiftright(c1, _lc))")))
 

@@ -2,8 +2,8 @@
 
 The rows are range-partitioned by key and order together, which cuts a large key into
 many blocks of a bounded number of rows. Work happens per block, and only one summary
-row per (key, block) is carried across blocks. Rows that fit one block altogether
-need none: then no key can have more, and windows over the keys do.
+row per (key, block) is carried across blocks. Where no key has more rows than a block,
+windows over the keys do.
 """
 
 from __future__ import annotations
@@ -18,10 +18,18 @@ from ..session import cut
 
 BLOCK_ROWS_CONF = "ledgerlake.ordered.blockRows"
 BLOCK_ROWS = 1_000_000
+#: Shares that keys are hashed to, at least, to see whether one of them has more rows than a block.
+KEY_SHARES = 4096
 # What monotonically_increasing_id() leaves for the rows of a partition.
 _ROW_BITS = 33
 
 
+def _most_rows(rows: DataFrame, keys: list[str], blocks: int) -> int:
+    """No key has more rows than this: the most that share a hash of the keys, counted without an exchange of keys."""
+    share = F.pmod(F.xxhash64(*keys), F.lit(max(KEY_SHARES, 64 * blocks)))
+    return rows.groupBy(share.alias("share")).count().agg(F.max("count")).first()[0]
+
+
 class Ordered:
     """Rows of ``df`` in a total order within ``keys``; ``order`` must be unique per key.
 
@@ -33,8 +41,9 @@ class Ordered:
         self.keys, self.order = keys, order
         conf = df.sparkSession.conf
         rows = cut(df)
-        blocks = math.ceil(rows.count() / int(conf.get(BLOCK_ROWS_CONF, str(BLOCK_ROWS))))
-        self.one_block = blocks <= 1 and not blocked
+        size = int(conf.get(BLOCK_ROWS_CONF, str(BLOCK_ROWS)))
+        blocks = math.ceil(rows.count() / size)
+        self.one_block = not blocked and (blocks <= 1 or bool(keys) and _most_rows(rows, keys, blocks) <= size)
         if self.one_block:
             self.df = rows
             return
