@@ -59,28 +59,27 @@ def first_samples(data: DataFrame, by: list[str], row: str, value: str, n: int =
     return few.groupBy(*by).agg(found.alias("_found")).select(*by, F.aggregate("_found", none, more).alias("samples"))
 
 
-def describe_columns(cells: DataFrame, tables: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
+def describe_columns(inside: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
     """One row per column that holds data: ``col, original_name, name, type, role, samples``.
 
-    Header and type come from one aggregation over the cells, without a join of
+    ``inside`` is what ``table_cells`` gives. Header and type come from one aggregation over the cells, without a join of
     cells to headers. Columns with a header but no data are dropped.
     """
     by = [*keys, "table_no", "col"]
-    # Written once, as both the columns and their samples are taken from it.
-    inside = cut(table_cells(cells.select(*keys, "row", "col", value), tables, keys))
     data = F.when(F.col("row") > F.col("r0"), F.col(value))
     hits = {f"_h{i}": F.count_if(ok) for i, ok in enumerate(reads_as(data))}
     found = inside.groupBy(*by).agg(
         F.max(F.when(F.col("row") == F.col("r0"), F.col(value))).alias("original_name"),
         F.count(data).alias("_filled"), *[h.alias(n) for n, h in hits.items()],
     ).where("_filled > 0")
-    typed = found.select(
+    samples = first_samples(inside.where("row > r0"), by, "row", value)
+    # Both sides lie by the same key, so the join needs no exchange of its own.
+    typed = found.join(samples, by).select(
         *by, "original_name", normalize_name(F.col("original_name")).alias("_norm"),
-        pick_type(F.col("_filled"), [F.col(f"_h{i}") for i in range(len(TYPE_LADDER))]).alias("type"),
+        pick_type(F.col("_filled"), [F.col(f"_h{i}") for i in range(len(TYPE_LADDER))]).alias("type"), "samples",
     )
-    named = dedup_names(cut(typed), [*keys, "table_no"], "col", "_norm", "name").drop("_norm")
-    samples = first_samples(inside.where("row > r0"), by, "row", value)
-    return named.withColumn("role", column_role(F.col("name"), F.col("type"))).join(samples, by)
+    named = dedup_names(cut(typed), [*keys, "table_no"], "col", "_norm", "name")
+    return named.select(*by, "original_name", "type", "name", column_role(F.col("name"), F.col("type")).alias("role"), "samples")
 
 
 def describe_sheets(
@@ -108,14 +107,27 @@ def describe_sheets(
     )
 
 
+def ingest_cells(
+    cells: DataFrame, keys: list[str], sheet_name: str, file_id: Column, value: str = "value"
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(tables, cells inside them, columns, catalogue rows) of all sheets of a batch of files.
+
+    Cells are read three times, so those that are dear to make should be written before. The cells inside tables are written once,
+    for the columns, their samples and all that comes after.
+    """
+    filled = nonblank(cells, value)
+    tables = cut(detect_tables(filled, keys))
+    inside = cut(table_cells(filled.select(*keys, "row", "col", value), tables, keys))
+    columns = cut(describe_columns(inside, keys, value))
+    return tables, inside, columns, describe_sheets(tables, columns, keys, sheet_name, file_id)
+
+
 def ingest(
     cells: DataFrame, keys: list[str], sheet_name: str, file_id: Column, value: str = "value"
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(tables, columns, catalogue rows) of all sheets of a batch of files."""
-    filled = nonblank(cells, value)
-    tables = cut(detect_tables(filled, keys))
-    columns = cut(describe_columns(filled, tables, keys, value))
-    return tables, columns, describe_sheets(tables, columns, keys, sheet_name, file_id)
+    tables, _, columns, sheets = ingest_cells(cells, keys, sheet_name, file_id, value)
+    return tables, columns, sheets
 
 
 def load_table(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import names
 from ..operators import cells as c
 from ..operators import warehouse
-from ..operators.ingest import ingest
+from ..operators.ingest import ingest, ingest_cells
 from ..operators.profile import SPARK_TYPES, infer_types_by
 from ..sources.files import csv_to_cells
 from ..session import cut, new_path
@@ -43,7 +43,12 @@ def _sql(body: str) -> str:
 
 
 def _grid(spark: SparkSession, d: str) -> DataFrame:
-    return view(spark, d, "grid_v", heavy=True).select("sheet", F.col("r").alias("row"), F.col("c").alias("col"), "value")
+    return _written(view(spark, d, "grid_v", heavy=True))
+
+
+def _written(grid: DataFrame) -> DataFrame:
+    """The cells of a view, which is read more than once and costs a shuffle of its input each time."""
+    return cut(grid.select("sheet", F.col("r").alias("row"), F.col("c").alias("col"), "value"))
 
 
 @query("detect_tables", _sql(" SELECT sheet, r0, r1, c0, c1, n_cells, table_no FROM tables"))
@@ -215,8 +220,7 @@ tabled AS (SELECT *, 'sheet_' || trim(regexp_replace(lower(title), '[^a-z0-9]+',
 
 
 def _mixed_ingest(spark: SparkSession, d: str):
-    grid = view(spark, d, "mixed_v", heavy=True).select("sheet", F.col("r").alias("row"), F.col("c").alias("col"), "value")
-    return grid, *ingest(grid, KEYS, "sheet", _file_id())
+    return ingest_cells(_written(view(spark, d, "mixed_v", heavy=True)), KEYS, "sheet", _file_id())
 
 
 def _file_id():
@@ -231,7 +235,7 @@ FROM tabled t JOIN (SELECT sheet, table_no, string_agg(name || ':' || type, ','
   ON w.sheet = t.sheet AND w.table_no = t.table_no"""))
 def ingest_catalog(spark: SparkSession, d: str) -> DataFrame:
     """File and sheet rows of a batch in the catalogue's shapes, appended and read back."""
-    _, _, _, sheets = _mixed_ingest(spark, d)
+    sheets = cut(_mixed_ingest(spark, d)[3])
     rows = warehouse.sheet_rows(sheets, _file_id(), KEYS, "finance", "internal")
     files = sheets.select("sheet").distinct().select(
         _file_id().alias("file_id"), F.col("sheet").alias("file_name"), F.lit(".csv").alias("file_type"), F.lit(1).alias("version"))
@@ -254,8 +258,7 @@ FROM inside i JOIN tabled t ON t.sheet = i.sheet AND t.table_no = i.table_no
 JOIN named n ON n.sheet = i.sheet AND n.table_no = i.table_no AND n.col = i.col WHERE i.row > i.r0"""))
 def ingest_tables(spark: SparkSession, d: str) -> DataFrame:
     """The cells of all data tables of a batch, written in one job and read back."""
-    grid, tables, columns, sheets = _mixed_ingest(spark, d)
+    _, inside, columns, sheets = _mixed_ingest(spark, d)
     path = new_path(spark, "data")
-    inside = c.table_cells(c.nonblank(grid), tables, KEYS)
     warehouse.write_data(warehouse.data_rows(inside, columns, sheets, KEYS), path)
     return warehouse.read_rows(spark, path).select("table_name", "row", F.explode("cells").alias("name", "value"))
