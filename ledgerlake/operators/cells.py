@@ -196,7 +196,7 @@ def squares(tables: DataFrame, keys: list[str]) -> DataFrame:
 
     Only a side beyond the largest square, of 2^20, reaches more: two and one for each 2^20 of its length. And rectangles that fit
     the second square lie on the grid of the first, so that cells look into one grid for all of them. Such a rectangle of h x w reaches
-    (h / 16 + 2) * (w / 16 + 2) squares at most, which is less than five more than its h or w cells or more that touch.
+    (h / 16 + 2) * (w / 16 + 2) squares at most, 289 for the largest, which holds 256 cells or more, as they touch.
     """
     leveled = tables.select(
         *keys, "table_no", "r0", "r1", "c0", "c1", _level(F.col("r1") - F.col("r0") + 1).alias("_lr"),
